@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,6 +30,20 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once a session, for clusters where it isn't installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_framekit_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    at = Path(tempfile.mkdtemp(prefix="framekit-package-")) / "framekit-package.zip"
+    with zipfile.ZipFile(at, "w") as out:
+        for f in sorted(package.rglob("*.py")):
+            out.write(f, f"{package.name}/{f.relative_to(package)}")
+    sc.addPyFile(str(at))
+    sc._framekit_shipped = True
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -89,6 +105,7 @@ def annotate(
     field, in any case, gives way to the output. Every row stays, empty tables
     give empty tables.
     """
+    ship(df.sparkSession)
     taken = {f.name.lower() for f in fields}
     names = [c for c in (df.columns if keep is None else keep) if c.lower() not in taken]
     kept = df.select(*[F.col(f"`{c}`") for c in names])

@@ -3,15 +3,23 @@
 from __future__ import annotations
 
 from .bpe import op4_bpe
+from .langid import op1_langid
 from .mixing import op8_mixing
+from .order_minhash import op6_order_minhash
+from .permutation_index import op10_ann
 from .simhash import op5_simhash
+from .toxicity import op3_toxicity
 from .url_filter import op9_urls
 
 QUERIES = {
+    "op1_langid": op1_langid,
+    "op3_toxicity": op3_toxicity,
     "op4_bpe": op4_bpe,
     "op5_simhash": op5_simhash,
+    "op6_order_minhash": op6_order_minhash,
     "op8_mixing": op8_mixing,
     "op9_urls": op9_urls,
+    "op10_ann": op10_ann,
 }
 
 ORACLE_SQL: dict[str, str] = {}
