@@ -30,9 +30,11 @@ HIDDEN, WORD_DIM, CHAR_DIM = 8, 8, 8
 VOCABULARY, CHAR_BUCKETS = 8000, 1 << 15
 #: Labelled documents of each class that training may use at most.
 SAMPLE_DOCS = 1200
-EPOCHS, BATCH = 12, 256
+EPOCHS, BATCH, BATCH_LEAST, STEPS = 12, 256, 32, 30
 #: A document is toxic from this probability on.
 THRESHOLD = 0.7
+#: Pseudo-documents in a feature's first value, and documents that it must be in.
+SHRINK, LEAST_DOCS = 4.0, 5
 #: Words whose inputs a worker remembers.
 MEMO_WORDS = 120_000
 
@@ -200,12 +202,13 @@ class Scorer:
 
 
 def _log_odds(docs: list[set], y: np.ndarray) -> dict:
-    """Clipped log odds of a feature's documents being of class 1."""
+    """How much oftener a feature's documents are of class 1 than others, in logs, drawn to 0 where they are few."""
     pos, neg = Counter(), Counter()
     for d, label in zip(docs, y):
         (pos if label else neg).update(d)
-    p, n = max(1, int(y.sum())), max(1, int((1 - y).sum()))
-    return {f: float(np.clip(np.log((pos[f] + 0.5) / (p + 1)) - np.log((neg[f] + 0.5) / (n + 1)), -4, 4)) for f in pos.keys() | neg.keys()}
+    share = min(max(float(y.mean()), 1e-3), 1 - 1e-3) if len(y) else 0.5
+    odds = lambda f: (pos[f] + SHRINK * share) / (neg[f] + SHRINK * (1 - share)) * (1 - share) / share
+    return {f: float(np.clip(np.log(odds(f)), -4, 4)) if pos[f] + neg[f] >= LEAST_DOCS else 0.0 for f in pos.keys() | neg.keys()}
 
 
 class Trainer:
@@ -213,7 +216,7 @@ class Trainer:
         self.rng, self.y = np.random.default_rng(seed), y
         self.docs = [words_of(t) for t in texts]
         seen = Counter(w for d in self.docs for w in set(d))
-        known = [w for w, n in sorted(seen.items(), key=lambda x: (-x[1], x[0])) if n >= 2][:VOCABULARY]
+        known = [w for w, n in sorted(seen.items(), key=lambda x: (-x[1], x[0])) if n >= LEAST_DOCS][:VOCABULARY]
         vocabulary = {w: i for i, w in enumerate(known, 1)}
         g = lambda *s: self.rng.normal(0, 0.1, s)
         D, H = WORD_DIM + CHAR_DIM, HIDDEN
@@ -333,21 +336,30 @@ class Trainer:
                 chosen += [(self.ids[i][s : s + WINDOW], int(self.y[i])) for s in picks]
             order = self.rng.permutation(len(chosen))
             rate = 0.01 * (1 - epoch / (epochs + 1))
-            for a in range(0, len(order), BATCH):
-                own = [chosen[j] for j in order[a : a + BATCH]]
+            # Few documents still make some dozens of steps in an epoch.
+            batch = min(BATCH, max(BATCH_LEAST, len(order) // STEPS))
+            for a in range(0, len(order), batch):
+                own = [chosen[j] for j in order[a : a + batch]]
                 self._batch([w for w, _ in own], np.array([y for _, y in own], float), rate)
 
 
 def _platt(X: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Logistic weights of (raw, log windows, 1) by Newton steps, with a weak prior."""
-    w = np.array([1.0, 0.0, 0.0])
-    prior = np.array([0.02, 1.0, 0.001])
-    for _ in range(50):
+    """Logistic weights of (raw, log windows, 1) by damped Newton steps, with a weak prior."""
+    start, prior = np.array([0.5, 0.0, 0.0]), np.array([0.05, 1.0, 0.001])
+
+    def loss(w):
+        m = X @ w
+        return (np.logaddexp(0, m) - y * m).sum() + 0.5 * (prior * (w - start) ** 2).sum()
+
+    w = start
+    for _ in range(100):
         p = _sigmoid(X @ w)
-        grad = X.T @ (p - y) + prior * (w - np.array([1.0, 0, 0]))
+        grad = X.T @ (p - y) + prior * (w - start)
         hess = (X * (p * (1 - p))[:, None]).T @ X + np.diag(prior)
-        step = np.linalg.solve(hess, grad)
-        w = w - np.clip(step, -1, 1)
+        step, now = np.linalg.solve(hess, grad), loss(w)
+        while loss(w - step) > now and np.abs(step).max() > 1e-9:
+            step = step / 2
+        w = w - step
         if np.abs(step).max() < 1e-8:
             break
     return w
