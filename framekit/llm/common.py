@@ -81,7 +81,7 @@ def slices(texts: Sequence[str | None], most: int = BLOCK_BYTES) -> Iterator[tup
     """Consecutive (start, end) runs of about ``most`` characters each."""
     start = size = 0
     for i, t in enumerate(texts):
-        n = len(t) if t else 0
+        n = len((t.get("text") if isinstance(t, dict) else t) or "")
         if i > start and size + n > most:
             yield start, i
             start, size = i, 0

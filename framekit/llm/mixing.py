@@ -65,6 +65,7 @@ def mix(
     epochs: int = EPOCHS,
     seed: int = SEED,
     unit: str = "word",
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """(id, size, source_size, target, taken): how many words the mix takes of every row.
 
@@ -75,15 +76,17 @@ def mix(
     Rows of NULL source are a source of their own; NULL and empty texts have size
     0 and are never taken; repeated rows count each. An empty table gives an
     empty one. Keys depend on id and seed only, so reruns agree; rows that tie on
-    key and size are interchangeable.
+    key and size are interchangeable. ``keep`` names input columns to carry
+    along in one struct, ``row``, whatever their names.
     """
     rows = df.select(
         F.col(f"`{id_col}`").alias("id"),
         F.col(f"`{source_col}`").alias("source"),
         word_count(F.col(f"`{text_col}`")).alias("size"),
         F.xxhash64(F.lit(seed), F.col(f"`{id_col}`")).alias("key"),
+        *([F.struct(*[F.col(f"`{c}`").alias(c) for c in keep]).alias("row")] if keep else []),
     )
-    rows = materialize(rows, "sizes")
+    whole_rows, rows = rows, materialize(rows.drop("row"), "sizes")
     totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     plan = materialize(targets(totals.select("source", "source_size"), weights, epochs), "targets")
     # As many ranges for all sources as the largest needs; a range is the key's top bits.
@@ -91,12 +94,14 @@ def mix(
     bits = max(0, min(MAX_RANGES, -(-largest // RANGE_ROWS)) - 1).bit_length()
     range_of = F.shiftrightunsigned(F.col("key"), 64 - bits) if bits else F.lit(0).cast("bigint")
     ranged = rows.withColumn("range", range_of)
+    # Carried columns come from the input again rather than through another table.
+    moved = whole_rows.withColumn("range", range_of) if keep else ranged
     sums = ranged.groupBy("source", "range").agg(F.sum("size").alias("words"))
     ahead = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("source", "range", F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("offset"))
     plan = plan.select(F.col("source").alias("s"), "source_size", "target")
     offsets = sums.join(plan, sums["source"].eqNullSafe(plan["s"])).select(F.col("source").alias("s"), F.col("range").alias("r"), "offset", "source_size", "target")
-    joined = ranged.join(offsets, ranged["source"].eqNullSafe(offsets["s"]) & (ranged["range"] == offsets["r"]))
+    joined = moved.join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
     inside = Window.partitionBy("source", "range").orderBy("key", "size", F.col("id").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     joined = joined.withColumn("start", F.col("offset") + F.sum("size").over(inside) - F.col("size"))
     budget = F.round("target").cast("bigint")
@@ -107,7 +112,14 @@ def mix(
     else:
         last = F.greatest(F.lit(0), F.least(left, F.col("size")))
     taken = F.least(whole * F.col("size") + last, F.col("size") * epochs)
-    return joined.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.cast("bigint").alias("taken"))
+    return joined.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.cast("bigint").alias("taken"), *(["row"] if keep else []))
+
+
+def mixed_rows(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
+    """The mix itself: whole rows of ``df``, each as often as the mix takes it."""
+    taken = mix(df, id_col, source_col, text_col, unit="document", keep=df.columns, **options)
+    copies = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int")
+    return taken.where(copies > 0).select("row", F.explode(F.sequence(F.lit(1), copies))).select("row.*")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from .bpe import op4_bpe
+from .cotrain import op7_cotrain
 from .langid import op1_langid
+from .lm_score import op2_lm_score
 from .mixing import op8_mixing
 from .order_minhash import op6_order_minhash
 from .permutation_index import op10_ann
@@ -13,10 +15,12 @@ from .url_filter import op9_urls
 
 QUERIES = {
     "op1_langid": op1_langid,
+    "op2_lm_score": op2_lm_score,
     "op3_toxicity": op3_toxicity,
     "op4_bpe": op4_bpe,
     "op5_simhash": op5_simhash,
     "op6_order_minhash": op6_order_minhash,
+    "op7_cotrain": op7_cotrain,
     "op8_mixing": op8_mixing,
     "op9_urls": op9_urls,
     "op10_ann": op10_ann,
