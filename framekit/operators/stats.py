@@ -227,5 +227,5 @@ def weekday_weekend_counts(df: DataFrame, column: str) -> DataFrame:
 def holiday_counts(df: DataFrame, column: str) -> DataFrame:
     """(kind, n): rows on New Year's Day, on Christmas Day and on other days."""
     t = _temporal(df, column)
-    kind = F.when((F.month(t) == 1) & (F.dayofmonth(t) == 1), "New Year").when((F.month(t) == 12) & (F.dayofmonth(t) == 25), "Christmas").otherwise("Non-Holiday")
+    kind = F.when((F.month(t) == 1) & (F.dayofmonth(t) == 1), "New Year").when((F.month(t) == 12) & (F.dayofmonth(t) == 25), "Christmas").otherwise("non-holiday")
     return df.where(t.isNotNull()).groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))

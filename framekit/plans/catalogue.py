@@ -176,7 +176,7 @@ _add("dt_weekend", lambda s, d: X.weekday_weekend_counts(orders(s, d), "o_orderd
 _add(
     "dt_holiday",
     lambda s, d: X.holiday_counts(orders(s, d), "o_orderdate"),
-    """SELECT CASE WHEN month(o_orderdate) = 1 AND day(o_orderdate) = 1 THEN 'New Year' WHEN month(o_orderdate) = 12 AND day(o_orderdate) = 25 THEN 'Christmas' ELSE 'Non-Holiday' END AS kind, count(*) AS n
+    """SELECT CASE WHEN month(o_orderdate) = 1 AND day(o_orderdate) = 1 THEN 'New Year' WHEN month(o_orderdate) = 12 AND day(o_orderdate) = 25 THEN 'Christmas' ELSE 'non-holiday' END AS kind, count(*) AS n
 FROM orders GROUP BY 1""",
 )
 for _rule, _unit in (("H", "hour"), ("D", "day"), ("W", "week"), ("M", "month"), ("Q", "quarter"), ("Y", "year")):
