@@ -20,6 +20,8 @@ from .common import materialize
 RANGE_ROWS, EPOCHS = 2000, 3
 WEIGHTS = (1, 2, 3)
 SEED = 8
+#: Bits of a key.
+KEY_BITS = 60
 #: Most ranges of keys in a source.
 MAX_RANGES = 1 << 20
 
@@ -32,6 +34,12 @@ def word_count(text: Column) -> Column:
     return F.when(text.isNull(), 0).otherwise(n - edges).cast("bigint")
 
 
+def random_key(row_id: Column, seed: int = SEED) -> Column:
+    """60 random bits for an id: the start of an MD5 of seed and id, which SQL elsewhere can repeat; 0 for NULL."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), row_id.cast("string")).cast("binary"))
+    return F.coalesce(F.conv(F.substring(digest, 1, KEY_BITS // 4), 16, 10).cast("bigint"), F.lit(0))
+
+
 def targets(totals: DataFrame, weights: Sequence[int] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
     """(source, source_size, target) from (source, source_size), one row a source.
 
@@ -47,11 +55,11 @@ def targets(totals: DataFrame, weights: Sequence[int] = WEIGHTS, epochs: int = E
     everything = Window.partitionBy()
     before = F.coalesce(F.sum("cap").over(by_cap.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     later = F.sum("weight").over(by_cap.rowsBetween(0, Window.unboundedFollowing))
-    level = weighed.select("*", before.alias("before"), later.alias("later"), F.sum("source_size").over(everything).alias("words"))
+    level = weighed.select("*", before.alias("before"), later.alias("later"), F.row_number().over(by_cap).alias("turn"), F.sum("source_size").over(everything).alias("words"))
     level = level.withColumn("share", (F.col("words") - F.col("before")).cast("double") / F.col("later"))
     # The first source, in that order, whose cap isn't reached sets the share of one weight.
     level = level.withColumn("free", F.col("share") * F.col("weight") <= F.col("cap"))
-    level = level.withColumn("one", F.min_by("share", F.when(F.col("free"), F.col("cap") / F.col("weight"))).over(everything))
+    level = level.withColumn("one", F.min_by("share", F.when(F.col("free"), F.col("turn"))).over(everything))
     target = F.when(F.col("free"), F.col("one") * F.col("weight")).otherwise(F.col("cap").cast("double"))
     return level.select("source", "source_size", F.least(target, F.col("cap").cast("double")).alias("target"))
 
@@ -83,7 +91,7 @@ def mix(
         F.col(f"`{id_col}`").alias("id"),
         F.col(f"`{source_col}`").alias("source"),
         word_count(F.col(f"`{text_col}`")).alias("size"),
-        F.xxhash64(F.lit(seed), F.col(f"`{id_col}`")).alias("key"),
+        random_key(F.col(f"`{id_col}`"), seed).alias("key"),
         *([F.struct(*[F.col(f"`{c}`").alias(c) for c in keep]).alias("row")] if keep else []),
     )
     whole_rows, rows = rows, materialize(rows.drop("row"), "sizes")
@@ -92,7 +100,7 @@ def mix(
     # As many ranges for all sources as the largest needs; a range is the key's top bits.
     largest = totals.agg(F.max("n")).first()[0] or 0
     bits = max(0, min(MAX_RANGES, -(-largest // RANGE_ROWS)) - 1).bit_length()
-    range_of = F.shiftrightunsigned(F.col("key"), 64 - bits) if bits else F.lit(0).cast("bigint")
+    range_of = F.shiftright(F.col("key"), KEY_BITS - bits) if bits else F.lit(0).cast("bigint")
     ranged = rows.withColumn("range", range_of)
     # Carried columns come from the input again rather than through another table.
     moved = whole_rows.withColumn("range", range_of) if keep else ranged
@@ -122,6 +130,32 @@ def mixed_rows(df: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     return taken.where(copies > 0).select("row", F.explode(F.sequence(F.lit(1), copies))).select("row.*")
 
 
+#: The query's rows in SQL: the same keys, prefix sums and cuts.
+ORACLE = """
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+         coalesce(substr(md5('8:' || CAST(doc_id AS VARCHAR)), 1, 15), '000000000000000') AS k
+  FROM documents),
+t AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1 AS weight, source_size * 3 AS cap FROM t),
+l AS (
+  SELECT *, row_number() OVER o AS turn,
+         CAST((SELECT sum(source_size) FROM t) - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
+           / CAST(sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS share
+  FROM w WINDOW o AS (ORDER BY CAST(cap AS DOUBLE) / weight, source ASC NULLS LAST)),
+one AS (SELECT arg_min(share, turn) AS one FROM l WHERE share * weight <= cap),
+g AS (SELECT source, source_size, least(CASE WHEN share * weight <= cap THEN one * weight ELSE CAST(cap AS DOUBLE) END, CAST(cap AS DOUBLE)) AS target FROM l, one),
+p AS (
+  SELECT d.*, g.source_size, g.target, CAST(round(g.target) AS BIGINT) AS budget,
+         sum(d.size) OVER (PARTITION BY d.source ORDER BY k, d.size, doc_id NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size AS start
+  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END AS whole FROM p)
+SELECT doc_id, size, source_size, target,
+       CAST(least(whole * size + greatest(0, least(budget - whole * source_size - start, size)), 3 * size) AS BIGINT) AS taken
+FROM e
+"""
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target and taken of all documents."""
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import mixing, url_filter
 from .bpe import op4_bpe
 from .cotrain import op7_cotrain
 from .langid import op1_langid
@@ -26,4 +27,4 @@ QUERIES = {
     "op10_ann": op10_ann,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_mixing": mixing.ORACLE, "op9_urls": url_filter.oracle()}

@@ -118,6 +118,26 @@ def judge_urls(
     return marked.select(*[f"`{c}`" for c in names], "host", "path", "rule", "strict_terms", "soft_terms", ruled.alias("verdict"))
 
 
+def oracle(rules: Sequence[tuple[str, str]] = RULES, strict: Sequence[str] = STRICT, soft: Sequence[str] = SOFT, soft_hits: int = SOFT_HITS) -> str:
+    """The query's rows in SQL: one pattern a term instead of the automaton."""
+    found = lambda terms: " + ".join(f"CAST(regexp_matches(lower(coalesce(url, '')), '(^|[^\\pL\\pN]){t}([^\\pL\\pN]|$)') AS INT)" for t in terms)
+    cases = ""
+    for rule, _ in sorted(rules, key=lambda r: (-len(r[0]), r[0])):
+        domain, slash, start = rule.partition("/")
+        cases += f" WHEN (host = '{domain}' OR ends_with(host, '.{domain}')) AND starts_with(path, '{slash + start}') THEN '{rule}'"
+    verdicts = " ".join(f"WHEN '{r}' THEN '{v}'" for r, v in rules)
+    return f"""
+WITH u AS (
+  SELECT page_id, url, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+r AS (SELECT *, CASE{cases} END AS rule FROM u)
+SELECT page_id, host, path, rule,
+       CASE rule {verdicts} ELSE CASE WHEN {found(strict)} > 0 OR {found(soft)} >= {soft_hits} THEN 'block' ELSE 'allow' END END AS verdict
+FROM r
+"""
+
+
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, host, path, rule and verdict of all pages."""
     out = judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), keep=["page_id"])
