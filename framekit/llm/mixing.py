@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 #: Rows that a range of keys should hold, and the most times a source may be read.
-RANGE_ROWS, EPOCHS = 2000, 3
+RANGE_ROWS, EPOCHS = 400, 3
 WEIGHTS = (1, 2, 3)
 SEED = 8
 #: Bits of a key.
