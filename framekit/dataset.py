@@ -253,13 +253,21 @@ class Dataset:
         return S.get(self.rows, keys, default)
 
     @recorded(True)
-    def select_dtypes(self, include: Any = None, exclude: Any = None) -> DataFrame:
+    def _select_dtypes(self, include: Any = None, exclude: Any = None) -> DataFrame:
         return S.select_dtypes(self.rows, include, exclude)
 
-    def asof(self, where: Any, on: str, subset: Sequence[str] | str | None = None) -> pd.Series | pd.DataFrame:
-        """The last full row at or before a value (a Series), or before each of several (a frame)."""
+    def select_dtypes(self, include: Any = None, exclude: Any = None, chunk_size: int | None = None) -> DataFrame | Iterator[pd.DataFrame]:
+        """Columns by type, in alphabetical order; in pandas frames of ``chunk_size`` rows if asked for."""
+        out = self._select_dtypes(include, exclude)
+        return out if chunk_size is None else self._chunks(out, chunk_size)
+
+    def asof(self, where: Any, on: str, subset: Sequence[str] | str | None = None, chunk_size: int | None = None) -> pd.Series | pd.DataFrame | Iterator[pd.DataFrame]:
+        """The last full row at or before a value (a Series), or before each of several (a frame, or chunks of one)."""
         tie = [POSITION] if POSITION in self.df.columns else []
-        found = S.asof(self.df, where, on, subset or self.columns(), tie).drop(POSITION, "lookup").toPandas()
+        rows = S.asof(self.df, where, on, subset or self.columns(), tie).drop(POSITION, "lookup")
+        if chunk_size is not None:
+            return self._chunks(rows, chunk_size)
+        found = rows.toPandas()
         return found if isinstance(where, (list, tuple)) else found.iloc[0]
 
     # Cleaning

@@ -18,6 +18,8 @@ from ..operators import cleaning as C
 from ..operators import inspection as I
 from ..operators import selection as S
 from ..operators import stats as X
+from ..plots import points
+from ..streaming import resample_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -362,6 +364,12 @@ _add("win_index", lambda s, d: index(events(s, d).select("event_id", "ts"), "ts"
 _add("win_fill_two_keys", lambda s, d: fill(lineitem(s, d).select(*KEYS, F.expr(NULLED).alias("q")), "q", KEYS, "v").select(*KEYS, "v"), f"SELECT {KEY_SQL}, last_value({NULLED} IGNORE NULLS) OVER (ORDER BY {KEY_SQL} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v FROM lineitem")
 
 
+_add("plot_pie_points", lambda s, d: _rounded(points(orders(s, d), "pie", names="o_orderpriority", values=PRICE), PRICE, digits=2), f"SELECT o_orderpriority, round(sum({PRICE}), 2) AS {PRICE} FROM orders GROUP BY 1")
+_add("plot_scatter_points", lambda s, d: points(customer(s, d), "scatter", x="c_nationkey", y="c_acctbal"), "SELECT c_nationkey, c_acctbal FROM customer")
+for _rule, _unit in (("h", "hour"), ("d", "day"), ("w", "week")):
+    _add(f"stream_resample_{_unit}", lambda s, d, r=_rule: _rounded(resample_stream(events(s, d), "ts", r, "SUM", "value"), "value"), f"SELECT date_trunc('{_unit}', ts)::TIMESTAMP AS ts, round(sum(value), 4) AS value FROM events GROUP BY 1")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Describe lineitem's measures."""
     return I.describe(lineitem(spark, sf_dir), MEASURES)

@@ -203,6 +203,8 @@ def test_selection(engine):
     assert col_of(d.iloc("score > 90"), "id") == [101]
     assert d.get(["name", "zip"], 0).columns == ["name", "zip"] and d.get("zip", 1).count() == 1
     assert d.select_dtypes("numeric").columns == ["id", "score"]
+    assert [len(x) for x in d.select_dtypes("numeric", chunk_size=3)] == [3, 2]
+    assert sum(len(x) for x in d.asof(["2023-03-15", "2023-06-01"], "join_date", chunk_size=1)) == 2
     with pytest.raises(OperationError):
         d.select_dtypes()
     assert S.asof(d.frame, ["2022-01-01"], "join_date").first()["id"] is None
