@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -15,6 +18,8 @@ from pyspark.sql import types as T
 
 #: Text bytes that a Python worker holds at once (a single longer text still goes whole).
 BLOCK_BYTES = 4 << 20
+#: Most bytes of an Arrow batch between the JVM and a Python worker.
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,6 +37,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once a session, for clusters where it isn't installed."""
+    # Long texts must not make large batches: a session that sets no bound of its own gets this one.
+    if spark.conf.get(BATCH_BYTES[0], None) is None:
+        spark.conf.set(*BATCH_BYTES)
     sc = spark.sparkContext
     if getattr(sc, "_framekit_shipped", False):
         return
@@ -44,6 +52,26 @@ def ship(spark: SparkSession) -> None:
     sc._framekit_shipped = True
 
 
+#: What the operator that ran last in this Python worker keeps between its tasks.
+_kept: dict[object, object] = {}
+
+
+def kept(key: object, make: Callable[[], object]) -> object:
+    """What ``make`` gave for ``key`` in this worker before, or gives now.
+
+    A worker serves one operator after another; each key puts the one before
+    out, and its memory goes back to the system, so that tables never add up.
+    """
+    if key not in _kept:
+        _kept.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        _kept[key] = make()
+    return _kept[key]
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -99,7 +127,7 @@ def annotate(
 ) -> DataFrame:
     """Append columns that a Python function derives from each whole text.
 
-    ``make()`` runs once in each task and gives the function, which turns a
+    ``make()`` runs once in each worker and gives the function, which turns a
     list of texts into one sequence a field. ``keep`` are the input columns that
     stay (all by default). An input column whose name clashes with an output
     field, in any case, gives way to the output. Every row stays, empty tables
@@ -108,16 +136,18 @@ def annotate(
     ship(df.sparkSession)
     taken = {f.name.lower() for f in fields}
     names = [c for c in (df.columns if keep is None else keep) if c.lower() not in taken]
-    kept = df.select(*[F.col(f"`{c}`") for c in names])
-    out_schema = T.StructType([*kept.schema.fields, *fields])
+    rows = df.select(*[F.col(f"`{c}`") for c in names])
+    out_schema = T.StructType([*rows.schema.fields, *fields])
     if text_col in names:
         at = names.index(text_col)
     else:
-        at, kept = len(names), df.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text_col}`").alias("__text"))
+        at, rows = len(names), df.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text_col}`").alias("__text"))
     arrow_fields = _arrow_fields(fields)
 
+    token = uuid.uuid4().hex
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        apply = make()
+        apply = kept(token, make)
         for batch in batches:
             texts = batch.column(at).to_pylist()
             for a, b in slices(texts):
@@ -126,7 +156,7 @@ def annotate(
                 arrays += [x if isinstance(x := got[f.name], pa.Array) else pa.array(x, f.type) for f in arrow_fields]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*names, *[f.name for f in arrow_fields]])
 
-    return kept.mapInArrow(run, out_schema)
+    return rows.mapInArrow(run, out_schema)
 
 
 def _arrow_fields(fields: Sequence[T.StructField]) -> list[pa.Field]:

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -36,7 +35,7 @@ THRESHOLD = 0.7
 #: Pseudo-documents in a feature's first value, and documents that it must be in.
 SHRINK, LEAST_DOCS = 4.0, 5
 #: Words whose inputs a worker remembers.
-MEMO_WORDS = 120_000
+MEMO_WORDS = 80_000
 
 WORD = re.compile(r"\w+")
 
@@ -151,9 +150,8 @@ class Scorer:
             e *= mask
         return (e * u).sum(axis=0) / e.sum(axis=0) + self.net.b[0]
 
-    def windows(self, texts: Sequence[str | None], most: int = 1 << 15) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(starts, logits) of the windows of each text."""
-        docs = [words_of(t) for t in texts]
+    def windows(self, docs: Sequence[list[str]], most: int = 1 << 15) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(starts, logits) of the windows of each document's words."""
         out = []
         a = 0
         while a < len(docs):
@@ -192,7 +190,7 @@ class Scorer:
     def documents(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(probability, first word of the worst window or -1) of each text; 0 without words."""
         raw, worst, many = np.zeros(len(texts)), np.full(len(texts), -1, np.int64), np.zeros(len(texts))
-        for i, (starts, logits) in enumerate(self.windows(texts)):
+        for i, (starts, logits) in enumerate(self.windows([words_of(t) for t in texts])):
             if len(starts):
                 j = int(logits.argmax())
                 raw[i], worst[i], many[i] = logits[j], starts[j], len(starts)
@@ -201,46 +199,58 @@ class Scorer:
         return np.where(many > 0, p, 0.0), worst
 
 
-def _log_odds(docs: list[set], y: np.ndarray) -> dict:
-    """How much oftener a feature's documents are of class 1 than others, in logs, drawn to 0 where they are few."""
-    pos, neg = Counter(), Counter()
-    for d, label in zip(docs, y):
-        (pos if label else neg).update(d)
-    share = min(max(float(y.mean()), 1e-3), 1 - 1e-3) if len(y) else 0.5
-    odds = lambda f: (pos[f] + SHRINK * share) / (neg[f] + SHRINK * (1 - share)) * (1 - share) / share
-    return {f: float(np.clip(np.log(odds(f)), -4, 4)) if pos[f] + neg[f] >= LEAST_DOCS else 0.0 for f in pos.keys() | neg.keys()}
+def _log_odds(pos: np.ndarray, neg: np.ndarray, share: float) -> np.ndarray:
+    """From each feature's numbers of documents of either class: how much oftener it stands for class 1, in logs, drawn to 0 where they are few."""
+    share = min(max(share, 1e-3), 1 - 1e-3)
+    odds = (pos + SHRINK * share) / (neg + SHRINK * (1 - share)) * (1 - share) / share
+    return np.where(pos + neg >= LEAST_DOCS, np.clip(np.log(odds), -4, 4), 0.0)
 
 
 class Trainer:
     def __init__(self, texts: Sequence[str], y: np.ndarray, seed: int = 3):
         self.rng, self.y = np.random.default_rng(seed), y
-        self.docs = [words_of(t) for t in texts]
-        seen = Counter(w for d in self.docs for w in set(d))
-        known = [w for w, n in sorted(seen.items(), key=lambda x: (-x[1], x[0])) if n >= LEAST_DOCS][:VOCABULARY]
-        vocabulary = {w: i for i, w in enumerate(known, 1)}
+        # Documents are kept as numbers of words: each word's text and features are there once.
+        index: dict[str, int] = {}
+        self.ids = [np.array([index.setdefault(w, len(index)) for w in words_of(t)], np.int64) for t in texts]
+        self.words = list(index)
+        share = float(y.mean()) if len(y) else 0.5
+        docs = self._documents(self.ids, len(index))
+        order = np.lexsort((np.array(self.words, dtype=object).astype(str), -docs.sum(axis=0))) if index else np.zeros(0, np.int64)
+        known = [int(i) for i in order if docs[:, i].sum() >= LEAST_DOCS][:VOCABULARY]
+        self.vocabulary = {self.words[i]: k for k, i in enumerate(known, 1)}
+        self.known = np.zeros(len(index), np.int64)
+        self.known[known] = np.arange(1, len(known) + 1)
+        sizes, feats = [], []
+        for w in self.words:
+            f = char_features(w)
+            sizes.append(len(f))
+            feats.append(np.array(f, np.int32))
+        self.sizes = np.array(sizes, np.int64)
+        self.feats = np.concatenate(feats) if feats else np.zeros(0, np.int32)
+        self.begin = np.cumsum(self.sizes) - self.sizes
         g = lambda *s: self.rng.normal(0, 0.1, s)
         D, H = WORD_DIM + CHAR_DIM, HIDDEN
         self.p = {"E": g(len(known) + 1, WORD_DIM), "C": g(CHAR_BUCKETS, CHAR_DIM), "W": g(D, 6 * H) * 3, "bias": np.zeros(6 * H), "U0": g(H, 3 * H) * 2, "U1": g(H, 3 * H) * 2, "v": g(2 * H), "w": g(2 * H) * 3, "b": np.zeros(1)}
-        self.words = sorted(seen)
-        index = {w: i for i, w in enumerate(self.words)}
-        self.known = np.array([vocabulary.get(w, 0) for w in self.words], np.int64)
-        feats = [char_features(w) for w in self.words]
-        self.sizes = np.array([len(f) for f in feats], np.int64)
-        self.feats = np.array([x for f in feats for x in f], np.int64)
-        self.begin = np.cumsum(self.sizes) - self.sizes
         # The first place of every vector starts from the feature's log odds.
-        words = _log_odds([set(d) for d in self.docs], y)
-        chars = _log_odds([{x for w in set(d) for x in feats[index[w]]} for d in self.docs], y)
         self.p["E"][0] = 0
-        for w, i in vocabulary.items():
-            self.p["E"][i, 0] = words[w] / 2
-        for f, o in chars.items():
-            self.p["C"][f, 0] = o / 2
-        self.vocabulary = vocabulary
-        self.ids = [np.array([index[w] for w in d], np.int64) for d in self.docs]
+        self.p["E"][1:, 0] = _log_odds(docs[1, known], docs[0, known], share) / 2
+        chars = self._documents([self.feats[self._rows(np.unique(d))] for d in self.ids], CHAR_BUCKETS)
+        self.p["C"][:, 0] = np.where(chars.sum(axis=0) > 0, _log_odds(chars[1], chars[0], share) / 2, self.p["C"][:, 0])
         self.moments = {k: (np.zeros_like(x), np.zeros_like(x)) for k, x in self.p.items()}
         self.step = 0
 
+    def _documents(self, of: list[np.ndarray], size: int) -> np.ndarray:
+        """Numbers of documents of class 0 and of class 1 that have each feature."""
+        n = np.zeros((2, size))
+        for features, label in zip(of, self.y):
+            n[int(label), np.unique(features)] += 1
+        return n
+
+    def _rows(self, words: np.ndarray) -> np.ndarray:
+        """Places of the words' features."""
+        sizes = self.sizes[words]
+        return np.repeat(self.begin[words] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
     def network(self) -> Network:
         p = self.p
         f = lambda x: x.astype(np.float32)
@@ -254,8 +264,7 @@ class Trainer:
         uniq, inverse = np.unique(ids, return_inverse=True)
         inverse = inverse.reshape(-1)
         sizes = self.sizes[uniq]
-        rows = np.repeat(self.begin[uniq] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-        feats = self.feats[rows]
+        feats = self.feats[self._rows(uniq)]
         chars = np.add.reduceat(p["C"][feats], np.cumsum(sizes) - sizes, axis=0) / sizes[:, None]
         x = np.concatenate((p["E"][self.known[uniq]], chars), axis=1)
         X = (x @ p["W"] + p["bias"])[inverse].reshape(T, B, 6 * H)
@@ -325,7 +334,8 @@ class Trainer:
             chosen: list[tuple[np.ndarray, int]] = []
             worst = None
             if epoch >= epochs // 3:
-                worst = Scorer(self.network()).windows([" ".join(self.docs[i]) for i in docs])
+                scorer = Scorer(self.network())
+                worst = scorer.windows([[self.words[j] for j in self.ids[i]] for i in docs])
             for k, i in enumerate(docs):
                 starts = windows_of(len(self.ids[i]))
                 if worst is None:
@@ -383,7 +393,7 @@ def train(texts: Sequence[str], y: Sequence[int], rate: float | None = None, epo
         trainer.run(np.flatnonzero(~aside), epochs)
     net = trainer.network()
     fit = np.flatnonzero(aside) if aside.any() and len(set(y[aside].tolist())) == 2 else np.arange(len(y))
-    rows = [(logits.max(), np.log(len(starts)), 1.0, y[i]) for i, (starts, logits) in zip(fit, Scorer(net).windows([texts[i] for i in fit])) if len(starts)]
+    rows = [(logits.max(), np.log(len(starts)), 1.0, y[i]) for i, (starts, logits) in zip(fit, Scorer(net).windows([words_of(texts[i]) for i in fit])) if len(starts)]
     if rows and len({r[3] for r in rows}) == 2:
         X = np.array(rows)
         net.platt = _platt(X[:, :3], X[:, 3])
