@@ -48,9 +48,9 @@ NUMBERS_16 = [
 SPACES = [(0x09, 0x0D), (0x20, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000)]
 
 #: Longest piece, in characters, whose ids are remembered, and how many recent pieces are.
-MEMO_CHARS, MEMO_PIECES = 48, 160_000
+MEMO_CHARS, MEMO_PIECES = 48, 110_000
 #: States after which the table starts anew.
-MAX_STATES = 220_000
+MAX_STATES = 200_000
 #: Texts over this length are split and decoded block by block.
 LONG_TEXT, BLOCK_PIECES = 1 << 20, 1 << 16
 
@@ -124,11 +124,11 @@ class Transducer:
         self._reset()
 
     def _reset(self) -> None:
-        start = ((-1, ROOT, ()),)
+        # A state is a flat tuple of its items: last token, trie node, tokens held back, and so on.
+        start = (-1, ROOT, ())
         self.states: list[tuple] = [start]
         self.number: dict[tuple, int] = {start: 0}
-        self.arcs: list[dict[int, tuple[int, tuple]]] = [{}]
-        self.last: list[tuple] = [()]
+        self.arcs: dict[int, tuple[int, tuple]] = {}
 
     def _merges(self, token: int) -> tuple[list, list]:
         """The merges that build a token, in order: (rank, the symbol then at its right end) and the same for its left end; None ends a list whose token the merges don't build."""
@@ -153,7 +153,7 @@ class Transducer:
         key = a << 32 | b
         got = self._may.get(key)
         if got is None:
-            if len(self._may) > 500_000:
+            if len(self._may) > 200_000:
                 self._may.clear()
             got = self._may[key] = self._border_stays(a, b)
         return got
@@ -182,34 +182,34 @@ class Transducer:
                 j += 1
 
     def _arc(self, state: int, byte: int) -> tuple[int, tuple]:
-        items, done, child, token_at = [], None, self.child, self.token_at
-        for prev, node, held in self.states[state]:
-            nxt = child[node].get(byte)
+        """The state that a byte leads to, made if it is new, and the tokens that all its items agree on."""
+        items, done, child, token_at, key = [], None, self.child, self.token_at, self.states[state]
+        for i in range(0, len(key), 3):
+            nxt = child[key[i + 1]].get(byte)
             if nxt is None:
                 continue
             token = token_at[nxt]
-            if done is None and token >= 0 and self.may_follow(prev, token):
-                done = (token, ROOT, (*held, token))
+            if done is None and token >= 0 and self.may_follow(key[i], token):
+                done = (token, ROOT, (*key[i + 2], token))
             if child[nxt]:
-                items.append((prev, nxt, held))
+                items += (key[i], nxt, key[i + 2])
         if done is None:
             raise ValueError(f"no token ends with byte {byte}")
-        items.append(done)
-        first, agreed = items[0][2], 0
+        items += done
+        first, agreed, held = items[2], 0, items[2::3]
         for token in first:
-            if any(len(x[2]) <= agreed or x[2][agreed] != token for x in items):
+            if any(len(x) <= agreed or x[agreed] != token for x in held):
                 break
             agreed += 1
-        emit = first[:agreed]
-        key = tuple([(p, n, h[agreed:]) for p, n, h in items]) if agreed else tuple(items)
+        if agreed:
+            items[2::3] = [x[agreed:] for x in held]
+        key = tuple(items)
         number = self.number.get(key)
         if number is None:
             number = self.number[key] = len(self.states)
             self.states.append(key)
-            self.arcs.append({})
-            self.last.append(key[-1][2])
-        self.arcs[state][byte] = number, emit
-        return number, emit
+        hop = self.arcs[state << 8 | byte] = (number, first[:agreed])
+        return hop
 
     def encode(self, piece: bytes) -> list[int]:
         """Ids of one piece; a piece that is a token is that token."""
@@ -218,25 +218,23 @@ class Transducer:
             return [whole]
         if len(self.states) > self.max_states:
             self._reset()
-        arcs, state, out = self.arcs, 0, []
+        look, state, out = self.arcs.get, 0, []
         for byte in piece:
-            hop = arcs[state].get(byte)
+            hop = look(state << 8 | byte)
             if hop is None:
                 # Pieces are short, but one long piece must not fill the table either.
-                if len(self.states) > 4 * self.max_states:
+                if len(self.states) > 2 * self.max_states:
                     key = self.states[state]
                     self._reset()
-                    arcs = self.arcs
+                    look = self.arcs.get
                     state = self.number.setdefault(key, len(self.states))
                     if state == len(self.states):
                         self.states.append(key)
-                        arcs.append({})
-                        self.last.append(key[-1][2])
                 hop = self._arc(state, byte)
             state, emit = hop
             if emit:
                 out += emit
-        out += self.last[state]
+        out += self.states[state][-1]
         return out
 
 
@@ -323,16 +321,9 @@ class Codec:
         return "".join(self.decode_stream(array[i : i + BLOCK_PIECES] for i in range(0, len(array), BLOCK_PIECES)))
 
 
-_codecs: dict[tuple[str, str], Codec] = {}
-
-
 def codec(path: str, pattern: str) -> Codec:
-    """The codec of a rank file; a worker keeps it between its tasks."""
-    key = (path, pattern)
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(read_ranks(path), pattern)
-    return _codecs[key]
+    """The codec of a rank file."""
+    return Codec(read_ranks(path), pattern)
 
 
 FIELDS = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())]
