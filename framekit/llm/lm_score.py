@@ -10,6 +10,7 @@ under the target model: the higher, the more it is like the target.
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Sequence
@@ -21,14 +22,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import annotate, held_out, ship, slices
+from .common import annotate, held_out, kept, ship, slices
 
 #: Words of the vocabulary (the corpus's commonest), and classes of other words by their ends.
 VOCABULARY, CLASSES = 1500, 256
 #: Pseudo-counts of the lower order at each order.
 SMOOTHING = 16.0
 #: Words counted before a task's counts leave it.
-FLUSH = 400_000
+FLUSH = 100_000
 
 WORD = re.compile(r"\w+")
 
@@ -79,9 +80,11 @@ def smoothed(counts: np.ndarray, smoothing: float = SMOOTHING) -> np.ndarray:
 def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(word, n) over all whole texts; each task adds up before the shuffle."""
     ship(docs.sparkSession)
+    token = uuid.uuid4().hex
 
     def run(batches: Iterable[pa.RecordBatch]):
-        seen: Counter = Counter()
+        seen: Counter = kept(token, Counter)
+        seen.clear()
 
         def out():
             batch = pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
@@ -105,10 +108,11 @@ def count_bigrams(docs: DataFrame, vocabulary: Sequence[str], text_col: str = "t
     """(bigram, background, target): counts over all whole texts and over the flagged ones."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(list(vocabulary))
+    token = uuid.uuid4().hex
 
     def run(batches: Iterable[pa.RecordBatch]):
-        ids = Ids(shared.value)
-        n = np.zeros((2, ids.size * ids.size), np.int64)
+        ids = kept(token, lambda: Ids(shared.value))
+        n = np.zeros((2, ids.size * ids.size), np.int32)
         for batch in batches:
             texts, flags = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in slices(texts):
@@ -176,7 +180,8 @@ def score(df: DataFrame, models: Models, text_col: str = "text", keep: list[str]
 
 def flag_targets(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(text, is_target): whether the document's id is in ``ids`` (one column, ``id``); NULL ids never are."""
-    wanted = ids.select(F.col("id").alias("__wanted")).where("__wanted is not null").distinct()
+    # The ids grow with the corpus: merging keeps one plan at every size.
+    wanted = ids.select(F.col("id").alias("__wanted")).where("__wanted is not null").distinct().hint("merge")
     own = F.col(f"`{id_col}`")
     rows = docs.select(own.alias("__id"), F.col(f"`{text_col}`").alias("text"))
     # Rows without an id are spread by their text: they must not meet in one task.
