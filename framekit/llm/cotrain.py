@@ -113,11 +113,10 @@ def train(texts: Sequence, metas: Sequence, y: Sequence[int], more_texts: Sequen
     sample has another. Without both classes every document gets the share's side.
     """
     y = np.asarray(y, float)
-    X = [np.array([text_features(t) for t in texts]).reshape(len(y), -1), np.array([meta_features(m) for m in metas]).reshape(len(y), -1)]
-    n = len(more_texts)
-    U = [np.array([text_features(t) for t in more_texts]).reshape(n, -1), np.array([meta_features(m) for m in more_metas]).reshape(n, -1)]
+    sizes, n = [BIGRAMS + 12, META], len(more_texts)
+    X = [np.array([text_features(t) for t in texts]).reshape(-1, sizes[0]), np.array([meta_features(m) for m in metas]).reshape(-1, sizes[1])]
+    U = [np.array([text_features(t) for t in more_texts]).reshape(-1, sizes[0]), np.array([meta_features(m) for m in more_metas]).reshape(-1, sizes[1])]
     if len(set(y.tolist())) < 2:
-        sizes = [BIGRAMS + 12, META]
         return CoTrained([np.zeros(s) for s in sizes], [np.zeros(s + 1) for s in sizes], np.array([0.0, 0.0, 2.0 if y.any() else -2.0 if len(y) else 0.0]))
     centre = [x.mean(axis=0) for x in X]
     X, U = [x - c for x, c in zip(X, centre)], [u - c for u, c in zip(U, centre)]
