@@ -14,6 +14,7 @@ from typing import Any
 
 from pyspark.sql import functions as F
 
+from .dashboard import Dashboard
 from .dataset import OPERATIONS, Dataset
 from .errors import ConfigurationError, OperationError
 from .functions.expressions import col, is_numeric, is_temporal
@@ -89,3 +90,9 @@ class Agent:
             raise ConfigurationError("no planner is set")
         steps = self.planner(prompt, profile(self.dataset), tools())
         return {"steps": steps, "results": self.run(steps)}
+
+    def dashboard(self, prompt: str) -> Dashboard:
+        """The results of a conversation turn on one page."""
+        done = self.chat(prompt)
+        titles = [f"{i + 1}. {step.name}" for i, step in enumerate(done["steps"])]
+        return Dashboard(prompt).collect({t: str(r) if isinstance(r, (dict, list)) else r for t, r in zip(titles, done["results"])})

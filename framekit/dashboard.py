@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib.util
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -52,6 +53,17 @@ class Dashboard:
         self.widgets.append(Widget(title, kind, content))
         return self
 
+    def collect(self, results: dict[str, Any]) -> Dashboard:
+        """Add each named result that can be shown."""
+        for title, content in results.items():
+            if content is not None:
+                self.add(title, content)
+        return self
+
+    def design(self) -> list[dict[str, Any]]:
+        """Where each widget stands: its row, its place in the row and its kind."""
+        return [{"title": w.title, "kind": w.kind, "row": i // PER_ROW, "column": i % PER_ROW} for i, w in enumerate(self.widgets)]
+
     def summarize(self) -> list[str]:
         return [w.summary() for w in self.widgets]
 
@@ -64,6 +76,15 @@ class Dashboard:
         style = ".row{display:flex;gap:1em}section{flex:1}.metric{font-size:2em}"
         return f"<!doctype html><html><head><meta charset='utf-8'><title>{escape(self.title)}</title><style>{style}</style></head><body><h1>{escape(self.title)}</h1>{rows}</body></html>"
 
+    def show(self) -> Any:
+        """The page in a notebook, where there is one; its HTML otherwise."""
+        html = self.render()
+        if importlib.util.find_spec("IPython"):
+            from IPython.display import HTML
+
+            return HTML(html)
+        return html
+
     def save(self, path: str) -> str:
         with open(path, "w", encoding="utf-8") as f:
             f.write(self.render())

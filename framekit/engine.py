@@ -33,7 +33,7 @@ class Engine:
         self.active_id: str | None = None
         self.datasets: dict[str, Dataset] = {}
         self.registry: list[dict[str, Any]] = []
-        self.lineage = Lineage()
+        self.lineage, self.planner = Lineage(), None
         self.connect()
 
     # Session
@@ -44,6 +44,20 @@ class Engine:
         self.lineage = Lineage(lambda: self._read_json("lineage") or [], lambda rows: self._write_json("lineage", rows))
         return self
 
+    def enable_agent(self, planner: Any) -> None:
+        """Set the callable that turns prompts into steps, for ``chat`` and ``dashboard``."""
+        self.planner = planner
+
+    def chat(self, prompt: str, data_id: str | None = None) -> dict[str, Any]:
+        from .agent import Agent
+
+        return Agent(self.dataset(data_id), self.planner).chat(prompt)
+
+    def dashboard(self, prompt: str, data_id: str | None = None) -> Any:
+        from .agent import Agent
+
+        return Agent(self.dataset(data_id), self.planner).dashboard(prompt)
+
     def close(self) -> None:
         self.datasets.clear()
         self.active_id = None

@@ -102,6 +102,12 @@ def test_agent(spark, tmp_path):
     assert profile(d)["columns"]["cat"]["values"]
     agent = Agent(d, lambda prompt, about, have: [Step("mean", {"column": "a"}), Step("sum", {"column": "a"}, [0])])
     assert agent.chat("?")["results"] == [25, 100]
+    assert agent.dashboard("?").design()[1] == {"title": "2. sum", "kind": "metric", "row": 0, "column": 1}
+    d.engine.enable_agent(agent.planner)
+    d.engine.set_active(d.data_id)
+    assert d.engine.chat("?")["results"] == [25, 100] and "2. sum" in d.engine.dashboard("?").render()
+    with pytest.raises(ConfigurationError):
+        Agent(d).chat("?")
     with pytest.raises(OperationError):
         agent.run([Step("mean", {"column": "a"}, [1]), Step("sum", {"column": "a"}, [0])])
 
