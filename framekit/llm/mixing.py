@@ -90,6 +90,8 @@ def mix(
     rows = df.select(
         F.col(f"`{id_col}`").alias("id"),
         F.col(f"`{source_col}`").alias("source"),
+        # Never NULL, so that one shuffle serves the join and the window.
+        F.coalesce(F.concat(F.lit("s"), F.col(f"`{source_col}`")), F.lit("n")).alias("part"),
         word_count(F.col(f"`{text_col}`")).alias("size"),
         random_key(F.col(f"`{id_col}`"), seed).alias("key"),
         *([F.struct(*[F.col(f"`{c}`").alias(c) for c in keep]).alias("row")] if keep else []),
@@ -104,13 +106,14 @@ def mix(
     ranged = rows.withColumn("range", range_of)
     # Carried columns come from the input again rather than through another table.
     moved = whole_rows.withColumn("range", range_of) if keep else ranged
-    sums = ranged.groupBy("source", "range").agg(F.sum("size").alias("words"))
-    ahead = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("source", "range", F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("offset"))
-    plan = plan.select(F.col("source").alias("s"), "source_size", "target")
-    offsets = sums.join(plan, sums["source"].eqNullSafe(plan["s"])).select(F.col("source").alias("s"), F.col("range").alias("r"), "offset", "source_size", "target")
-    joined = moved.join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
-    inside = Window.partitionBy("source", "range").orderBy("key", "size", F.col("id").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = ranged.groupBy("part", "range").agg(F.sum("size").alias("words"))
+    ahead = Window.partitionBy("part").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("part", "range", F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("offset"))
+    plan = plan.select(F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("p"), "source_size", "target")
+    offsets = sums.join(plan, F.col("part") == F.col("p")).select("p", F.col("range").alias("r"), "offset", "source_size", "target")
+    # Ranges grow with the corpus: merging keeps one plan at every size, and its shuffle serves the window.
+    joined = moved.join(offsets.hint("merge"), (F.col("part") == F.col("p")) & (F.col("range") == F.col("r")))
+    inside = Window.partitionBy("part", "range").orderBy("key", "size", F.col("id").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     joined = joined.withColumn("start", F.col("offset") + F.sum("size").over(inside) - F.col("size"))
     budget = F.round("target").cast("bigint")
     whole = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("bigint")
