@@ -124,7 +124,8 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = materialize(with_fingerprints(rows, "text", ["id"], words), "fingerprints")
     near = _classes(rows, radius)
     keys = materialize(near.where("id is not null and id = component_id").groupBy("id").agg(F.count(F.lit(1)).alias("n")), "kept")
-    named = df.join(keys.select(F.col("id").alias("__kept")), F.col(f"`{id_col}`") == F.col("__kept"), "left_semi")
+    # The kept ids grow with the corpus: merging keeps one plan at every size.
+    named = df.join(keys.select(F.col("id").alias("__kept")).hint("merge"), F.col(f"`{id_col}`") == F.col("__kept"), "left_semi")
     if keys.where("n > 1").limit(1).count():
         named = named.dropDuplicates([id_col])
     if not rows.where("id is null").limit(1).count():
