@@ -25,12 +25,14 @@ BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    Read from ``spark.checkpoint.dir``; only a session that names none (a local
-    test session) gets a temporary folder of its own.
+    Read from ``spark.checkpoint.dir``. A session that names none takes the
+    warehouse, which executors share as well, or, where driver and executors are
+    one process (tests), a temporary folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="framekit-shared-")
+        alone = spark.sparkContext.master.split("[")[0] == "local"
+        base = "file://" + tempfile.mkdtemp(prefix="framekit-shared-") if alone else spark.conf.get("spark.sql.warehouse.dir")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
@@ -82,9 +84,23 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._framekit_path = path
+    _written.append(path)
     return back
 
 
+#: Tables that this session's operators wrote and haven't deleted.
+_written: list[str] = []
+
+
+def sweep(spark: SparkSession) -> int:
+    """Delete all tables that operators of this session wrote; call it when no result of theirs is read any more."""
+    n = len(_written)
+    while _written:
+        where = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return n
+
+
 def discard(df: DataFrame | None) -> None:
     """Delete a table that ``materialize`` wrote, once nothing reads it any more."""
     path = getattr(df, "_framekit_path", None)
@@ -93,6 +109,8 @@ def discard(df: DataFrame | None) -> None:
     jvm = df.sparkSession._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+    with contextlib.suppress(ValueError):
+        _written.remove(path)
 
 
 def fold(doc_id: Column) -> Column:
