@@ -131,7 +131,9 @@ def search(index: DataFrame, queries: DataFrame, points: np.ndarray, neighbours:
     n, q = index.count(), queries.count()
     block = min(BLOCK_MOST, max(BLOCK_LEAST, n // BLOCKS_LEAST))
     g, h = max(1, -(-n // block)), max(1, -(-q // QUERY_BLOCK))
-    vectors = index.select("id", "vector", "pivot_order", F.pmod(F.xxhash64("id", "vector"), F.lit(g)).cast("int").alias("g"), F.explode(F.sequence(F.lit(0), F.lit(h - 1))).alias("h"))
+    # The row's place in the written index spreads rows that repeat.
+    spread = index.withColumn("at", F.monotonically_increasing_id())
+    vectors = spread.select("id", "vector", "pivot_order", F.pmod(F.xxhash64("id", "at"), F.lit(g)).cast("int").alias("g"), F.explode(F.sequence(F.lit(0), F.lit(h - 1))).alias("h"))
     asked = queries.select(F.col("id").alias("query_id"), "vector", "pivot_order", F.explode(F.sequence(F.lit(0), F.lit(g - 1))).alias("g"), F.pmod(F.xxhash64("id"), F.lit(h)).cast("int").alias("h"))
     count = len(points)
 
