@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from ..errors import OperationError
 from ..functions.expressions import NUMBER, as_double, col, field, from_micros, is_integer, is_numeric, is_temporal
 from ..functions.ordered import fill, index
+from ..functions.quantiles import quantiles
 
 NUMERIC_MODES = ("constant", "mean", "avg", "average", "median", "mode", "std", "var", "variance", "min", "max", "ffill", "bfill")
 CATEGORICAL_MODES = ("constant", "mode", "map", "ffill", "bfill")
@@ -47,6 +48,13 @@ def _statistic(c: Column, kind: T.DataType, mode: str, what: str) -> Column:
     return out.cast("timestamp_ntz") if what == "datetime" else out
 
 
+def _median(df: DataFrame, c: Column, kind: T.DataType, what: str) -> Column:
+    """The whole column's exact median, at any size."""
+    if what == "numeric":
+        return F.get(quantiles(df, [as_double(c, kind)], [0.5])[0], F.lit(0))
+    return from_micros(F.rint(F.get(quantiles(df, [F.unix_micros(c.cast("timestamp"))], [0.5])[0], F.lit(0))), T.TimestampNTZType())
+
+
 def _fit(value: Column, kind: T.DataType, what: str) -> Column:
     """A filled value in the type of the filled column."""
     if what == "datetime":
@@ -106,7 +114,7 @@ def fillna(df: DataFrame, column: str, value: object = None, method: str = "mean
     elif mode == "map":
         return df.withColumn(name, _mapped(c, mapping or {}))
     else:
-        filler = df.agg(_statistic(c, kind, mode, what).alias("s")).scalar()
+        filler = df.agg((_median(df, c, kind, what) if mode == "median" else _statistic(c, kind, mode, what)).alias("s")).scalar()
         if what == "numeric":
             filler = F.coalesce(filler, F.lit(0.0))
     base = as_double(c, kind).cast(kind) if what == "numeric" and not is_numeric(kind) else c

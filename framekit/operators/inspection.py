@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from ..errors import OperationError
 from ..functions.expressions import as_double, col, field, is_numeric, is_temporal, unit_of, unpivot
 from ..functions.ordered import index
+from ..functions.quantiles import quantiles
 from .stats import numeric_columns
 
 CASTS = {
@@ -73,10 +74,10 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     names = numeric_columns(df, columns)
     if not names:
         raise OperationError("no numeric columns")
-    parts = []
+    parts, quarters = [], quantiles(df, [col(c).cast("double") for c in names], [0.25, 0.5, 0.75])
     for i, c in enumerate(names):
         x = col(c).cast("double")
-        parts += [F.count(x).cast("double").alias(f"c{i}"), F.avg(x).alias(f"a{i}"), F.stddev_samp(x).alias(f"s{i}"), F.min(x).alias(f"l{i}"), F.max(x).alias(f"h{i}"), F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}")]
+        parts += [F.count(x).cast("double").alias(f"c{i}"), F.avg(x).alias(f"a{i}"), F.stddev_samp(x).alias(f"s{i}"), F.min(x).alias(f"l{i}"), F.max(x).alias(f"h{i}"), quarters[i].alias(f"q{i}")]
     one = df.agg(*parts)
     pick = {"count": "c", "mean": "a", "std": "s", "min": "l", "max": "h"}
     rows = []
@@ -119,10 +120,10 @@ def numeric_summary(df: DataFrame, columns: Sequence[str], most: int = 20) -> Da
     names = [c for c in list(columns)[:most] if c in numeric_columns(df, columns)]
     if not names:
         raise OperationError("no numeric columns")
-    parts = [F.count(F.lit(1)).alias("all")]
+    parts, quarters = [F.count(F.lit(1)).alias("all")], quantiles(df, [col(c).cast("double") for c in names], [0.25, 0.5, 0.75])
     for i, c in enumerate(names):
         x = col(c).cast("double")
-        parts += [F.count(x).alias(f"c{i}"), F.avg(x).alias(f"a{i}"), F.stddev_samp(x).alias(f"s{i}"), F.min(x).alias(f"l{i}"), F.max(x).alias(f"h{i}"), F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}")]
+        parts += [F.count(x).alias(f"c{i}"), F.avg(x).alias(f"a{i}"), F.stddev_samp(x).alias(f"s{i}"), F.min(x).alias(f"l{i}"), F.max(x).alias(f"h{i}"), quarters[i].alias(f"q{i}")]
     one = df.agg(*parts)
     rows = [(F.lit(c), F.col(f"c{i}"), F.col("all") - F.col(f"c{i}"), F.col(f"a{i}"), F.col(f"s{i}"), F.col(f"l{i}"), *[F.get(f"q{i}", F.lit(k)) for k in range(3)], F.col(f"h{i}")) for i, c in enumerate(names)]
     return unpivot(one, rows, ("column_name", "count", "nulls", "mean", "std", "min", "q25", "q50", "q75", "max"))

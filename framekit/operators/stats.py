@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from ..errors import OperationError
 from ..functions.expressions import as_double, col, epoch, field, from_micros, is_numeric, is_temporal, kurtosis, pair_mask, safe_corr, skewness, unpivot
 from ..functions.ordered import shift
+from ..functions.quantiles import quantiles
 
 #: Expressions in one aggregate; wider reports take several.
 CHUNK = 400
@@ -21,7 +22,6 @@ NUMERIC: dict[str, Callable[[Column], Column]] = {
     "std": F.stddev_pop,
     "var": F.var_pop,
     "sem": lambda c: F.stddev_samp(c) / F.sqrt(F.count(c).cast("double")),
-    "iqr": lambda c: F.percentile(c, 0.75) - F.percentile(c, 0.25),
     "range": lambda c: F.max(c) - F.min(c),
     "skew": skewness,
     "kurtosis": kurtosis,
@@ -54,10 +54,13 @@ def scalar(df: DataFrame, column: str, name: str) -> DataFrame:
     if name in ("mean", "median"):
         if is_temporal(f.dataType):
             micros = F.unix_micros(col(column).cast("timestamp"))
-            value = F.avg(micros) if name == "mean" else F.median(micros)
+            value = F.avg(micros) if name == "mean" else F.get(quantiles(df, [micros], [0.5])[0], F.lit(0))
             return df.agg(from_micros(F.rint(value), f.dataType).alias("value"))
-        c = numeric(df, column)
-        return df.agg((F.avg(c) if name == "mean" else F.median(c)).cast("double").alias("value"))
+        c = numeric(df, column).cast("double")
+        return df.agg((F.avg(c) if name == "mean" else F.get(quantiles(df, [c], [0.5])[0], F.lit(0))).alias("value"))
+    if name == "iqr":
+        q = quantiles(df, [numeric(df, column).cast("double")], [0.25, 0.75])[0]
+        return df.agg((F.get(q, F.lit(1)) - F.get(q, F.lit(0))).alias("value"))
     if name == "mad":
         c = numeric(df, column).cast("double")
         centre = df.agg(F.avg(c).alias("m")).scalar()
@@ -99,14 +102,14 @@ def proportions(df: DataFrame, column: str) -> DataFrame:
 def quantile(df: DataFrame, column: str, q: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
     """(q, value): exact, interpolated quantiles."""
     c = numeric(df, column).cast("double")
-    one = df.agg(F.percentile(c, F.array(*[F.lit(float(x)) for x in q])).alias("v"))
+    one = df.agg(quantiles(df, [c], list(q))[0].alias("v"))
     return unpivot(one, [(F.lit(float(x)), F.get("v", F.lit(i))) for i, x in enumerate(q)], ("q", "value"))
 
 
 def outliers_iqr(df: DataFrame, column: str) -> DataFrame:
     """q1, q3, iqr and bounds of 1.5 iqr around them."""
     c = numeric(df, column).cast("double")
-    one = df.agg(F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias("p")).select(F.get("p", F.lit(0)).alias("q1"), F.get("p", F.lit(1)).alias("q3"))
+    one = df.agg(quantiles(df, [c], [0.25, 0.75])[0].alias("p")).select(F.get("p", F.lit(0)).alias("q1"), F.get("p", F.lit(1)).alias("q3"))
     one = one.withColumn("iqr", F.col("q3") - F.col("q1"))
     return one.select(F.lit(column).alias("column"), "q1", "q3", "iqr", (F.col("q1") - 1.5 * F.col("iqr")).alias("lower_bound"), (F.col("q3") + 1.5 * F.col("iqr")).alias("upper_bound"))
 

@@ -6,6 +6,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from framekit import ConfigurationError, Engine, OperationError
 from framekit.functions import ordered
@@ -279,6 +280,22 @@ def test_order_across_ranges(spark):
     assert ordered.index(text, "k", "at").where("at <> i").count() == 0
 
 
+def test_quantiles_by_narrowing(spark, monkeypatch):
+    from framekit.functions import quantiles as Q
+
+    rng = np.random.default_rng(3)
+    values = np.concatenate((rng.normal(size=3000), np.full(2500, 0.25), rng.integers(0, 5, 1500)))
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double")
+    monkeypatch.setattr(Q, "SMALL_ROWS", 0)
+    monkeypatch.setattr(Q, "FEW_ROWS", 40)
+    monkeypatch.setattr(Q, "RANGES", 8)
+    shares = [0.0, 0.1, 0.5, 0.777, 1.0]
+    assert [r[1] for r in X.quantile(df, "v", shares).collect()] == pytest.approx(np.quantile(values, shares).tolist())
+    assert X.scalar(df, "v", "median").first()[0] == pytest.approx(np.median(values))
+    assert I.describe(df).where("statistic = '75%'").first()["v"] == pytest.approx(np.quantile(values, 0.75))
+    assert Q.exact(spark.createDataFrame([], "v double"), F.col("v"), [0.5]) == [None]
+
+
 def test_upload_overrides(engine, tmp_path):
     path = tmp_path / "a.csv"
     path.write_text('id,name,score,dt\n1,"a\nb",9.5,2024-01-01\n2,c,8.0,2024-01-02\n')
