@@ -13,6 +13,7 @@ import re
 import zlib
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -35,7 +36,7 @@ THRESHOLD = 0.7
 #: Pseudo-documents in a feature's first value, and documents that it must be in.
 SHRINK, LEAST_DOCS = 4.0, 5
 #: Words whose inputs a worker remembers.
-MEMO_WORDS = 80_000
+MEMO_WORDS = 100_000
 
 WORD = re.compile(r"\w+")
 
@@ -96,22 +97,31 @@ class Scorer:
 
     def __init__(self, net: Network):
         self.net, self.number = net, {}
-        self.table = np.zeros((0, 6 * HIDDEN), np.float32)
+        self.table, self.uses = np.zeros((0, 6 * HIDDEN), np.float32), np.zeros(0, np.int64)
         # sigmoid(x) = (tanh(x / 2) + 1) / 2: the halving of z and r is folded into the weights.
         half = np.concatenate((np.full(2 * HIDDEN, 0.5, np.float32), np.ones(HIDDEN, np.float32)))
         self.scale = np.concatenate((half, half))
         self.UT = [np.ascontiguousarray((u * half).T.astype(np.float32)) for u in net.U]
         self.heads = [np.stack((net.v[d * HIDDEN : (d + 1) * HIDDEN], net.w[d * HIDDEN : (d + 1) * HIDDEN])).astype(np.float32) for d in (0, 1)]
 
+    def _forget(self) -> None:
+        """Keep the words used most, half of the table at most."""
+        keep = np.argsort(-self.uses, kind="stable")[: MEMO_WORDS // 2]
+        keep = np.sort(keep[self.uses[keep] > 1])
+        words = list(self.number)
+        self.number = {words[i]: k for k, i in enumerate(keep.tolist())}
+        self.table, self.uses = self.table[keep], self.uses[keep] // 2
+
     def _numbers(self, docs: list[list[str]]) -> list[list[int]]:
         if len(self.number) > MEMO_WORDS:
-            self.number, self.table = {}, self.table[:0]
+            self._forget()
         number = self.number
         fresh = dict.fromkeys(w for d in docs for w in set(d).difference(number))
         if fresh:
             for w in fresh:
                 number[w] = len(number)
             self.table = np.concatenate((self.table, self.net.inputs(list(fresh)) * self.scale))
+            self.uses = np.concatenate((self.uses, np.zeros(len(fresh), np.int64)))
         look = number.__getitem__
         return [list(map(look, d)) for d in docs]
 
@@ -167,7 +177,8 @@ class Scorer:
         numbers = self._numbers(docs)
         sizes = np.array([len(d) for d in docs], np.int64)
         offsets = np.cumsum(sizes) - sizes
-        flat = np.fromiter((x for d in numbers for x in d), np.int64, int(sizes.sum()))
+        flat = np.fromiter(chain.from_iterable(numbers), np.int64, int(sizes.sum()))
+        self.uses += np.bincount(flat, minlength=len(self.uses))
         own = [windows_of(n) for n in sizes]
         X = np.ascontiguousarray(self.table[flat].T)
         logits = [np.zeros(len(o), np.float32) for o in own]
