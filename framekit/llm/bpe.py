@@ -47,10 +47,12 @@ NUMBERS_16 = [
 # Unicode's White_Space.
 SPACES = [(0x09, 0x0D), (0x20, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000)]
 
-#: Longest piece, in characters, whose ids are remembered, and how many recent pieces are.
-MEMO_CHARS, MEMO_PIECES = 48, 110_000
-#: States after which the table starts anew.
-MAX_STATES = 200_000
+#: Longest piece, in characters, whose ids are remembered.
+MEMO_CHARS = 48
+#: States after which the table starts anew, and recent pieces remembered, in each worker: about 0.4 GB.
+MAX_STATES, MEMO_PIECES = 400_000, 220_000
+#: The same where a worker's memory is shared with other stages: about 0.25 GB, a little slower.
+SMALL_TABLES = (200_000, 110_000)
 #: Texts over this length are split and decoded block by block.
 LONG_TEXT, BLOCK_PIECES = 1 << 20, 1 << 16
 
@@ -271,17 +273,17 @@ class Utf8Stream:
 class Codec:
     """Whole texts to ids and back."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.transducer, self.pattern = Transducer(ranks), compile_pattern(pattern)
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_states: int = MAX_STATES, memo_pieces: int = MEMO_PIECES):
+        self.transducer, self.pattern = Transducer(ranks, max_states), compile_pattern(pattern)
         self.token_bytes = [self.transducer.bytes_of.get(i, b"") for i in range(max(ranks.values(), default=-1) + 1)]
-        self.memo = self._Memo(self.transducer)
+        self.memo = self._Memo(self.transducer, memo_pieces)
 
     class _Memo(dict):
         """Packed ids of the pieces seen lately; pieces in use outlive the clearing."""
 
-        def __init__(self, transducer: Transducer):
+        def __init__(self, transducer: Transducer, most: int):
             super().__init__()
-            self.encode, self.before, self.pack = transducer.encode, {}, [Struct(f"<{n}I").pack for n in range(MEMO_CHARS)]
+            self.most, self.encode, self.before, self.pack = most, transducer.encode, {}, [Struct(f"<{n}I").pack for n in range(MEMO_CHARS)]
 
         def __missing__(self, piece: str) -> bytes:
             packed = self.before.get(piece)
@@ -290,7 +292,7 @@ class Codec:
                 packed = self.pack[len(ids)](*ids) if len(ids) < MEMO_CHARS else np.array(ids, "<u4").tobytes()
                 if len(piece) > MEMO_CHARS:
                     return packed
-            if len(self) >= MEMO_PIECES:
+            if len(self) >= self.most:
                 self.before = dict(self)
                 self.clear()
             self[piece] = packed
@@ -321,29 +323,30 @@ class Codec:
         return "".join(self.decode_stream(array[i : i + BLOCK_PIECES] for i in range(0, len(array), BLOCK_PIECES)))
 
 
-def codec(path: str, pattern: str) -> Codec:
+def codec(path: str, pattern: str, tables: tuple[int, int] = (MAX_STATES, MEMO_PIECES)) -> Codec:
     """The codec of a rank file."""
-    return Codec(read_ranks(path), pattern)
+    return Codec(read_ranks(path), pattern, *tables)
 
 
 FIELDS = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())]
 
 
-def encode_documents(df: DataFrame, path: str, pattern: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def encode_documents(df: DataFrame, path: str, pattern: str, text_col: str = "text", keep: list[str] | None = None, tables: tuple[int, int] = (MAX_STATES, MEMO_PIECES)) -> DataFrame:
     """Encode every whole text and decode the ids again.
 
     Adds ``n_tokens``, ``ids`` (little-endian unsigned 32-bit integers) and
     ``decoded``. NULL and empty texts have no tokens and decode to "". Repeated
     rows each get their result; an empty table gives an empty one; input columns
     named like an output give way to it. No shuffle: each task reads its rows and
-    holds a few MB of them at a time.
+    holds a few MB of them at a time. ``tables`` bounds the transducer's states
+    and the pieces remembered; results don't depend on it.
 
     ``path`` must be readable on every executor (the rank files are installed
     with the interpreter).
     """
 
     def make():
-        own = codec(path, pattern)
+        own = codec(path, pattern, tables)
 
         def apply(texts):
             ids = [own.encode(t) for t in texts]

@@ -43,9 +43,7 @@ def test_hard_texts(own, theirs, text):
 def test_blocks_and_small_tables(theirs, monkeypatch):
     monkeypatch.setattr(bpe, "LONG_TEXT", 50)
     monkeypatch.setattr(bpe, "BLOCK_PIECES", 7)
-    monkeypatch.setattr(bpe, "MEMO_PIECES", 5)
-    small = bpe.Codec(bpe.read_ranks(PATH), P.PATTERN)
-    small.transducer.max_states = 20
+    small = bpe.Codec(bpe.read_ranks(PATH), P.PATTERN, 20, 5)
     text = "Thereonation of hedgehogs, überaus 1234567 unhelpfully; antidisestablishmentarianism! " * 4 + "q" * 500
     assert ids(small.encode(text)) == theirs.encode_ordinary(text) and small.decode(small.encode(text)) == text
 
