@@ -111,7 +111,7 @@ def lag(df: DataFrame, column: str, order_by: str | Sequence[str], target: str)
     return joined.withColumn(target, F.col("__prior.v")).drop("__prior", "__carry", BUCKET)
 
 
-def index(df: DataFrame, order_by: str | Sequence[str], target: str, partition_hint: str | None = None) -> DataFrame:
+def index(df: DataFrame, order_by: str | Sequence[str], target: str) -> DataFrame:
     """``target``: each row's place in order, from 0 and without gaps."""
     keys = ordering(order_by)
     rows = bucketed(df, keys[0])

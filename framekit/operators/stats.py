@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import OperationError
-from ..functions.expressions import as_double, col, epoch, field, from_micros, is_numeric, is_temporal, kurtosis, pair_mask, safe_corr, skewness, unpivot
+from ..functions.expressions import SECONDS, as_double, col, epoch, field, from_micros, is_numeric, is_temporal, kurtosis, pair_mask, safe_corr, skewness, unpivot
 from ..functions.ordered import shift
 from ..functions.quantiles import quantiles
 
@@ -193,13 +193,10 @@ def time_delta_stats(df: DataFrame, column: str) -> DataFrame:
     return gap.agg(F.count("d").alias("cnt"), F.min("d").alias("min_d"), F.max("d").alias("max_d"), F.avg("d").alias("avg_d"), F.median("d").alias("median_d"), F.stddev_pop("d").alias("std_d"))
 
 
-RATE_UNITS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800}
-
-
 def event_rate(df: DataFrame, column: str, unit: str = "day") -> DataFrame:
     """One row, ``value``: events in each unit of the time spanned; 0 if none is spanned."""
     t = epoch(_temporal(df, column))
-    span = (F.max(t) - F.min(t)) / float(RATE_UNITS.get(unit, 86400))
+    span = (F.max(t) - F.min(t)) / float(SECONDS.get(unit, SECONDS["day"]))
     return df.agg(F.when(span > 0, F.count(t) / span).otherwise(F.lit(0.0)).alias("value"))
 
 

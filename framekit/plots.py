@@ -6,7 +6,6 @@ Figures are plotly's where it is installed, plain specifications otherwise.
 from __future__ import annotations
 
 import importlib.util
-from collections.abc import Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -87,7 +86,3 @@ def show(figure: Any, path: str | None = None) -> str:
 
 def escape(text: str) -> str:
     return text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
-
-
-def names_of(kind: str) -> Sequence[str]:
-    return COLUMNS[kind]
