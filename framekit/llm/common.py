@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 
 #: Text bytes that a Python worker holds at once (a single longer text still goes whole).
 BLOCK_BYTES = 4 << 20
+#: Longest text, in characters, that a model's training sample takes; longer ones are scored like all others.
+SAMPLE_CHARS = 500_000
 #: Most bytes of an Arrow batch between the JVM and a Python worker.
 BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import annotate, held_out
+from .common import SAMPLE_CHARS, annotate, held_out
 
 #: Labelled documents of each class and unlabelled ones that training may use at most.
 SAMPLE_DOCS, SAMPLE_UNLABELLED = 1200, 2500
@@ -165,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # The unlabelled sample comes from the start of another hash order; labelled ids among them are dropped.
     other = [r[0] for r in named.where("id is not null").select("id").orderBy(F.xxhash64(F.lit(7), "id"), "id").limit(SAMPLE_UNLABELLED).collect()]
     ids = sorted(set(label) | set(other))
-    rows = sorted(named.where(F.col("id").isin(ids)).collect(), key=lambda r: (r[0], r[1] or "")) if ids else []
+    rows = sorted(named.where(F.col("id").isin(ids) & (F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS)).collect(), key=lambda r: (r[0], r[1] or "")) if ids else []
     own, more = [r for r in rows if r[0] in label], [r for r in rows if r[0] not in label]
     total = sum(n.values())
     return train([r[1] for r in own], [tuple(r[2:]) for r in own], [label[r[0]] for r in own], [r[1] for r in more], [tuple(r[2:]) for r in more], n.get(1, 0) / total if total else None)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import annotate, held_out
+from .common import SAMPLE_CHARS, annotate, held_out
 
 #: Letter classes: 0 stands for what isn't a letter, FREQUENT classes for the
 #: corpus's commonest letters, the rest for the other letters by code block.
@@ -174,7 +174,7 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     if not first:
         return [], []
     ids = sorted({r[0] for r in reduce(DataFrame.union, first).collect()})
-    rows = able.where(F.col("id").isin(ids) & F.col("text").isNotNull()).select("lang", "text", "id").collect()
+    rows = able.where(F.col("id").isin(ids) & (F.length("text") <= SAMPLE_CHARS)).select("lang", "text", "id").collect()
     rows.sort(key=lambda r: (r[2], r[0], r[1]))
     texts, labels = [r[1] for r in rows], [r[0] for r in rows]
     return texts, labels

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import annotate, held_out
+from .common import SAMPLE_CHARS, annotate, held_out
 
 #: Words in a window and from one window to the next.
 WINDOW, STRIDE = 32, 16
@@ -424,7 +424,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     picks = able.where("y = 0").distinct().orderBy(F.xxhash64("id"), "id").limit(each)
     picks = picks.union(able.where("y = 1").distinct().orderBy(F.xxhash64("id"), "id").limit(each)).collect()
     label = {r[0]: r[1] for r in picks}
-    rows = docs.where(F.col(f"`{id_col}`").isin(sorted(label))).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where("text is not null").collect() if label else []
+    rows = docs.where(F.col(f"`{id_col}`").isin(sorted(label))).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where(F.length("text") <= SAMPLE_CHARS).collect() if label else []
     rows.sort(key=lambda r: (r[0], r[1]))
     total = sum(n.values())
     return [r[1] for r in rows], [label[r[0]] for r in rows], n.get(1, 0) / total if total else None
