@@ -51,8 +51,8 @@ SPACES = [(0x09, 0x0D), (0x20, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x168
 MEMO_CHARS = 48
 #: States after which the table starts anew, and recent pieces remembered, in each worker: about 0.4 GB.
 MAX_STATES, MEMO_PIECES = 400_000, 220_000
-#: The same where a worker's memory is shared with other stages: about 0.25 GB, a little slower.
-SMALL_TABLES = (200_000, 110_000)
+#: The same where a worker's memory is shared with other stages: about 0.2 GB, a little slower.
+SMALL_TABLES = (150_000, 80_000)
 #: Texts over this length are split and decoded block by block.
 LONG_TEXT, BLOCK_PIECES = 1 << 20, 1 << 16
 
