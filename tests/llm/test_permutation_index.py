@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from framekit.llm import permutation_index as I
@@ -78,3 +79,18 @@ def test_query(spark):
     got, want = found(I.op10_ann(spark, sf)), plain(rows, 20, 20)
     assert set(got) == set(want)
     assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.9
+
+
+def test_recall_of_the_production_setting(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(50000, 64)).astype(np.float32)
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.FixedSizeListArray.from_arrays(x.reshape(-1), 64).cast(pa.list_(pa.float32()))}))
+    got = found(I.nearest(df, 500))
+    y = x.astype(float)
+    hits = []
+    for q in range(0, len(y), 500):
+        near = y @ y[q]
+        near[q] = -np.inf
+        hits.append(len({i for i, _ in got[q]} & set(np.argsort(-near)[:20].tolist())) / 20)
+    assert len(got) == 100 and np.mean(hits) >= 0.97, np.mean(hits)
+    print(f"recall {np.mean(hits):.4f}")
