@@ -1,28 +1,35 @@
 """A quality classifier by co-training of two views.
 
 One classifier sees a page's text, the other its metadata. Both start from the
-labelled documents. In each round each labels the unlabelled documents that it
-is surest of, and the other learns from those. At last a calibration of both
+labelled documents. In each round one pass scores all unlabelled documents with
+both, and each learns from every document that the other is sure of, through
+sums of gradients and of bounds of the curvature. At last a calibration of both
 views' log odds on labelled documents kept aside combines them.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SAMPLE_CHARS, annotate, held_out
+from .common import SAMPLE_CHARS, annotate, held_out, kept, ship, slices
 
-#: Labelled documents of each class and unlabelled ones that training may use at most.
-SAMPLE_DOCS, SAMPLE_UNLABELLED = 1200, 2500
-#: Rounds of exchange, and documents of each class that a view hands over in a round.
-ROUNDS, HANDED = 5, 60
+#: Labelled documents of each class that training may use at most.
+SAMPLE_DOCS = 1200
+#: Rounds of exchange, each a pass over all unlabelled documents.
+ROUNDS = 5
+#: Weight of a document handed over, and the most that all of them weigh, in shares of the labelled ones' weight.
+HANDED, HANDED_MOST = 0.3, 0.3
+#: Documents whose features are held at once, and groups that the tasks' sums are added up in.
+BLOCK_DOCS, SUM_GROUPS = 2000, 16
 BIGRAMS, META = 512, 256
 #: Least probability at which a view is sure of a label.
 SURE = 0.9
@@ -77,14 +84,20 @@ def _sigmoid(x):
     return 0.5 * (np.tanh(0.5 * x) + 1)
 
 
-def fit_logistic(X: np.ndarray, y: np.ndarray, weight: np.ndarray, start: np.ndarray | None = None, rounds: int = 200, decay: float = 1e-3) -> np.ndarray:
-    """Weights (bias last) of a weighted logistic regression, by Adam over all rows."""
+def fit_logistic(X: np.ndarray, y: np.ndarray, weight: np.ndarray, start: np.ndarray | None = None, rounds: int = 200, decay: float = 1e-3, more: tuple[float, np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Weights (bias last) of a weighted logistic regression, by Adam over all rows.
+
+    ``more`` are (weight, gradient, curvature) of further rows at ``start``.
+    """
     X = np.concatenate((X, np.ones((len(X), 1))), axis=1)
     w = np.zeros(X.shape[1]) if start is None else start.copy()
     m, v = np.zeros_like(w), np.zeros_like(w)
-    total = weight.sum() or 1.0
+    extra, slope, bend = more or (0.0, 0.0, 0.0)
+    total = weight.sum() + extra or 1.0
     for k in range(1, rounds + 1):
         g = X.T @ (weight * (_sigmoid(X @ w) - y)) / total + decay * w
+        if more:
+            g += (slope + bend * (w - start)) / total
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= 0.05 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-9)
     return w
@@ -106,20 +119,58 @@ class CoTrained:
         return _sigmoid(z @ self.blend)
 
 
-def train(texts: Sequence, metas: Sequence, y: Sequence[int], more_texts: Sequence, more_metas: Sequence, share: float | None = None) -> CoTrained:
+def handed_over(model: CoTrained, text: np.ndarray, meta: np.ndarray) -> np.ndarray:
+    """Sums over the documents that one view is sure of, for the other one: their number, gradient and curvature.
+
+    Views, then classes, in a row. The curvature is a diagonal that bounds the
+    logistic loss's whole second derivative, so no step on it overshoots.
+    """
+    z, out = [model.logits(0, text), model.logits(1, meta)], []
+    for k, X in enumerate((text, meta)):
+        A = np.concatenate((X - model.centre[k], np.ones((len(X), 1))), axis=1)
+        p, other = _sigmoid(z[k]), _sigmoid(z[1 - k])
+        for c, sure in ((0, other <= 1 - SURE), (1, other >= SURE)):
+            size = np.abs(A[sure])
+            out += [[sure.sum()], A[sure].T @ (p[sure] - c), size.T @ size.sum(axis=1) / 4]
+    return np.concatenate(out)
+
+
+def _sums(model: CoTrained, texts: Sequence, metas: Sequence) -> np.ndarray:
+    """``handed_over`` of documents in blocks."""
+    total = np.zeros(sum(4 * len(w) + 2 for w in model.views))
+    for a in range(0, len(texts), BLOCK_DOCS):
+        text, meta = [text_features(t) for t in texts[a : a + BLOCK_DOCS]], [meta_features(m) for m in metas[a : a + BLOCK_DOCS]]
+        total += handed_over(model, np.array(text), np.array(meta))
+    return total
+
+
+def _learn_from(sums: np.ndarray, k: int, width: int, labelled: float) -> tuple[float, np.ndarray, np.ndarray] | None:
+    """Weighted sums of both classes for one view; the classes weigh alike where there are enough documents."""
+    at = 0 if k == 0 else len(sums) - 2 * (2 * width + 1)
+    both = sums[at : at + 2 * (2 * width + 1)].reshape(2, -1)
+    if not both[:, 0].any():
+        return None
+    u = np.minimum(HANDED, HANDED_MOST / 2 * labelled / np.maximum(both[:, 0], 1))
+    return float(u @ both[:, 0]), u @ both[:, 1 : width + 1], u @ both[:, width + 1 :]
+
+
+def train(texts: Sequence, metas: Sequence, y: Sequence[int], more_texts: Sequence = (), more_metas: Sequence = (), share: float | None = None, gather: Callable[[CoTrained], np.ndarray] | None = None) -> CoTrained:
     """Both views and their blend from labelled and unlabelled documents.
 
-    ``share`` is the share of class 1 among all labelled documents where the
-    sample has another. Without both classes every document gets the share's side.
+    ``gather`` gives the sums of ``handed_over`` over all unlabelled documents
+    where they aren't in ``more_texts``. ``share`` is the share of class 1 among
+    all labelled documents where the sample has another. Without both classes
+    every document gets the share's side.
     """
     y = np.asarray(y, float)
-    sizes, n = [BIGRAMS + 12, META], len(more_texts)
+    sizes = [BIGRAMS + 12, META]
+    if gather is None and len(more_texts):
+        gather = lambda model: _sums(model, more_texts, more_metas)
     X = [np.array([text_features(t) for t in texts]).reshape(-1, sizes[0]), np.array([meta_features(m) for m in metas]).reshape(-1, sizes[1])]
-    U = [np.array([text_features(t) for t in more_texts]).reshape(-1, sizes[0]), np.array([meta_features(m) for m in more_metas]).reshape(-1, sizes[1])]
     if len(set(y.tolist())) < 2:
         return CoTrained([np.zeros(s) for s in sizes], [np.zeros(s + 1) for s in sizes], np.array([0.0, 0.0, 2.0 if y.any() else -2.0 if len(y) else 0.0]))
     centre = [x.mean(axis=0) for x in X]
-    X, U = [x - c for x, c in zip(X, centre)], [u - c for u, c in zip(U, centre)]
+    X = [x - c for x, c in zip(X, centre)]
     aside = np.zeros(len(y), bool)
     for c in (0.0, 1.0):
         own = np.flatnonzero(y == c)
@@ -128,25 +179,12 @@ def train(texts: Sequence, metas: Sequence, y: Sequence[int], more_texts: Sequen
     prior = y[core].mean()
     balance = np.where(y == 1, 0.5 / max(prior, 1e-9), 0.5 / max(1 - prior, 1e-9))
     views = [fit_logistic(X[k][core], y[core], balance[core]) for k in (0, 1)]
-    given: list[dict[int, float]] = [{}, {}]
-    for _ in range(ROUNDS if n else 0):
-        sure = []
-        for k in (0, 1):
-            p = _sigmoid(U[k] @ views[k][:-1] + views[k][-1])
-            order = np.argsort(-p, kind="stable")
-            free = [i for i in order if i not in given[1 - k]]
-            picks = {int(i): 1.0 for i in free[:HANDED] if p[i] >= SURE} | {int(i): 0.0 for i in free[::-1][:HANDED] if p[i] <= 1 - SURE}
-            sure.append(picks)
-        for k in (0, 1):
-            given[k] |= sure[1 - k]
-            rows = np.array(sorted(given[k]), int)
-            labels = np.array([given[k][i] for i in rows])
-            A = np.concatenate((X[k][core], U[k][rows])) if len(rows) else X[k][core]
-            b = np.concatenate((y[core], labels)) if len(rows) else y[core]
-            w = np.concatenate((balance[core], np.full(len(rows), 0.3))) if len(rows) else balance[core]
-            views[k] = fit_logistic(A, b, w, views[k], 60)
-    rest = np.flatnonzero(aside) if aside.any() else np.arange(len(y))
     out = CoTrained(centre, views, np.zeros(3))
+    for _ in range(ROUNDS if gather else 0):
+        sums = gather(out)
+        more = [_learn_from(sums, k, len(views[k]), balance[core].sum()) for k in (0, 1)]
+        out.views = views = [fit_logistic(X[k][core], y[core], balance[core], views[k], 60, more=more[k]) for k in (0, 1)]
+    rest = np.flatnonzero(aside) if aside.any() else np.arange(len(y))
     z = np.stack([X[0][rest] @ views[0][:-1] + views[0][-1], X[1][rest] @ views[1][:-1] + views[1][-1]], axis=1).clip(-30, 30)
     out.blend = fit_logistic(z, y[rest], np.ones(len(rest)), np.array([0.5, 0.1, 0.0]), 400, 2e-3)
     if share is not None and 0 < share < 1 and 0 < y.mean() < 1:
@@ -154,21 +192,52 @@ def train(texts: Sequence, metas: Sequence, y: Sequence[int], more_texts: Sequen
     return out
 
 
+def _gather(named: DataFrame, labelled: set, metas: int) -> Callable[[CoTrained], np.ndarray]:
+    """One pass over all rows (id, text, m0, ...) whose id isn't labelled; tasks add up, then groups of tasks, then the driver."""
+    ship(named.sparkSession)
+    sc = named.sparkSession.sparkContext
+    rows = named.select("id", F.struct("text", *[f"m{i}" for i in range(metas)]).alias("page"))
+    ids = sc.broadcast(labelled)
+
+    def gather(model: CoTrained) -> np.ndarray:
+        shared, token = sc.broadcast(model), uuid.uuid4().hex
+
+        def run(batches: Iterable[pa.RecordBatch]):
+            own = kept(token, lambda: shared.value)
+            total = None
+            for batch in batches:
+                names, pages = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                for a, b in slices(pages):
+                    mine = [p for i, p in zip(names[a:b], pages[a:b]) if i not in ids.value]
+                    if mine:
+                        got = _sums(own, [p["text"] for p in mine], [tuple(p[f"m{i}"] for i in range(metas)) for p in mine])
+                        total = got if total is None else total + got
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+        def add(table: pa.Table) -> pa.Table:
+            parts = sorted(table["sums"].to_pylist())
+            return pa.table({"sums": pa.array([np.sum([np.frombuffer(x) for x in parts], axis=0).tobytes()], pa.binary())})
+
+        parts = rows.mapInArrow(run, "sums binary").withColumn("g", F.pmod(F.spark_partition_id(), F.lit(SUM_GROUPS)))
+        found = sorted(r[0] for r in parts.groupBy("g").applyInArrow(add, "sums binary").collect())
+        shared.unpersist()
+        return np.sum([np.frombuffer(x) for x in found], axis=0) if found else _sums(model, [], [])
+
+    return gather
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta_cols: Sequence[str] = ("lang", "source", "n_chars"), label_col: str = "quality") -> CoTrained:
-    """A classifier from bounded samples, by hash order of ids, of labelled documents outside the held-out fold and of others."""
+    """A classifier from a bounded sample, by hash order of ids, of labelled documents outside the held-out fold, and from all other documents."""
     able = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y"))
     able = able.where(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("id")))
     n = dict(able.groupBy("y").count().collect())
     first = lambda d, k: d.distinct().orderBy(F.xxhash64("id"), "id").limit(k)
     label = {r[0]: r[1] for r in first(able.where("y = 0"), SAMPLE_DOCS).union(first(able.where("y = 1"), SAMPLE_DOCS)).collect()}
     named = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), *[F.col(f"`{c}`").alias(f"m{i}") for i, c in enumerate(meta_cols)])
-    # The unlabelled sample comes from the start of another hash order; labelled ids among them are dropped.
-    other = [r[0] for r in named.where("id is not null").select("id").orderBy(F.xxhash64(F.lit(7), "id"), "id").limit(SAMPLE_UNLABELLED).collect()]
-    ids = sorted(set(label) | set(other))
-    rows = sorted(named.where(F.col("id").isin(ids) & (F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS)).collect(), key=lambda r: (r[0], r[1] or "")) if ids else []
-    own, more = [r for r in rows if r[0] in label], [r for r in rows if r[0] not in label]
+    own = sorted(named.where(F.col("id").isin(sorted(label)) & (F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS)).collect(), key=lambda r: (r[0], r[1] or "")) if label else []
     total = sum(n.values())
-    return train([r[1] for r in own], [tuple(r[2:]) for r in own], [label[r[0]] for r in own], [r[1] for r in more], [tuple(r[2:]) for r in more], n.get(1, 0) / total if total else None)
+    return train([r[1] for r in own], [tuple(r[2:]) for r in own], [label[r[0]] for r in own], share=n.get(1, 0) / total if total else None, gather=_gather(named, set(label), len(meta_cols)))
 
 
 FIELDS = [T.StructField("quality_score", T.DoubleType())]

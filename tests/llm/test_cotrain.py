@@ -1,4 +1,7 @@
+from zlib import crc32
+
 import numpy as np
+from pyspark.sql import functions as F
 
 from framekit.llm import cotrain as C
 from tests.llm.helpers import by_id, documents, held_out, none, odd_documents
@@ -62,3 +65,23 @@ def test_query(spark):
     labels = [r for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if held_out(r["doc_id"])]
     assert np.mean([got[r["doc_id"]][1] == r["quality"] for r in labels]) > 0.85
     assert documents(spark, []).count() == 0
+
+
+def test_every_sure_document_is_handed_over(spark):
+    rows = corpus(4000)
+    labels = [(r[0], r[5]) for r in split(rows)[0]]
+    docs = documents(spark, [r[:5] for r in rows])
+    # The documents that come last in the order that the pool of 2,500 was taken in.
+    late = {r[0] for r in docs.orderBy(F.xxhash64(F.lit(7), "doc_id").desc()).limit(1000).collect()} - {i for i, _ in labels}
+    others = sum(C.meta_features(r[2:5]) for r in rows)
+    name = next(n for n in (f"rare{k}" for k in range(1000)) if not others[crc32(f"1={n}".encode()) % C.META])
+    rows = [(*r[:3], name, *r[4:]) if r[0] in late and r[5] else r for r in rows]
+    docs = documents(spark, [r[:5] for r in rows])
+    model = C.fit(docs, spark.createDataFrame(labels, "doc_id bigint, quality int"))
+    assert model.views[1][crc32(f"1={name}".encode()) % C.META] > 0
+    # Spread over tasks, the sums are those of all unlabelled rows in one place.
+    known = {i for i, _ in labels}
+    rest = [r for r in rows if r[0] not in known]
+    got = C._gather(docs.selectExpr("doc_id id", "text", "lang m0", "source m1", "n_chars m2"), known, 3)(model)
+    assert np.allclose(got, C._sums(model, [r[1] for r in rest], [r[2:5] for r in rest]))
+    assert got[0] > 5 * 60
