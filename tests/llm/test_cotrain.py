@@ -85,3 +85,8 @@ def test_every_sure_document_is_handed_over(spark):
     got = C._gather(docs.selectExpr("doc_id id", "text", "lang m0", "source m1", "n_chars m2"), known, 3)(model)
     assert np.allclose(got, C._sums(model, [r[1] for r in rest], [r[2:5] for r in rest]))
     assert got[0] > 5 * 60
+
+
+def test_mean_word_length_takes_every_word():
+    words = ["a", "b", "cdef"] * 400
+    assert np.isclose(C.text_features(" ".join(words))[-2], 2 / 20)
