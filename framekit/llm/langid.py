@@ -12,10 +12,9 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -163,17 +162,15 @@ def infer(model: LanguageModel, texts: Sequence[str | None], penalty: float = PE
 def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, each: int) -> tuple[list[str], list[str]]:
     """Whole texts and languages of at most ``each`` documents a language, outside the held-out fold, by hash order of ids.
 
-    Ids are ranked first, so that texts of the chosen ones alone leave the scan.
-    Languages are few; a label that more than 256 others come before in code
-    point order isn't learned.
+    Ids are ranked first, in one pass over all labels, so that texts of the chosen ones alone leave the scan.
     """
     able = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"))
     able = able.where(F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")))
-    langs = [r[0] for r in able.select("lang").distinct().orderBy("lang").limit(256).collect()]
-    first = [able.where(F.col("lang") == x).select("id").orderBy(F.xxhash64("id"), "id").limit(each) for x in langs]
-    if not first:
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
+    first = able.select("lang", "id").withColumn("place", place).where(F.col("place") <= each)
+    ids = sorted({r["id"] for r in first.collect()})
+    if not ids:
         return [], []
-    ids = sorted({r[0] for r in reduce(DataFrame.union, first).collect()})
     rows = able.where(F.col("id").isin(ids) & (F.length("text") <= SAMPLE_CHARS)).select("lang", "text", "id").collect()
     rows.sort(key=lambda r: (r[2], r[0], r[1]))
     texts, labels = [r[1] for r in rows], [r[0] for r in rows]

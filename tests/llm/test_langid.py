@@ -95,3 +95,10 @@ def test_query(spark):
     assert len(got) == len(docs) and all(got[d["doc_id"]]["held_out"] == held_out(d["doc_id"]) for d in docs)
     held = [d for d in docs if held_out(d["doc_id"])]
     assert np.mean([got[d["doc_id"]]["lang_pred"] == d["lang"] for d in held]) > 0.95
+
+
+def test_every_label_is_learned(spark):
+    rows = [(1000 + i, f"noise number {i}", f"a{i:03}", "s", 0) for i in range(400)] + [(5000 + i, "the quick brown fox", "zz", "s", 0) for i in range(30)]
+    rows = [r for r in rows if not held_out(r[0])]
+    texts, langs = langid.training_sample(documents(spark, rows), "doc_id", "text", "lang", 10)
+    assert len(set(langs)) > 257 and set(langs) == {r[2] for r in rows} and langs.count("zz") == 10 and len(texts) == len(langs)
