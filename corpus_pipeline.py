@@ -15,9 +15,6 @@ from pyspark.sql import functions as F
 from framekit.llm import bpe, langid, mixing, simhash, toxicity
 from framekit.llm.common import materialize
 
-#: Least share of its main language that a document must have.
-MAIN_LANGUAGE = 0.5
-
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below the toxicity threshold; the network learns from this input's labelled documents."""
@@ -26,9 +23,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters of which one learned language has at least half."""
+    """Documents with letters, in one learned language or in a mixture of them."""
     found = langid.identify(_boxed(docs), langid.fit(docs), "__text")
-    return _own(docs, found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_score") >= MAIN_LANGUAGE)))
+    return _own(docs, found.where(F.col("lang_pred") != langid.UNKNOWN))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -76,3 +76,17 @@ def test_odd_documents(spark, tmp_path):
             out = stage(spark, docs, sf)
             assert name == "bpe" or out.columns == docs.columns
             out.count()
+
+
+def test_mixtures_of_languages_stay(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) between 400 and 3000 and lang is not null")
+    one = {}
+    for r in sorted(langid.identify(docs, langid.fit(docs)).where("lang_score > 0.98").collect(), key=lambda r: r["doc_id"]):
+        one.setdefault(r["lang_pred"], r["text"].split())
+    parts = [one[x] for x in sorted(one)[:3]]
+    n = min(map(len, parts)) // 4
+    mixed = " ".join(" ".join(p[: n * k]) for p, k in zip(parts, (4, 3, 3)))
+    more = documents(spark, [(900001, mixed, None, "s", len(mixed))]).unionByName(docs.select("doc_id", "text", "lang", "source", "n_chars"))
+    found = langid.identify(more, langid.fit(more)).where("doc_id = 900001").first()
+    assert found["lang_score"] < 0.5 and len(found["lang_mix"]) == 3
+    assert pipeline.keep_languages(spark, more, SF).where("doc_id = 900001").count() == 1
