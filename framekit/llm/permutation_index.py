@@ -1,18 +1,24 @@
 """Approximate nearest neighbours by a permutation index.
 
-Every vector is represented by the pivots in the order of their nearness to it.
-Each pivot has an inverted file of (vector, place of the pivot in the vector's
-order). A query adds up, over its own pivots' files, how far each vector's
-places lie from its own (Spearman's footrule, a missing pivot counting as the
-place after the last); the vectors of least footrule are ranked again by the
+Every vector is represented by all pivots in the order of their nearness to it
+and posted in the inverted file of its nearest pivot. A vector's order is kept
+as one bit for each pivot and step of places ("is the pivot before this place?"),
+so that Spearman's footrule, counted in those steps, is the number of bits in
+which two orders differ. A query takes the footrule to a sample of the index to
+find the distance that as many vectors lie within as it may rank again, skips
+the files that can't hold any of them (footrule is a metric and every file has a
+centre and a radius), and ranks the others' vectors within that distance by the
 exact inner product.
 
-The files are sharded by blocks of vectors, so a block's files fit a task, and
-every block of queries visits every block of vectors.
+Files are packed into shards of a bounded number of rows; a large file is
+several parts. Vectors go to one shard each; queries go to the shards that hold
+a file that they visit.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -21,12 +27,12 @@ from pyspark.sql import types as T
 
 from .common import materialize, ship
 
-#: Pivots, places kept of each order, and vectors that pivots are chosen from (a bounded sample).
-PIVOTS, PLACES, PIVOT_SAMPLE = 128, 112, 1024
-#: Share of a block's vectors that are ranked again, and the least number of them.
-RERANK_SHARE, RERANK_LEAST = 0.14, 400
-#: Rows in a block of vectors, at least and at most, and of queries at most; blocks at least.
-BLOCK_LEAST, BLOCK_MOST, QUERY_BLOCK, BLOCKS_LEAST = 256, 16384, 4096, 16
+#: Pivots, steps that their places are counted in, and vectors that pivots are chosen from and thresholds found by (a bounded sample).
+PIVOTS, STEPS, PIVOT_SAMPLE = 256, 4, 2048
+#: Vectors that a query ranks again: this many times the root of the index's rows, and at least so many.
+RERANK_ROOT, RERANK_LEAST = 8, 64
+#: Rows in a shard, at least and at most, of its queries at most, and shards at least.
+SHARD_LEAST, SHARD_MOST, QUERY_BLOCK, SHARDS_LEAST = 256, 32768, 32768, 16
 NEIGHBOURS, QUERY_STEP = 20, 20
 
 
@@ -56,114 +62,204 @@ def choose_pivots(sample: np.ndarray, count: int = PIVOTS) -> np.ndarray:
     return units[chosen]
 
 
-def orders(vectors: np.ndarray, pivots: np.ndarray, longest: float, places: int = PLACES, query: bool = False) -> np.ndarray:
-    """The nearest pivots of each vector, in order.
+def orders(vectors: np.ndarray, pivots: np.ndarray, longest: float, query: bool = False) -> np.ndarray:
+    """All pivots in order of their nearness to each vector.
 
     Vectors gain a component that brings all to one length, 0 for queries, so
     that nearness in angle is nearness in inner product whatever the lengths.
     """
     extra = np.zeros(len(vectors)) if query else np.sqrt(np.maximum(longest * longest - (vectors * vectors).sum(axis=1), 0))
     near = vectors @ pivots[:, :-1].T + extra[:, None] * pivots[:, -1]
-    return np.argsort(-near, axis=1, kind="stable")[:, :places].astype(np.uint8)
+    return np.argsort(-near, axis=1, kind="stable")
 
 
-class InvertedFiles:
-    """The pivots' files of one block of vectors."""
+def coded(order: np.ndarray, pivots: int, steps: int | None = None) -> np.ndarray:
+    """Words of bits for each order: whether each pivot stands before the end of each step of places.
 
-    def __init__(self, order: np.ndarray, pivots: int):
-        n, self.places = order.shape
-        self.rows_total = n
-        flat = order.reshape(-1).astype(np.int64)
-        by_pivot = np.argsort(flat, kind="stable")
-        cuts = np.searchsorted(flat[by_pivot], np.arange(pivots + 1))
-        rows, places = by_pivot // self.places, by_pivot % self.places
-        self.files = [(rows[a:b], places[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
+    Without ``steps`` every place is a step and the footrule exact. Pivots that
+    an order leaves out count as being in the place after its last.
+    """
+    n, places = order.shape
+    place = np.full((n, pivots), places, np.int32)
+    np.put_along_axis(place, order.astype(np.int64), np.arange(places, dtype=np.int32)[None, :].repeat(n, 0), axis=1)
+    ends = range(1, places + 1) if steps is None else sorted({places * k // steps for k in range(1, steps + 1)} - {0})
+    bits = np.concatenate([place < e for e in ends if e < pivots] or [np.zeros((n, 1), bool)], axis=1)
+    packed = np.packbits(bits, axis=1)
+    return np.ascontiguousarray(np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8)))).view(np.uint64)
 
-    def footrule(self, order: np.ndarray) -> np.ndarray:
-        """Footrule distance of a query's order to each vector's, over the query's pivots."""
-        k = self.places
-        total = float(sum(k - i for i in range(len(order))))
-        distance = np.full(self.rows_total, total, np.float32)
-        place = np.arange(k)
-        for i, pivot in enumerate(order):
-            rows, places = self.files[pivot]
-            # A vector without the pivot is k - i away; one with it is |place - i| away.
-            distance[rows] += (np.abs(place - i) - (k - i)).astype(np.float32)[places]
-        return distance
 
+class InvertedFiles:
+    """Orders of a shard's vectors, file by file."""
+
+    def __init__(self, order: np.ndarray | None, pivots: int, steps: int | None = None, codes: np.ndarray | None = None):
+        self.pivots, self.steps = pivots, steps
+        codes = coded(order, pivots, steps) if codes is None else codes
+        self.rows_total, self.places = len(codes), None if order is None else order.shape[1]
+        # Word by word, so that each step runs over neighbouring memory.
+        self.words = np.ascontiguousarray(codes.T)
+
+    def differing(self, code: np.ndarray, a: int = 0, b: int | None = None, mask: np.ndarray | None = None) -> np.ndarray:
+        """Number of bits that differ from ``code`` in the rows from a to b."""
+        total = np.zeros(len(self.words[0, a:b]), np.uint16)
+        for k, word in enumerate(code):
+            bits = self.words[k, a:b] ^ word
+            total += np.bitwise_count(bits if mask is None else bits & mask[k])
+        return total
 
-def build_index(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = PIVOTS, sample: int = PIVOT_SAMPLE) -> tuple[DataFrame, np.ndarray, float]:
-    """(table of id, vector and pivot order; pivots; greatest length) over all usable vectors.
+    def footrule(self, order: np.ndarray) -> np.ndarray:
+        """Footrule distance of a query's order to each vector's, over the query's pivots."""
+        ends = self.places if self.steps is None else self.steps
+        own = np.zeros((1, self.pivots), bool)
+        own[0, order] = True
+        packed = np.packbits(np.concatenate([own] * sum(e < self.pivots for e in range(1, ends + 1)), axis=1), axis=1)
+        mask = np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8))).view(np.uint64)[0]
+        return self.differing(coded(order[None, :], self.pivots, self.steps)[0], mask=mask).astype(np.float64)
+
+
+@dataclass
+class Index:
+    """rows (id, vector, file, code, shard), pivots, greatest length; each file's centre, radius and shards; the sample's codes."""
+
+    rows: DataFrame
+    points: np.ndarray
+    longest: float
+    size: int
+    centres: np.ndarray
+    radius: np.ndarray
+    shards: list[list[int]]
+    sample: np.ndarray
+
+
+def _packed(sizes: dict[int, int], most: int) -> list[list[int]]:
+    """Shards of each file: files side by side up to ``most`` rows, larger ones in parts of their own."""
+    out: list[list[int]] = [[] for _ in range(max(sizes, default=-1) + 1)]
+    shard, room = -1, 0
+    for f in sorted(sizes):
+        parts = -(-sizes[f] // most)
+        if parts > 1:
+            out[f] = list(range(shard + 1, shard + 1 + parts))
+            shard, room = shard + parts, 0
+            continue
+        if sizes[f] > room:
+            shard, room = shard + 1, most
+        out[f], room = [shard], room - sizes[f]
+    return out
+
+
+def _codes(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
+
+
+def build_index(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = PIVOTS, sample: int = PIVOT_SAMPLE) -> Index:
+    """The index of all usable vectors.
 
     Rows with a NULL id, an unusable vector or another number of components than
     most rows have (of equally common numbers the greater) take no part. Pivots
-    come from a bounded sample, the first ids in hash order; every row is indexed.
+    come from a bounded sample, the first ids in hash order; every row is
+    indexed. One row a file, and one number of components, reach the driver.
     """
     ship(df.sparkSession)
     rows = df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{vector_col}`").alias("vector")).where(F.col("id").isNotNull() & usable(F.col("vector")))
-    sizes = rows.groupBy(F.size("vector").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("d")).limit(1).collect()
-    dim = sizes[0]["d"] if sizes else 0
-    rows = rows.where(F.size("vector") == dim)
     squares = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    longest = float(np.sqrt(rows.agg(F.max(squares)).first()[0] or 0.0))
+    sizes = rows.groupBy(F.size("vector").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max(squares).alias("most")).orderBy(F.desc("n"), F.desc("d")).limit(1).collect()
+    dim, n, longest = (sizes[0]["d"], sizes[0]["n"], float(np.sqrt(sizes[0]["most"]))) if sizes else (0, 0, 0.0)
+    rows = rows.where(F.size("vector") == dim)
     first = rows.orderBy(F.xxhash64("id"), "id", "vector").limit(sample).collect()
     pool = np.array([r["vector"] for r in first], float).reshape(len(first), dim)
     extra = np.sqrt(np.maximum(longest * longest - (pool * pool).sum(axis=1), 0))
     points = choose_pivots(np.concatenate((pool, extra[:, None]), axis=1), pivots) if len(pool) else np.zeros((0, dim + 1))
-    schema = T.StructType([*rows.schema.fields, T.StructField("pivot_order", T.BinaryType())])
+    count = len(points)
+    # A pivot's own order is its file's centre.
+    centres = coded(np.argsort(-(points @ points.T), axis=1, kind="stable"), count, STEPS) if count else np.zeros((0, 1), np.uint64)
+    schema = T.StructType([*rows.schema.fields, T.StructField("file", T.IntegerType()), T.StructField("code", T.BinaryType()), T.StructField("away", T.IntegerType())])
 
     def represent(batches):
         for b in batches:
             if b.num_rows:
                 order = orders(_matrix(b.column(1)), points, longest)
-                packed = pa.array([x.tobytes() for x in order], pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), packed], names=["id", "vector", "pivot_order"])
+                codes, file = coded(order, count, STEPS), order[:, 0]
+                away = np.bitwise_count(codes ^ centres[file]).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(file, pa.int32()), pa.array([x.tobytes() for x in codes], pa.binary()), pa.array(away, pa.int32())], names=["id", "vector", "file", "code", "away"])
 
-    return materialize(rows.mapInArrow(represent, schema), "index"), points, longest
+    written = materialize(rows.mapInArrow(represent, schema), "index")
+    files = {r["file"]: (r["n"], r["far"]) for r in written.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("far")).collect()}
+    most = min(SHARD_MOST, max(SHARD_LEAST, n // SHARDS_LEAST))
+    shards = _packed({f: x[0] for f, x in files.items()}, most)
+    shards += [[] for _ in range(count - len(shards))]
+    radius = np.array([files.get(f, (0, -1))[1] for f in range(count)], np.int64)
+    pooled = coded(orders(pool, points, longest), count, STEPS) if count else np.zeros((0, 1), np.uint64)
+    return Index(written, points, longest, n, centres, radius, shards, pooled)
 
 
-def search(index: DataFrame, queries: DataFrame, points: np.ndarray, neighbours: int = NEIGHBOURS, share: float = RERANK_SHARE) -> DataFrame:
+def reranked(rows: int) -> int:
+    """Vectors that a query ranks by the exact measure, of so many in the index."""
+    return max(RERANK_LEAST, int(RERANK_ROOT * rows**0.5))
+
+
+def search(index: Index, queries: DataFrame, neighbours: int = NEIGHBOURS) -> DataFrame:
     """(query_id, rank, vec_id, score): the nearest vectors found for each query row (id, vector).
 
     Rows that share the query's id count as its own. Scores are inner products
     in double precision; ties go to the smaller id.
     """
-    n, q = index.count(), queries.count()
-    block = min(BLOCK_MOST, max(BLOCK_LEAST, n // BLOCKS_LEAST))
-    g, h = max(1, -(-n // block)), max(1, -(-q // QUERY_BLOCK))
-    # The row's place in the written index spreads rows that repeat.
-    spread = index.withColumn("at", F.monotonically_increasing_id())
-    vectors = spread.select("id", "vector", "pivot_order", F.pmod(F.xxhash64("id", "at"), F.lit(g)).cast("int").alias("g"), F.explode(F.sequence(F.lit(0), F.lit(h - 1))).alias("h"))
-    asked = queries.select(F.col("id").alias("query_id"), "vector", "pivot_order", F.explode(F.sequence(F.lit(0), F.lit(g - 1))).alias("g"), F.pmod(F.xxhash64("id"), F.lit(h)).cast("int").alias("h"))
-    count = len(points)
-
-    def meet(block: pa.Table, asking: pa.Table) -> pa.Table:
+    points, longest, count = index.points, index.longest, len(index.points)
+    share = min(1.0, max(reranked(index.size), neighbours + 1) / max(1, index.size))
+    within = int(np.ceil(share * len(index.sample)))
+    known, centres, radius, shards = index.sample, index.centres, index.radius, index.shards
+    every = len({s for own in shards for s in own})
+
+    def aim(batches):
+        """Each query's code, its threshold, and the shards that hold a file it visits."""
+        sampled = InvertedFiles(None, count, STEPS, known)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            codes = coded(orders(_matrix(b.column(1)), points, longest, query=True), count, STEPS)
+            limit, visits = [], []
+            for c in codes:
+                limit.append(int(np.partition(sampled.differing(c), within - 1)[within - 1]) if share < 1 else 1 << 20)
+                near = np.flatnonzero((radius >= 0) & (np.bitwise_count(centres ^ c).sum(axis=1) - radius <= limit[-1]))
+                visits.append(sorted({s for f in near for s in shards[f]}))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.tobytes() for x in codes], pa.binary()), pa.array(limit, pa.int32()), pa.array(visits, pa.list_(pa.int32()))], names=["query_id", "asked", "code", "limit", "visits"])
+
+    aimed = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("asked", queries.schema["vector"].dataType), T.StructField("code", T.BinaryType()), T.StructField("limit", T.IntegerType()), T.StructField("visits", T.ArrayType(T.IntegerType()))])
+    asked = queries.select("id", "vector").mapInArrow(aim, aimed)
+    # More queries of a shard than a task should hold are blocks, each with the shard's rows; most are one block.
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    asked = asked.select("query_id", "asked", "code", "limit", F.explode("visits").alias("shard"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"))
+    # One row a file: bounded by the number of pivots.
+    place = F.array(*[F.array(*map(F.lit, own or [0])) for own in shards]) if count else F.array(F.array(F.lit(0)))
+    own = F.element_at(place, F.col("file") + 1)
+    spread = index.rows.withColumn("shard", F.get(own, F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.size(own).cast("bigint")).cast("int")))
+    vectors = spread.select("id", "vector", "file", F.col("code").alias("order"), "shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+
+    def meet(held: pa.Table, asking: pa.Table) -> pa.Table:
         names = ["query_id", "vec_id", "score"]
         types = [pa.int64(), pa.int64(), pa.float64()]
-        if not block.num_rows or not asking.num_rows:
+        if not held.num_rows or not asking.num_rows:
             return pa.table([pa.array([], t) for t in types], names=names)
-        ids = block["id"].to_numpy()
-        by_id = np.argsort(ids, kind="stable")
-        ids, vectors_ = ids[by_id], _matrix(block["vector"])[by_id]
-        unpack = lambda t: np.frombuffer(b"".join(t["pivot_order"].to_pylist()), np.uint8).reshape(t.num_rows, -1)
-        files = InvertedFiles(unpack(block)[by_id], count)
-        wanted = max(RERANK_LEAST, neighbours + 1, int(share * len(ids)))
+        ids, file = held["id"].to_numpy(), held["file"].to_numpy()
+        by_file = np.lexsort((ids, file))
+        ids, file, matrix = ids[by_file], file[by_file], _matrix(held["vector"])[by_file]
+        files = InvertedFiles(None, count, STEPS, _codes(held["order"])[by_file])
+        begin = np.concatenate(([0], np.flatnonzero(np.diff(file)) + 1, [len(file)]))
+        here = file[begin[:-1]]
         out = ([], [], [])
-        for own, vector, order in zip(asking["query_id"].to_pylist(), _matrix(asking["vector"]), unpack(asking)):
-            if wanted < len(ids):
-                found = np.argpartition(files.footrule(order), wanted)[:wanted]
-                found.sort()
-            else:
-                found = np.arange(len(ids))
+        for own, vector, code, limit in zip(asking["query_id"].to_pylist(), _matrix(asking["asked"]), _codes(asking["code"]), asking["limit"].to_pylist()):
+            visit = np.bitwise_count(centres[here] ^ code).sum(axis=1) - radius[here] <= limit
+            # Visited files that stand side by side are read in one go.
+            turn = np.flatnonzero(np.diff(np.concatenate(([0], visit.astype(np.int8), [0]))))
+            found = [begin[i] + np.flatnonzero(files.differing(code, begin[i], begin[j]) <= limit) for i, j in zip(turn[::2], turn[1::2])]
+            found = np.concatenate(found) if found else np.zeros(0, np.int64)
             found = found[ids[found] != own]
-            exact = (vectors_[found] * vector).sum(axis=1)
+            exact = (matrix[found] * vector).sum(axis=1)
             best = np.lexsort((ids[found], -exact))[:neighbours]
             out[0].append(np.full(len(best), own))
             out[1].append(ids[found[best]])
             out[2].append(exact[best])
         return pa.table([pa.array(np.concatenate(x), t) for x, t in zip(out, types)], names=names)
 
-    pairs = vectors.groupBy("g", "h").cogroup(asked.groupBy("g", "h")).applyInArrow(meet, "query_id bigint, vec_id bigint, score double")
+    pairs = vectors.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(meet, "query_id bigint, vec_id bigint, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= neighbours).select("query_id", "rank", "vec_id", "score")
 
@@ -171,20 +267,14 @@ def search(index: DataFrame, queries: DataFrame, points: np.ndarray, neighbours:
 def nearest(df: DataFrame, query_step: int = QUERY_STEP, neighbours: int = NEIGHBOURS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The nearest vectors of every row whose id is divisible by ``query_step``, against all rows.
 
-    Queries that repeat an id are one query, the least of their vectors. An
-    empty table, or one without usable vectors, gives an empty result.
+    Queries that repeat an id are one query, the least of their vectors.
+    Repeated rows are all candidates. An empty table, or one without usable
+    vectors, gives an empty result. Only the two columns named are read, so
+    others may have any name; long vectors are taken whole.
     """
-    index, points, longest = build_index(df, id_col, vector_col)
-    asked = index.where(F.col("id") % query_step == 0).groupBy("id").agg(F.min("vector").alias("vector"))
-    schema = T.StructType([*asked.schema.fields, T.StructField("pivot_order", T.BinaryType())])
-
-    def represent(batches):
-        for b in batches:
-            if b.num_rows:
-                order = orders(_matrix(b.column(1)), points, longest, query=True)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.tobytes() for x in order], pa.binary())], names=["id", "vector", "pivot_order"])
-
-    return search(index, materialize(asked.mapInArrow(represent, schema), "queries"), points, neighbours)
+    index = build_index(df, id_col, vector_col)
+    asked = index.rows.where(F.col("id") % query_step == 0).groupBy("id").agg(F.min("vector").alias("vector"))
+    return search(index, materialize(asked, "queries"), neighbours)
 
 
 def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
