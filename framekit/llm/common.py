@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 
 #: Text bytes that a Python worker holds at once (a single longer text still goes whole).
 BLOCK_BYTES = 4 << 20
-#: Longest text, in characters, that a model's training sample takes; longer ones are scored like all others.
-SAMPLE_CHARS = 500_000
+#: Characters of a model's training sample, shared alike by its groups (classes, languages); each group's last text is whole.
+SAMPLE_CHARS = 32_000_000
 #: Most bytes of an Arrow batch between the JVM and a Python worker.
 BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
@@ -125,6 +125,50 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(fold(doc_id) == 1, F.lit(False))
 
 
+def one_label(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """(id, y) of all ids that are labelled 0 or 1 and lie outside the held-out fold; ids labelled both have no label."""
+    able = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y"))
+    able = able.where(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("id")))
+    return able.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("most")).where("y = most").select("id", "y")
+
+
+def first_ids(able: DataFrame, each: int) -> dict[int, list]:
+    """Ids of either class, by hash order, ``each`` of a class at most."""
+    return {y: [r[0] for r in able.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(each).select("id").collect()] for y in (0, 1)}
+
+
+def within(sizes: dict[object, int], groups: dict[object, list], most: int | None = None) -> list:
+    """Members of each group, in order, until the group's share of ``most`` characters is reached; the last one is whole."""
+    share = (SAMPLE_CHARS if most is None else most) / max(1, len(groups))
+    out = []
+    for own in groups.values():
+        used = 0
+        for x in own:
+            if x in sizes and used < share:
+                out.append(x)
+                used += sizes[x]
+    return out
+
+
+def sample_rows(rows: DataFrame, groups: dict[object, list], most: int | None = None) -> list:
+    """One whole row (id, text, ...) of each id in ``groups`` that the sample's characters have room for, by id.
+
+    Lengths come first, in a pass of their own, so that only chosen texts leave
+    the executors. Of rows that repeat an id the least counts.
+    """
+    ids = sorted({x for own in groups.values() for x in own})
+    if not ids:
+        return []
+    size = F.coalesce(F.length("text"), F.lit(0))
+    sizes = dict(rows.where(F.col("id").isin(ids)).groupBy("id").agg(F.max(size)).collect())
+    chosen = sorted(within(sizes, groups, most))
+    if not chosen:
+        return []
+    others = [c for c in rows.columns if c != "id"]
+    least = rows.where(F.col("id").isin(chosen)).groupBy("id").agg(F.min(F.struct(*others)).alias("row"))
+    return sorted(least.select("id", "row.*").collect(), key=lambda r: r[0])
+
+
 def slices(texts: Sequence[str | None], most: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
     """Consecutive (start, end) runs of about ``most`` characters each."""
     start = size = 0

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SAMPLE_CHARS, annotate, held_out
+from .common import annotate, held_out, within
 
 #: Letter classes: 0 stands for what isn't a letter, FREQUENT classes for the
 #: corpus's commonest letters, the rest for the other letters by code block.
@@ -162,19 +162,27 @@ def infer(model: LanguageModel, texts: Sequence[str | None], penalty: float = PE
 def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, each: int) -> tuple[list[str], list[str]]:
     """Whole texts and languages of at most ``each`` documents a language, outside the held-out fold, by hash order of ids.
 
-    Ids are ranked first, in one pass over all labels, so that texts of the chosen ones alone leave the scan.
+    Every label is learned, and texts of any length are taken, up to
+    ``SAMPLE_CHARS`` characters in all. Ids are ranked first, in one pass over
+    all labels, so that texts of the chosen ones alone leave the scan.
     """
     able = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"))
     able = able.where(F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")))
+    # Of rows that repeat an id and a language the least counts.
+    once = able.groupBy("lang", "id").agg(F.max(F.coalesce(F.length("text"), F.lit(0))).alias("size"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    first = able.select("lang", "id").withColumn("place", place).where(F.col("place") <= each)
-    ids = sorted({r["id"] for r in first.collect()})
+    groups: dict[str, list] = {}
+    sizes = {}
+    for r in once.withColumn("place", place).where(F.col("place") <= each).orderBy("lang", "place").collect():
+        groups.setdefault(r["lang"], []).append((r["lang"], r["id"]))
+        sizes[r["lang"], r["id"]] = r["size"]
+    chosen = set(within(sizes, groups))
+    ids = sorted({i for _, i in chosen})
     if not ids:
         return [], []
-    rows = able.where(F.col("id").isin(ids) & (F.length("text") <= SAMPLE_CHARS)).select("lang", "text", "id").collect()
-    rows.sort(key=lambda r: (r[2], r[0], r[1]))
-    texts, labels = [r[1] for r in rows], [r[0] for r in rows]
-    return texts, labels
+    rows = able.where(F.col("id").isin(ids)).groupBy("lang", "id").agg(F.min("text").alias("text")).collect()
+    rows = sorted(((r["id"], r["lang"], r["text"]) for r in rows if (r["lang"], r["id"]) in chosen and r["text"] is not None), key=lambda r: r[:2])
+    return [r[2] for r in rows], [r[1] for r in rows]
 
 
 FIELDS = [T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType()), T.StructField("lang_mix", T.MapType(T.StringType(), T.DoubleType()))]
@@ -185,7 +193,8 @@ def identify(df: DataFrame, model: LanguageModel, text_col: str = "text", keep:
 
     NULL texts and texts without letters are ``und`` with score 0 and no mixture.
     No shuffle; repeated rows each get their result; an empty table gives an
-    empty one; a model of no languages calls everything ``und``.
+    empty one; a model of no languages calls everything ``und``. Texts of any
+    length count whole; input columns named like an output give way to it.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SAMPLE_CHARS, annotate, held_out
+from .common import annotate, first_ids, held_out, one_label, sample_rows
 
 #: Words in a window and from one window to the next.
 WINDOW, STRIDE = 32, 16
@@ -77,6 +77,7 @@ class Network:
     w: np.ndarray  # logit
     b: np.ndarray
     platt: np.ndarray = field(default_factory=lambda: np.array([1.0, 0.0, 0.0]))
+    empty: float = 0.0  # share of class 1 among texts without words
 
     def inputs(self, words: Sequence[str]) -> np.ndarray:
         """Input of each word to z, r and n of both directions."""
@@ -161,31 +162,40 @@ class Scorer:
         return (e * u).sum(axis=0) / e.sum(axis=0) + self.net.b[0]
 
     def windows(self, docs: Sequence[list[str]], most: int = 1 << 15) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(starts, logits) of the windows of each document's words."""
+        """(starts, logits) of the windows of each document's words; a long document is read in pieces."""
         out = []
         a = 0
         while a < len(docs):
+            if len(docs[a]) > most:
+                starts = windows_of(len(docs[a]))
+                each = most // STRIDE
+                parts = [starts[k : k + each] for k in range(0, len(starts), each)]
+                logits = [self._block([docs[a][s[0] : s[-1] + WINDOW]], s - s[0])[0][1] for s in parts]
+                out.append((starts, np.concatenate(logits)))
+                a += 1
+                continue
             b, n = a, 0
-            while b < len(docs) and (b == a or n + len(docs[b]) <= most):
+            while b < len(docs) and n + len(docs[b]) <= most:
                 n += len(docs[b])
                 b += 1
             out += self._block(docs[a:b])
             a = b
         return out
 
-    def _block(self, docs: list[list[str]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    def _block(self, docs: list[list[str]], starts: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """``starts`` are the windows of a single document where they aren't its own."""
         numbers = self._numbers(docs)
         sizes = np.array([len(d) for d in docs], np.int64)
         offsets = np.cumsum(sizes) - sizes
         flat = np.fromiter(chain.from_iterable(numbers), np.int64, int(sizes.sum()))
         self.uses += np.bincount(flat, minlength=len(self.uses))
-        own = [windows_of(n) for n in sizes]
+        own = [windows_of(n) for n in sizes] if starts is None else [starts]
         X = np.ascontiguousarray(self.table[flat].T)
         logits = [np.zeros(len(o), np.float32) for o in own]
         long = np.flatnonzero(sizes > WINDOW)
         if len(long):
-            starts = np.concatenate([own[i] + offsets[i] for i in long])
-            got = np.concatenate([self._logits(X, starts[k : k + 4096], None) for k in range(0, len(starts), 4096)])
+            first = np.concatenate([own[i] + offsets[i] for i in long])
+            got = np.concatenate([self._logits(X, first[k : k + 4096], None) for k in range(0, len(first), 4096)])
             at = 0
             for i in long:
                 logits[i] = got[at : at + len(own[i])]
@@ -413,21 +423,26 @@ def train(texts: Sequence[str], y: Sequence[int], rate: float | None = None, epo
             net.platt[2] += np.log(rate / (1 - rate)) - np.log(share / (1 - share))
     else:
         net.platt = np.array([0.0, 0.0, -5.0 if not y.any() else 0.0])
+    # Of texts without words their labels alone tell; all texts' share stands for one more of them.
+    wordless = y[[not len(i) for i in trainer.ids]] if len(y) else y
+    share = rate if rate is not None else float(y.mean()) if len(y) else 0.0
+    net.empty = float((wordless.sum() + share) / (len(wordless) + 1))
     return net
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", each: int = SAMPLE_DOCS) -> tuple[list[str], list[int], float | None]:
-    """Whole texts and labels of at most ``each`` documents a class outside the held-out fold, by hash order of ids, and the share of class 1 among all of them."""
-    able = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y"))
-    able = able.where(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("id")))
+    """Whole texts and labels of at most ``each`` documents a class outside the held-out fold, by hash order of ids, and the share of class 1 among all of them.
+
+    Texts of any length are taken, up to ``SAMPLE_CHARS`` characters in all. An
+    id that is labelled both 0 and 1 has no label; NULL texts are empty ones.
+    """
+    able = one_label(labels, id_col, label_col)
     n = dict(able.groupBy("y").count().collect())
-    picks = able.where("y = 0").distinct().orderBy(F.xxhash64("id"), "id").limit(each)
-    picks = picks.union(able.where("y = 1").distinct().orderBy(F.xxhash64("id"), "id").limit(each)).collect()
-    label = {r[0]: r[1] for r in picks}
-    rows = docs.where(F.col(f"`{id_col}`").isin(sorted(label))).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where(F.length("text") <= SAMPLE_CHARS).collect() if label else []
-    rows.sort(key=lambda r: (r[0], r[1]))
+    groups = first_ids(able, each)
+    label = {i: y for y, own in groups.items() for i in own}
+    rows = sample_rows(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), groups)
     total = sum(n.values())
-    return [r[1] for r in rows], [label[r[0]] for r in rows], n.get(1, 0) / total if total else None
+    return [r[1] or "" for r in rows], [label[r[0]] for r in rows], n.get(1, 0) / total if total else None
 
 
 FIELDS = [T.StructField("toxicity", T.DoubleType()), T.StructField("worst_word", T.LongType())]
@@ -436,9 +451,10 @@ FIELDS = [T.StructField("toxicity", T.DoubleType()), T.StructField("worst_word",
 def score(df: DataFrame, net: Network, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Append ``toxicity`` (probability) and ``worst_word`` (first word of the worst window, -1 for none) for each whole text.
 
-    NULL texts and texts without words score 0. No shuffle; repeated rows each
-    get their result; an empty table gives an empty one; input columns named
-    like an output give way to it.
+    NULL texts and texts without words score 0 and have no worst word;
+    ``net.empty`` tells how likely they are. No shuffle; repeated rows each get
+    their result; an empty table gives an empty one; input columns named like an
+    output give way to it. Texts of any length are scored whole, in pieces.
     """
     shared = df.sparkSession.sparkContext.broadcast(net)
 
@@ -463,5 +479,7 @@ def fit(docs: DataFrame, labels: DataFrame, each: int = SAMPLE_DOCS) -> Network:
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score and predicted of all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    out = score(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), keep=["doc_id"])
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= THRESHOLD).cast("int").alias("predicted"), "worst_word")
+    net = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    p = F.when(F.col("worst_word") < 0, F.lit(net.empty)).otherwise(F.col("toxicity"))
+    out = score(docs, net, keep=["doc_id"]).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), p.alias("score"), "worst_word")
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "worst_word")

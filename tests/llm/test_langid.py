@@ -102,3 +102,10 @@ def test_every_label_is_learned(spark):
     rows = [r for r in rows if not held_out(r[0])]
     texts, langs = langid.training_sample(documents(spark, rows), "doc_id", "text", "lang", 10)
     assert len(set(langs)) > 257 and set(langs) == {r[2] for r in rows} and langs.count("zz") == 10 and len(texts) == len(langs)
+
+
+def test_training_takes_texts_of_any_length(spark):
+    long = "der schnelle braune Fuchs " * 80_000
+    free = [i for i in range(50) if not held_out(i)][:2]
+    texts, langs = langid.training_sample(documents(spark, [(free[0], long, "de", "s", 0), (free[1], "a fox", "en", "s", 0)]), "doc_id", "text", "lang", 10)
+    assert len(long) > 2_000_000 and dict(zip(langs, texts)) == {"de": long, "en": "a fox"}

@@ -132,3 +132,25 @@ def test_query(spark):
     got = X.op3_toxicity(spark, sf).collect()
     assert len(got) == spark.read.parquet(f"{sf}/documents.parquet").count()
     assert all(r["predicted"] == int(r["score"] >= 0.7) and r["held_out"] == held_out(r["doc_id"]) for r in got)
+
+
+def test_long_documents_are_scored_in_pieces(net):
+    words = [str(w) for w in np.random.default_rng(7).choice(["aa", "bb", "cc", *BAD], 5000, p=[0.33, 0.33, 0.33, 0.01 / 3, 0.01 / 3, 0.01 / 3])]
+    (starts, logits), (again, parts) = X.Scorer(net).windows([words])[0], X.Scorer(net).windows([words], 700)[0]
+    assert np.array_equal(starts, again) and np.allclose(logits, parts, atol=1e-5)
+
+
+def test_training_takes_texts_of_any_length(spark):
+    rows = corpus(150)
+    long = " ".join(["abdei", "knors"] * 170_000)
+    free = [r[0] for r in rows if not held_out(r[0]) and not r[2]][0]
+    docs = documents(spark, [(r[0], long if r[0] == free else r[1], "en", "s", 0) for r in rows])
+    texts, y, _ = X.training_sample(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id bigint, toxic int"))
+    assert len(long) > 2_000_000 and long in texts and y[texts.index(long)] == 0
+
+
+def test_texts_without_words_take_the_share_of_their_labels():
+    rows = [r for r in corpus(200) if not held_out(r[0])]
+    some = X.train([r[1] for r in rows] + ["", "!"] * 10, [r[2] for r in rows] + [1] * 20, 0.25, epochs=1)
+    none_ = X.train([r[1] for r in rows], [r[2] for r in rows], 0.25, epochs=1)
+    assert some.empty > 0.9 and none_.empty == 0.25
