@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SAMPLE_CHARS, annotate, held_out, kept, ship, slices
+from .common import annotate, discard, first_ids, held_out, kept, materialize, one_label, sample_rows, ship, slices
 
 #: Labelled documents of each class that training may use at most.
 SAMPLE_DOCS = 1200
@@ -35,21 +35,17 @@ BIGRAMS, META = 512, 256
 SURE = 0.9
 
 
-def text_features(text: str | None) -> np.ndarray:
-    """Shares of byte pairs (hashed) and of kinds of characters, repetition of words and lines, lengths."""
-    out = np.zeros(BIGRAMS + 12)
+def _text_counts(text: str | None) -> tuple[np.ndarray, tuple]:
+    """Numbers of byte pairs (hashed), and shares of kinds of characters, repetition of words and lines, lengths."""
     data = text.encode("utf-8", "surrogatepass") if text else b""
     if not data:
-        out[-1] = 1
-        return out
+        return np.zeros(BIGRAMS, np.int64), (0.0,) * 11 + (1.0,)
     b = np.frombuffer(data, np.uint8)
-    if len(b) > 1:
-        pairs = (b[:-1].astype(np.uint32) * 2654435 + b[1:].astype(np.uint32) * 40503) % BIGRAMS
-        out[:BIGRAMS] = np.sqrt(np.bincount(pairs, minlength=BIGRAMS) / len(pairs)) * 4
+    pairs = (b[:-1].astype(np.uint32) * 2654435 + b[1:].astype(np.uint32) * 40503) % BIGRAMS
     n = np.bincount(b, minlength=256)
     total = len(b)
     words, lines = text.lower().split(), text.split("\n")
-    out[BIGRAMS:] = (
+    return np.bincount(pairs, minlength=BIGRAMS), (
         n[65:91].sum() / total,
         n[97:123].sum() / total,
         n[48:58].sum() / total,
@@ -63,7 +59,17 @@ def text_features(text: str | None) -> np.ndarray:
         sum(map(len, words)) / len(words) / 20 if words else 0.0,
         0.0,
     )
-    return out
+
+
+def _shares(counts: np.ndarray) -> np.ndarray:
+    """Roots of each row's shares."""
+    return np.sqrt(counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)) * 4
+
+
+def text_features(text: str | None) -> np.ndarray:
+    """Shares of byte pairs (hashed) and of kinds of characters, repetition of words and lines, lengths."""
+    counts, rest = _text_counts(text)
+    return np.concatenate((_shares(counts[None, :])[0], rest))
 
 
 def meta_features(meta: Sequence) -> np.ndarray:
@@ -135,6 +141,26 @@ def handed_over(model: CoTrained, text: np.ndarray, meta: np.ndarray) -> np.ndar
     return np.concatenate(out)
 
 
+def pack(text: str | None, meta: Sequence) -> bytes:
+    """A document's features in few bytes: byte pairs and metadata as counts, in the least whole numbers that hold them."""
+    counts, rest = _text_counts(text)
+    both = np.concatenate((counts, meta_features(meta).astype(np.int64)))
+    return np.array(rest).tobytes() + both.astype(np.min_scalar_type(int(both.max()))).tobytes()
+
+
+def unpack(packed: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Text and metadata features of packed documents; those of one size are read together."""
+    text, meta = np.zeros((len(packed), BIGRAMS + 12)), np.zeros((len(packed), META))
+    sizes = np.array([len(x) for x in packed])
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        raw = np.frombuffer(b"".join(packed[i] for i in at), np.uint8).reshape(len(at), size)
+        counts = np.ascontiguousarray(raw[:, 96:]).view(f"u{(size - 96) // (BIGRAMS + META)}")
+        text[at] = np.concatenate((_shares(counts[:, :BIGRAMS].astype(float)), np.ascontiguousarray(raw[:, :96]).view(np.float64)), axis=1)
+        meta[at] = counts[:, BIGRAMS:]
+    return text, meta
+
+
 def _sums(model: CoTrained, texts: Sequence, metas: Sequence) -> np.ndarray:
     """``handed_over`` of documents in blocks."""
     total = np.zeros(sum(4 * len(w) + 2 for w in model.views))
@@ -192,11 +218,26 @@ def train(texts: Sequence, metas: Sequence, y: Sequence[int], more_texts: Sequen
     return out
 
 
-def _gather(named: DataFrame, labelled: set, metas: int) -> Callable[[CoTrained], np.ndarray]:
-    """One pass over all rows (id, text, m0, ...) whose id isn't labelled; tasks add up, then groups of tasks, then the driver."""
+def featurized(named: DataFrame, metas: int) -> DataFrame:
+    """A table (id, packed) of the features of all rows (id, text, m0, ...), so that the rounds read texts once."""
     ship(named.sparkSession)
-    sc = named.sparkSession.sparkContext
     rows = named.select("id", F.struct("text", *[f"m{i}" for i in range(metas)]).alias("page"))
+
+    def run(batches: Iterable[pa.RecordBatch]):
+        for batch in batches:
+            pages = batch.column(1).to_pylist()
+            for a, b in slices(pages):
+                packed = pa.array([pack(p["text"], tuple(p[f"m{i}"] for i in range(metas))) for p in pages[a:b]], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), packed], names=["id", "packed"])
+
+    schema = T.StructType([T.StructField("id", named.schema["id"].dataType), T.StructField("packed", T.BinaryType())])
+    return materialize(rows.mapInArrow(run, schema), "features")
+
+
+def _gather(named: DataFrame, labelled: set, metas: int) -> Callable[[CoTrained], np.ndarray]:
+    """One pass over the features of all rows (id, text, m0, ...) whose id isn't labelled; tasks add up, then groups of tasks, then the driver."""
+    sc = named.sparkSession.sparkContext
+    rows = featurized(named, metas)
     ids = sc.broadcast(labelled)
 
     def gather(model: CoTrained) -> np.ndarray:
@@ -206,12 +247,10 @@ def _gather(named: DataFrame, labelled: set, metas: int) -> Callable[[CoTrained]
             own = kept(token, lambda: shared.value)
             total = None
             for batch in batches:
-                names, pages = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                for a, b in slices(pages):
-                    mine = [p for i, p in zip(names[a:b], pages[a:b]) if i not in ids.value]
-                    if mine:
-                        got = _sums(own, [p["text"] for p in mine], [tuple(p[f"m{i}"] for i in range(metas)) for p in mine])
-                        total = got if total is None else total + got
+                packed = [p for i, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if i not in ids.value]
+                for a in range(0, len(packed), BLOCK_DOCS):
+                    got = handed_over(own, *unpack(packed[a : a + BLOCK_DOCS]))
+                    total = got if total is None else total + got
             if total is not None:
                 yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
@@ -224,20 +263,28 @@ def _gather(named: DataFrame, labelled: set, metas: int) -> Callable[[CoTrained]
         shared.unpersist()
         return np.sum([np.frombuffer(x) for x in found], axis=0) if found else _sums(model, [], [])
 
+    gather.table = rows
     return gather
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta_cols: Sequence[str] = ("lang", "source", "n_chars"), label_col: str = "quality") -> CoTrained:
-    """A classifier from a bounded sample, by hash order of ids, of labelled documents outside the held-out fold, and from all other documents."""
-    able = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y"))
-    able = able.where(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("id")))
+    """A classifier from a bounded sample, by hash order of ids, of labelled documents, and from all other documents.
+
+    No document of the held-out fold is learned from, labelled or not. Texts of
+    any length are taken, the labelled ones up to ``SAMPLE_CHARS`` characters in
+    all. An id that is labelled both 0 and 1 counts as unlabelled.
+    """
+    able = one_label(labels, id_col, label_col)
     n = dict(able.groupBy("y").count().collect())
-    first = lambda d, k: d.distinct().orderBy(F.xxhash64("id"), "id").limit(k)
-    label = {r[0]: r[1] for r in first(able.where("y = 0"), SAMPLE_DOCS).union(first(able.where("y = 1"), SAMPLE_DOCS)).collect()}
+    groups = first_ids(able, SAMPLE_DOCS)
+    label = {i: y for y, own in groups.items() for i in own}
     named = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), *[F.col(f"`{c}`").alias(f"m{i}") for i, c in enumerate(meta_cols)])
-    own = sorted(named.where(F.col("id").isin(sorted(label)) & (F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS)).collect(), key=lambda r: (r[0], r[1] or "")) if label else []
+    own = sample_rows(named, groups)
     total = sum(n.values())
-    return train([r[1] for r in own], [tuple(r[2:]) for r in own], [label[r[0]] for r in own], share=n.get(1, 0) / total if total else None, gather=_gather(named, set(label), len(meta_cols)))
+    gather = _gather(named.where(~held_out(F.col("id"))), set(label), len(meta_cols))
+    model = train([r[1] for r in own], [tuple(r[2:]) for r in own], [label[r[0]] for r in own], share=n.get(1, 0) / total if total else None, gather=gather)
+    discard(gather.table)
+    return model
 
 
 FIELDS = [T.StructField("quality_score", T.DoubleType())]
@@ -248,7 +295,8 @@ def score(df: DataFrame, model: CoTrained, text_col: str = "text", meta_cols: Se
 
     NULL texts count as empty, NULL metadata as a value of its own. No shuffle;
     repeated rows each get their result; an empty table gives an empty one; an
-    input column named like the output gives way to it.
+    input column named like the output gives way to it. Texts of any length
+    count whole.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
     names = [c for c in (df.columns if keep is None else keep) if c.lower() != "quality_score"]

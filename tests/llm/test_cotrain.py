@@ -1,3 +1,5 @@
+import math
+from collections import Counter
 from zlib import crc32
 
 import numpy as np
@@ -90,3 +92,76 @@ def test_every_sure_document_is_handed_over(spark):
 def test_mean_word_length_takes_every_word():
     words = ["a", "b", "cdef"] * 400
     assert np.isclose(C.text_features(" ".join(words))[-2], 2 / 20)
+
+
+def plain_features(text, meta):
+    """Both views' features, counted one by one."""
+    data = (text or "").encode()
+    pairs = Counter((a * 2654435 + b * 40503) % 2**32 % C.BIGRAMS for a, b in zip(data, data[1:]))
+    named = [f"{i}=~{round(math.log2(1 + v))}" if isinstance(v, int) else f"{i}={v}" for i, v in enumerate(meta)]
+    named += [a + "&" + b for i, a in enumerate(named) for b in named[i + 1 :]]
+    return [4 * math.sqrt(pairs[k] / max(1, len(data) - 1)) for k in range(C.BIGRAMS)], Counter(crc32(p.encode()) % C.META for p in named)
+
+
+def test_packed_features_are_the_plain_ones():
+    long = "ab" * 1_000_000
+    rows = [("The cat. sat", ("en", "a", 12)), ("", ("en", None, 0)), (None, (None, None, None)), ("x", ("de", "b", 1)), ("é" * 400, ("fr", "c", 400)), (long, ("en", "a", len(long)))]
+    text, meta = C.unpack([C.pack(*r) for r in rows])
+    for i, (t, m) in enumerate(rows):
+        assert np.allclose(text[i], C.text_features(t)) and np.allclose(meta[i], C.meta_features(m))
+        pairs, named = plain_features(t, m)
+        assert np.allclose(text[i][: C.BIGRAMS], pairs) and all(meta[i][k] == named[k] for k in range(C.META))
+
+
+def plain_fit(X, y, weight, w, rounds, more=None):
+    """Adam on the logistic loss, row by row, with the handed-over rows' sums as a bound."""
+    w, start = list(w), list(w)
+    m, v = [0.0] * len(w), [0.0] * len(w)
+    extra, slope, bend = more or (0.0, [0.0] * len(w), [0.0] * len(w))
+    total = sum(weight) + extra
+    for k in range(1, rounds + 1):
+        g = [1e-3 * a for a in w]
+        for row, target, u in zip(X, y, weight):
+            row = [*row, 1.0]
+            p = 1 / (1 + math.exp(-sum(a * b for a, b in zip(w, row))))
+            g = [a + u * (p - target) * b / total for a, b in zip(g, row)]
+        g = [a + (s + c * (x - x0)) / total for a, s, c, x, x0 in zip(g, slope, bend, w, start)]
+        m = [0.9 * a + 0.1 * b for a, b in zip(m, g)]
+        v = [0.99 * a + 0.01 * b * b for a, b in zip(v, g)]
+        w = [x - 0.05 * (a / (1 - 0.9**k)) / (math.sqrt(b / (1 - 0.99**k)) + 1e-9) for x, a, b in zip(w, m, v)]
+    return w
+
+
+def test_a_round_of_exchange_is_the_plain_one():
+    rng = np.random.default_rng(4)
+    X, y = rng.normal(size=(12, 5)), rng.integers(0, 2, 12).astype(float)
+    weight = rng.uniform(0.5, 2, 12)
+    first = C.fit_logistic(X, y, weight, rounds=20)
+    assert np.allclose(first, plain_fit(X, y, weight, [0.0] * 6, 20))
+    # What the second view's sure documents tell the first one, row by row.
+    text, meta = rng.normal(size=(40, 5)), rng.normal(size=(40, 3))
+    model = C.CoTrained([np.zeros(5), np.zeros(3)], [first, np.array([2.0, -3.0, 1.0, 0.1])], np.zeros(3))
+    want = [[0.0] * 13, [0.0] * 13]
+    for t, m in zip(text, meta):
+        z = float(m @ model.views[1][:-1] + model.views[1][-1])
+        p = 1 / (1 + math.exp(-z))
+        for c, sure in ((0, p <= 1 - C.SURE), (1, p >= C.SURE)):
+            if sure:
+                row = [*t, 1.0]
+                q = 1 / (1 + math.exp(-sum(a * b for a, b in zip(first, row))))
+                one = [1.0] + [(q - c) * a for a in row] + [abs(a) * sum(map(abs, row)) / 4 for a in row]
+                want[c] = [a + b for a, b in zip(want[c], one)]
+    sums = C.handed_over(model, text, meta)
+    assert np.allclose(sums[:26], want[0] + want[1]) and want[0][0] and want[1][0]
+    more = C._learn_from(sums, 0, 6, weight.sum())
+    own = [min(C.HANDED, C.HANDED_MOST / 2 * weight.sum() / max(n[0], 1)) for n in want]
+    plain = (sum(u * n[0] for u, n in zip(own, want)), *[[sum(u * n[k + j] for u, n in zip(own, want)) for j in range(6)] for k in (1, 7)])
+    assert np.allclose(C.fit_logistic(X, y, weight, first, 15, more=more), plain_fit(X, y, weight, first, 15, plain))
+
+
+def test_nothing_is_learned_from_the_held_out_fold(spark):
+    rows = corpus(600)
+    labels = spark.createDataFrame([(r[0], r[5]) for r in split(rows)[0]], "doc_id bigint, quality int")
+    other = [(r[0], "9!" * 50, "xx", "other", 7) if held_out(r[0]) else r[:5] for r in rows]
+    a, b = C.fit(documents(spark, [r[:5] for r in rows]), labels), C.fit(documents(spark, other), labels)
+    assert all(np.allclose(x, y) for x, y in zip([*a.views, a.blend], [*b.views, b.blend]))
