@@ -119,8 +119,8 @@ class Dataset:
         return self._visible(I.sample(self.df, n, columns or self.columns(), random_state, POSITION if POSITION in self.df.columns else None))
 
     @recorded()
-    def info(self) -> DataFrame:
-        return I.info(self.frame)
+    def info(self, approximate: bool = False) -> DataFrame:
+        return I.info(self.frame, approximate)
 
     @recorded()
     def describe(self, columns: Sequence[str] | None = None) -> DataFrame:
@@ -140,8 +140,8 @@ class Dataset:
         return {r[0]: {"completeness": r[1]} for r in I.completeness(self.frame, columns).collect()}
 
     @recorded()
-    def comprehensive_numeric_summary(self, columns: Sequence[str]) -> DataFrame:
-        return I.numeric_summary(self.frame, columns)
+    def comprehensive_numeric_summary(self, columns: Sequence[str], most: int | None = None) -> DataFrame:
+        return I.numeric_summary(self.frame, columns, most)
 
     @recorded()
     def statistical_profile_report(self, columns: Sequence[str]) -> dict[str, Any]:
@@ -228,7 +228,8 @@ class Dataset:
 
     def at(self, row_label: Any, column_label: str, index_column: str | None = None) -> Any:
         index_column = index_column or (self.index_columns[0] if len(self.index_columns) == 1 else None)
-        found = S.at(self.frame, row_label, column_label, index_column).collect()
+        placed = POSITION in self.df.columns
+        found = S.at(self.df, row_label, column_label, index_column or ("id" if "id" in self.columns() else self.columns()[0]), POSITION if placed else None).collect()
         if not found:
             raise OperationError(f"no row {row_label!r}")
         return found[0][0]
@@ -295,12 +296,7 @@ class Dataset:
     @recorded(True)
     def to_numeric(self, column: str) -> DataFrame:
         """Retype a column in place: whole numbers as integers, others as doubles."""
-        from .sources.detect import SAMPLE, detect
-
-        as_text = C.to_numeric(self.df, column, "string").select(column)
-        kind = detect([r[0] for r in as_text.where(col(column).isNotNull()).limit(SAMPLE).collect()], date_first=False)
-        kind = {"boolean": "int", "smallint": "int", "int": "int", "bigint": "bigint"}.get(kind, "double")
-        self._advance(C.to_numeric(self.df, column, kind))
+        self._advance(C.to_numeric(self.df, column, C.numeric_type(self.df, column)))
         return self.df.select(col(column), *([col(POSITION)] if POSITION in self.df.columns else []))
 
     @recorded(True)

@@ -78,14 +78,46 @@ def unit_of(rule: str) -> str:
     raise OperationError(f"unknown unit of time {rule!r}")
 
 
-def epoch(c: Column) -> Column:
+def micros(c: Column, kind: T.DataType | None) -> Column:
+    """Microseconds since 1970 as bigint; dates and times without a zone never pass through the session's."""
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(c)
+    if isinstance(kind, T.DateType):
+        return F.unix_date(c).cast("bigint") * 86_400_000_000
+    t = c if isinstance(kind, T.TimestampNTZType) else c.cast("timestamp_ntz")
+    seconds = F.date_part(F.lit("SECOND"), t).cast("decimal(10,6)")
+    return F.unix_date(t.cast("date")).cast("bigint") * 86_400_000_000 + (F.hour(t) * 3600 + F.minute(t) * 60).cast("bigint") * 1_000_000 + (seconds * 1_000_000).cast("bigint")
+
+
+def epoch(c: Column, kind: T.DataType | None = None) -> Column:
     """Seconds since 1970 as double, with microseconds."""
-    return F.unix_micros(c.cast("timestamp")).cast("double") / 1e6
+    return micros(c, kind or T.TimestampNTZType()).cast("double") / 1e6
 
 
 def from_micros(micros: Column, kind: T.DataType) -> Column:
     """A temporal value of ``kind`` from whole microseconds."""
-    return F.timestamp_micros(micros.cast("bigint")).cast(kind)
+    if isinstance(kind, T.TimestampType):
+        return F.timestamp_micros(micros.cast("bigint"))
+    whole = micros.cast("bigint")
+    days = F.floor(whole / 86_400_000_000).cast("int")
+    rest = whole - days.cast("bigint") * 86_400_000_000
+    span = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (rest.cast("decimal(20,0)") / F.lit(1_000_000).cast("decimal(10,0)")).cast("decimal(18,6)"))
+    return (F.date_from_unix_date(days).cast("timestamp_ntz") + span).cast(kind)
+
+
+#: Units of a date, by what they are truncated to.
+CALENDAR = {"day": None, "week": "week", "month": "month", "quarter": "quarter", "year": "year"}
+
+
+def truncated(t: Column, unit: str) -> Column:
+    """The start of the unit that a time without a zone falls in; the session's zone plays no part."""
+    day = t.cast("date")
+    if unit in CALENDAR:
+        return (F.trunc(day, CALENDAR[unit]) if CALENDAR[unit] else day).cast("timestamp_ntz")
+    zero = F.lit(0)
+    minutes = F.minute(t) if unit in ("minute", "second") else zero
+    seconds = F.second(t) if unit == "second" else zero
+    return day.cast("timestamp_ntz") + F.make_dt_interval(zero, F.hour(t), minutes, seconds.cast("decimal(18,6)"))
 
 
 def truncate(c: Column, digits: int = 0) -> Column:

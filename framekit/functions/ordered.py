@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import OperationError
-from .expressions import col
+from .expressions import col, field, micros
 
 BUCKET = "__bucket"
 #: Ranges for each shuffle partition, and ranges at most (they are bounds in the plan).
@@ -37,8 +37,8 @@ def bucketed(df: DataFrame, key: str) -> DataFrame:
     kind = dict(df.dtypes)[key]
     parts = min(MOST, PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     c = col(key)
-    if kind == "timestamp_ntz":
-        c = c.cast("timestamp")
+    if kind == "date" or kind.startswith("timestamp"):
+        c, kind = micros(c, field(df, key).dataType), "bigint"
     if kind == "string" or kind.startswith(("array", "struct", "map", "binary")):
         # Text has no quantiles: ranges come from a sorted sample of distinct values.
         found = [r[0] for r in df.select(c.alias("k")).where("k is not null").groupBy("k").agg(F.xxhash64("k").alias("h")).orderBy("h").limit(50 * parts).orderBy("k").select("k").collect()]
@@ -46,9 +46,8 @@ def bucketed(df: DataFrame, key: str) -> DataFrame:
         literal = [F.lit(b) for b in bounds]
     else:
         shares = [i / parts for i in range(1, parts)]
-        found = df.agg(F.percentile_approx(F.unix_micros(c) if kind.startswith("timestamp") else F.unix_date(c) if kind == "date" else c, shares, 10000)).first()[0]
+        found = df.agg(F.percentile_approx(c, shares, 10000)).first()[0]
         literal = [F.lit(b) for b in sorted(set(found or []))]
-        c = F.unix_micros(c) if kind.startswith("timestamp") else F.unix_date(c) if kind == "date" else c
     return df.withColumn(BUCKET, F.when(c.isNull(), -1).otherwise(_tree(c, literal)))
 
 
@@ -123,9 +122,15 @@ def index(df: DataFrame, order_by: str | Sequence[str], target: str) -> DataFram
 
 
 def shift(df: DataFrame, column: str, by: int, order_by: str | Sequence[str], target: str) -> DataFrame:
-    """``target``: the value of ``column`` ``by`` rows before, in order, by meeting rows on their places."""
+    """``target``: the value of ``column`` ``by`` rows before, in order, by meeting rows on their places.
+
+    Rows that tie in the order follow each other by their other columns, so that
+    both sides of the meeting number them alike.
+    """
     if by == 1:
         return lag(df, column, order_by, target)
-    placed = index(df, order_by, "__at")
+    keys = ordering(order_by)
+    rest = [f.name for f in df.schema.fields if f.name not in keys and "map<" not in f.dataType.simpleString()]
+    placed = index(df, [*keys, *rest], "__at")
     before = placed.select((F.col("__at") + by).alias("__to"), col(column).alias(target))
     return placed.join(before, F.col("__at") == F.col("__to"), "left").drop("__at", "__to")

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import OperationError
-from ..functions.expressions import NUMBER, as_double, col, field, from_micros, is_integer, is_numeric, is_temporal
+from ..functions.expressions import NUMBER, as_double, col, field, from_micros, is_integer, is_numeric, is_temporal, micros
 from ..functions.ordered import fill, index
-from ..functions.quantiles import quantiles
+from ..functions.quantiles import group_medians, group_modes, quantiles
 
 NUMERIC_MODES = ("constant", "mean", "avg", "average", "median", "mode", "std", "var", "variance", "min", "max", "ffill", "bfill")
 CATEGORICAL_MODES = ("constant", "mode", "map", "ffill", "bfill")
@@ -36,23 +36,50 @@ def family(df: DataFrame, column: str, dtype: str | None = None) -> str:
     return "numeric" if is_numeric(kind) else "datetime" if is_temporal(kind) else "categorical"
 
 
+def _number(c: Column, kind: T.DataType, what: str) -> Column:
+    """The column as numbers: times as microseconds, without the session's zone."""
+    return as_double(c, kind) if what == "numeric" else micros(c.cast("timestamp_ntz"), T.TimestampNTZType())
+
+
+def _value(number: Column, what: str) -> Column:
+    return number if what == "numeric" else from_micros(F.rint(number), T.TimestampNTZType())
+
+
 def _statistic(c: Column, kind: T.DataType, mode: str, what: str) -> Column:
-    """The aggregate that a fill mode stands for."""
+    """The aggregate that a fill mode other than median and mode stands for."""
     if what == "numeric":
         c = as_double(c, kind)
-        return {"mean": F.avg(c), "median": F.median(c), "mode": F.mode(c, True), "std": F.stddev_pop(c), "var": F.var_pop(c), "min": F.min(c), "max": F.max(c)}[mode]
-    if what == "datetime" and mode in ("mean", "median"):
-        micros = F.unix_micros(c.cast("timestamp"))
-        return from_micros(F.rint(F.avg(micros) if mode == "mean" else F.median(micros)), T.TimestampNTZType())
-    out = {"min": F.min, "max": F.max, "mode": lambda x: F.mode(x, True)}[mode](c)
+        return {"mean": F.avg, "std": F.stddev_pop, "var": F.var_pop, "min": F.min, "max": F.max}[mode](c)
+    if mode == "mean":
+        return _value(F.avg(_number(c, kind, what)), what)
+    out = {"min": F.min, "max": F.max}[mode](c)
     return out.cast("timestamp_ntz") if what == "datetime" else out
 
 
-def _median(df: DataFrame, c: Column, kind: T.DataType, what: str) -> Column:
-    """The whole column's exact median, at any size."""
-    if what == "numeric":
-        return F.get(quantiles(df, [as_double(c, kind)], [0.5])[0], F.lit(0))
-    return from_micros(F.rint(F.get(quantiles(df, [F.unix_micros(c.cast("timestamp"))], [0.5])[0], F.lit(0))), T.TimestampNTZType())
+def _counted(c: Column, kind: T.DataType, what: str) -> Column:
+    """The column as its mode is taken."""
+    return as_double(c, kind) if what == "numeric" else c.cast("timestamp_ntz") if what == "datetime" else c
+
+
+def _whole(df: DataFrame, c: Column, kind: T.DataType, mode: str, what: str) -> Column:
+    """The whole column's statistic, as a subquery of one row."""
+    if mode == "median":
+        return df.agg(_value(F.get(quantiles(df, [_number(c, kind, what)], [0.5])[0], F.lit(0)), what).alias("s")).scalar()
+    if mode == "mode":
+        # One row, or none for a column without values: an aggregate without keys gives one either way.
+        return group_modes(df, [], _counted(c, kind, what)).scalar()
+    return df.agg(_statistic(c, kind, mode, what).alias("s")).scalar()
+
+
+def _of_groups(df: DataFrame, keys: Sequence[str], c: Column, kind: T.DataType, mode: str, what: str) -> DataFrame:
+    """(__g0, __g1, ..., __s): each group's statistic."""
+    own = [col(k) for k in keys]
+    if mode == "median":
+        found = group_medians(df, own, _number(c, kind, what))
+        return found.withColumn("__s", _value(F.col("__s"), what))
+    if mode == "mode":
+        return group_modes(df, own, _counted(c, kind, what))
+    return df.groupBy(*[k.alias(f"__g{i}") for i, k in enumerate(own)]).agg(_statistic(c, kind, mode, what).alias("__s"))
 
 
 def _fit(value: Column, kind: T.DataType, what: str) -> Column:
@@ -114,7 +141,7 @@ def fillna(df: DataFrame, column: str, value: object = None, method: str = "mean
     elif mode == "map":
         return df.withColumn(name, _mapped(c, mapping or {}))
     else:
-        filler = df.agg((_median(df, c, kind, what) if mode == "median" else _statistic(c, kind, mode, what)).alias("s")).scalar()
+        filler = _whole(df, c, kind, mode, what)
         if what == "numeric":
             filler = F.coalesce(filler, F.lit(0.0))
     base = as_double(c, kind).cast(kind) if what == "numeric" and not is_numeric(kind) else c
@@ -146,9 +173,8 @@ def groupby_fillna(df: DataFrame, column: str, group_cols: Sequence[str], value:
             raise OperationError(f"{mode} needs an order")
         out = fill(df, column, order_by, name, mode == "ffill", keys)
         return out.withColumn(name, _fit(col(name), kind, what))
-    stat = _statistic(c, kind, mode, what)
-    per = df.groupBy(*[col(k).alias(f"__g{i}") for i, k in enumerate(keys)]).agg(stat.alias("__s"))
-    whole = df.agg(stat.alias("s")).scalar()
+    per = _of_groups(df, keys, c, kind, mode, what)
+    whole = _whole(df, c, kind, mode, what)
     last = F.lit(0.0) if what == "numeric" else F.current_timestamp() if what == "datetime" else F.lit(None)
     filler = F.coalesce(_fit(F.col("__s"), kind, what), _fit(whole, kind, what), _fit(last, kind, what))
     base = c.cast("timestamp_ntz") if what == "datetime" else c
@@ -176,11 +202,37 @@ def drop_outliers(df: DataFrame, column: str, z_thresh: float = 3.0, target: str
     return df.withColumn(target or f"cleaned_{column}_outliers_removed", F.when(~F.coalesce(far, F.lit(False)), col(column)))
 
 
+def _digits(c: Column) -> Column:
+    """The text without characters that no number has, or NULL where no number is left."""
+    text = F.regexp_replace(c.cast("string"), r"[^0-9.+-]", "")
+    return F.when(text.rlike(NUMBER), F.trim(text))
+
+
+def numeric_type(df: DataFrame, column: str) -> str:
+    """The narrowest of int, bigint and double that holds all numbers of a column, over all its rows; a numeric column keeps its type."""
+    kind = field(df, column).dataType
+    if is_numeric(kind):
+        return kind.simpleString()
+    text = _digits(col(column))
+    whole = F.when(text.rlike(r"^[+-]?\d+$"), text)
+    one = df.agg(F.count(text).alias("all"), *[F.count(whole.try_cast(k)).alias(k) for k in ("int", "bigint")]).first()
+    return next((k for k in ("int", "bigint") if one["all"] and one[k] == one["all"]), "double")
+
+
 def to_numeric(df: DataFrame, column: str, dtype: str = "double") -> DataFrame:
-    """The column itself as numbers: other characters are stripped, what is no number is NULL."""
-    text = F.regexp_replace(col(column).cast("string"), r"[^0-9.+-]", "")
-    number = F.when(text.rlike(NUMBER), text.try_cast("double"))
-    return df.withColumn(column, number if dtype == "double" else F.rint(number).try_cast(dtype) if "int" in dtype else number.try_cast(dtype))
+    """The column itself as numbers: other characters are stripped, what is no number is NULL.
+
+    Whole numbers go from text to an integer type digit by digit; a numeric
+    column is cast.
+    """
+    kind = field(df, column).dataType
+    if is_numeric(kind):
+        c = col(column)
+        return df.withColumn(column, (F.rint(c.cast("double")) if "int" in dtype and not is_integer(kind) else c).try_cast(dtype))
+    text = _digits(col(column))
+    if "int" in dtype:
+        return df.withColumn(column, F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast(dtype)).otherwise(F.rint(text.try_cast("double")).try_cast(dtype)))
+    return df.withColumn(column, text.try_cast(dtype))
 
 
 def map_values(df: DataFrame, column: str, mapping: Mapping, target: str | None = None) -> DataFrame:

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import OperationError
-from ..functions.expressions import as_double, col, field, is_numeric, is_temporal, unit_of, unpivot
+from ..functions.expressions import as_double, col, field, is_numeric, is_temporal, truncated, unit_of, unpivot
 from ..functions.ordered import index
-from ..functions.quantiles import quantiles
+from ..functions.quantiles import group_medians, quantiles
 from .stats import numeric_columns
 
 CASTS = {
@@ -50,20 +50,29 @@ def sample(df: DataFrame, n: int = 10, columns: Sequence[str] | None = None, ran
     return df.orderBy(order, *([col(key)] if key else [])).limit(n).select(*[col(c) for c in _chosen(df, columns)])
 
 
-def info(df: DataFrame) -> DataFrame:
-    """(name, type, null_count, non_null_count, null_percentage, distinct_count) of every column, in one aggregate."""
+def info(df: DataFrame, approximate: bool = False) -> DataFrame:
+    """(name, type, null_count, non_null_count, null_percentage, distinct_count) of every column.
+
+    Each column is counted by value on its own, which reads every column once
+    and shuffles its distinct values alone. ``approximate`` takes sketches of
+    distinct values instead, for all columns in one aggregate.
+    """
     names = df.columns
-    parts = []
-    for i, c in enumerate(names):
-        parts += [F.count(col(c)).alias(f"n{i}"), F.count_distinct(col(c)).alias(f"d{i}")]
-    one = df.agg(F.count(F.lit(1)).alias("all"), *parts)
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    rows = []
-    for i, c in enumerate(names):
-        nulls = F.col("all") - F.col(f"n{i}")
-        share = F.when(F.col("all") > 0, F.round(nulls.cast("double") * 100.0 / F.col("all"), 2))
-        rows.append((F.lit(c), F.lit(kinds[c]), nulls, F.col(f"n{i}"), share, F.col(f"d{i}")))
-    return unpivot(one, rows, ("name", "type", "null_count", "non_null_count", "null_percentage", "distinct_count"))
+    if approximate:
+        parts = [x for i, c in enumerate(names) for x in (F.count(col(c)).alias(f"n{i}"), F.approx_count_distinct(col(c)).alias(f"d{i}"))]
+        one = df.agg(F.count(F.lit(1)).alias("all"), *parts)
+        counts = unpivot(one, [(F.lit(c), F.lit(kinds[c]), F.col("all"), F.col(f"n{i}"), F.col(f"d{i}")) for i, c in enumerate(names)], ("name", "type", "all", "known", "distinct"))
+    else:
+        counts = None
+        for c in names:
+            by_value = df.groupBy(col(c).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+            known = F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("n"))), F.lit(0))
+            own = by_value.agg(F.lit(c).alias("name"), F.lit(kinds[c]).alias("type"), F.coalesce(F.sum("n"), F.lit(0)).alias("all"), known.alias("known"), F.count("v").alias("distinct"))
+            counts = own if counts is None else counts.unionByName(own)
+    nulls = F.col("all") - F.col("known")
+    share = F.when(F.col("all") > 0, F.round(nulls.cast("double") * 100.0 / F.col("all"), 2))
+    return counts.select("name", "type", nulls.alias("null_count"), F.col("known").alias("non_null_count"), share.alias("null_percentage"), F.col("distinct").alias("distinct_count"))
 
 
 STATISTICS = ("count", "mean", "std", "min", "25%", "50%", "75%", "max")
@@ -115,9 +124,10 @@ def completeness(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return missing_values(df, columns).select("column_name", "completeness")
 
 
-def numeric_summary(df: DataFrame, columns: Sequence[str], most: int = 20) -> DataFrame:
-    """describe turned round, a row a column, with missing values; the first ``most`` columns."""
-    names = [c for c in list(columns)[:most] if c in numeric_columns(df, columns)]
+def numeric_summary(df: DataFrame, columns: Sequence[str], most: int | None = None) -> DataFrame:
+    """describe turned round, a row a column, with missing values; of all columns, or of the first ``most``."""
+    numbers = set(numeric_columns(df, columns))
+    names = [c for c in list(columns)[:most] if c in numbers]
     if not names:
         raise OperationError("no numeric columns")
     parts, quarters = [F.count(F.lit(1)).alias("all")], quantiles(df, [col(c).cast("double") for c in names], [0.25, 0.5, 0.75])
@@ -251,14 +261,21 @@ def resample(df: DataFrame, time_column: str, rule: str, agg: str = "COUNT", val
         raise OperationError(f"unknown aggregate {agg!r}")
     if name != "COUNT" and value_column is None:
         raise OperationError(f"{agg} needs a value column")
-    t = col(time_column).cast("timestamp")
+    t = col(time_column).cast("timestamp_ntz")
     if closed == "right":
         t = t - F.expr("INTERVAL '0.000001' SECOND")
-    bucket = F.date_trunc(unit, t)
+    bucket = truncated(t, unit)
     if label == "right":
         bucket = bucket + F.expr(f"INTERVAL {STEPS[unit]}")
-    value = F.count(F.lit(1)) if value_column is None else AGGREGATES[name](col(value_column) if name == "COUNT" else as_double(col(value_column), field(df, value_column).dataType))
-    return df.where(col(time_column).isNotNull()).groupBy(bucket.cast("timestamp_ntz").alias(time_column)).agg(value.alias("value")).orderBy(time_column)
+    rows = df.where(col(time_column).isNotNull())
+    value = None if value_column is None else col(value_column) if name == "COUNT" else as_double(col(value_column), field(df, value_column).dataType)
+    if name == "MEDIAN":
+        found = group_medians(rows, [bucket], value)
+        # Units whose values are all NULL have rows as well.
+        units = rows.groupBy(bucket.alias(time_column)).agg(F.lit(1).alias("__u"))
+        return units.join(found, col(time_column) == F.col("__g0"), "left").select(col(time_column), F.col("__s").alias("value")).orderBy(time_column)
+    value = F.count(F.lit(1)) if value is None else AGGREGATES[name](value)
+    return rows.groupBy(bucket.alias(time_column)).agg(value.alias("value")).orderBy(time_column)
 
 
 def items(df: DataFrame):

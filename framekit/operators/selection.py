@@ -13,11 +13,14 @@ from ..functions.expressions import col, field, is_numeric
 from ..functions.ordered import index
 
 
-def at(df: DataFrame, row_label: object, column_label: str, index_column: str | None = None) -> DataFrame:
-    """(value) of the rows whose label is the one given; the label column is ``id`` or else the first."""
+def at(df: DataFrame, row_label: object, column_label: str, index_column: str | None = None, order_by: str | None = None) -> DataFrame:
+    """(value) of the row whose label is the one given; the label column is ``id`` or else the first.
+
+    Of rows that repeat the label the first in ``order_by`` counts, without an order the one of least value.
+    """
     name = index_column or ("id" if "id" in df.columns else df.columns[0])
     field(df, column_label)
-    return df.where(col(name) == F.lit(row_label)).select(col(column_label).alias("value")).limit(1)
+    return df.where(col(name) == F.lit(row_label)).orderBy(col(order_by or column_label)).limit(1).select(col(column_label).alias("value"))
 
 
 def iat(df: DataFrame, row_position: int, column_label: str, order_by: str | Sequence[str]) -> DataFrame:

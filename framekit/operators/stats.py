@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import OperationError
-from ..functions.expressions import SECONDS, as_double, col, epoch, field, from_micros, is_numeric, is_temporal, kurtosis, pair_mask, safe_corr, skewness, unpivot
+from ..functions.expressions import SECONDS, as_double, col, epoch, field, from_micros, is_numeric, is_temporal, kurtosis, micros, pair_mask, safe_corr, skewness, unpivot
 from ..functions.ordered import shift
 from ..functions.quantiles import quantiles
 
@@ -53,8 +53,8 @@ def scalar(df: DataFrame, column: str, name: str) -> DataFrame:
         return df.agg(ANY[name](col(column)).alias("value"))
     if name in ("mean", "median"):
         if is_temporal(f.dataType):
-            micros = F.unix_micros(col(column).cast("timestamp"))
-            value = F.avg(micros) if name == "mean" else F.get(quantiles(df, [micros], [0.5])[0], F.lit(0))
+            m = micros(col(column), f.dataType)
+            value = F.avg(m) if name == "mean" else F.get(quantiles(df, [m], [0.5])[0], F.lit(0))
             return df.agg(from_micros(F.rint(value), f.dataType).alias("value"))
         c = numeric(df, column).cast("double")
         return df.agg((F.avg(c) if name == "mean" else F.get(quantiles(df, [c], [0.5])[0], F.lit(0))).alias("value"))
@@ -180,24 +180,28 @@ def datetime_diff(df: DataFrame, column: str, target: str | None = None, tiebrea
     """``df`` with the seconds since the value before, in order of the column."""
     name = target or f"{column}__diff_seconds"
     rows = df.withColumn("__t", _temporal(df, column))
+    kind = field(rows, "__t").dataType
     known, rest = rows.where("__t is not null"), rows.where("__t is null")
     lagged = shift(known, "__t", 1, ["__t", *tiebreak], "__before")
-    out = lagged.withColumn(name, epoch(F.col("__t")) - epoch(F.col("__before"))).drop("__t", "__before")
+    out = lagged.withColumn(name, epoch(F.col("__t"), kind) - epoch(F.col("__before"), kind)).drop("__t", "__before")
     return out.unionByName(rest.withColumn(name, F.lit(None).cast("double")).drop("__t"))
 
 
 def time_delta_stats(df: DataFrame, column: str) -> DataFrame:
     """Count, least, greatest, mean, median and population deviation of the gaps between values in order, in seconds."""
     rows = df.select(_temporal(df, column).alias("t")).where("t is not null")
-    gap = shift(rows, "t", 1, "t", "before").select((epoch(F.col("t")) - epoch(F.col("before"))).alias("d"))
-    return gap.agg(F.count("d").alias("cnt"), F.min("d").alias("min_d"), F.max("d").alias("max_d"), F.avg("d").alias("avg_d"), F.median("d").alias("median_d"), F.stddev_pop("d").alias("std_d"))
+    kind = field(rows, "t").dataType
+    gap = shift(rows, "t", 1, "t", "before").select((epoch(F.col("t"), kind) - epoch(F.col("before"), kind)).alias("d"))
+    median = F.get(quantiles(gap, [F.col("d")], [0.5])[0], F.lit(0))
+    return gap.agg(F.count("d").alias("cnt"), F.min("d").alias("min_d"), F.max("d").alias("max_d"), F.avg("d").alias("avg_d"), median.alias("median_d"), F.stddev_pop("d").alias("std_d"))
 
 
 def event_rate(df: DataFrame, column: str, unit: str = "day") -> DataFrame:
     """One row, ``value``: events in each unit of the time spanned; 0 if none is spanned."""
-    t = epoch(_temporal(df, column))
+    rows = df.select(_temporal(df, column).alias("t"))
+    t = epoch(F.col("t"), field(rows, "t").dataType)
     span = (F.max(t) - F.min(t)) / float(SECONDS.get(unit, SECONDS["day"]))
-    return df.agg(F.when(span > 0, F.count(t) / span).otherwise(F.lit(0.0)).alias("value"))
+    return rows.agg(F.when(span > 0, F.count(t) / span).otherwise(F.lit(0.0)).alias("value"))
 
 
 PARTS: dict[str, Callable[[Column], Column]] = {

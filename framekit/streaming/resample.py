@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import OperationError
-from ..functions.expressions import as_double, col, field, unit_of
+from ..functions.expressions import as_double, col, field, from_micros, micros, unit_of
 from ..operators.inspection import AGGREGATES
 
 #: Units that a window can have; longer ones vary in length.
@@ -28,8 +29,9 @@ def resample_stream(stream: DataFrame, time_column: str, rule: str, agg: str = "
         raise OperationError(f"a stream can't be resampled to {agg!r}")
     if name != "COUNT" and value_column is None:
         raise OperationError(f"{agg} needs a value column")
-    time = col(time_column).cast("timestamp")
+    # Watermarks and windows want instants and count from midnight in UTC: the clock's time stands for one.
+    time = F.timestamp_micros(micros(col(time_column).cast("timestamp_ntz"), T.TimestampNTZType()))
     rows = stream.withColumn("__t", time).withWatermark("__t", late)
     value = F.count(F.lit(1)) if value_column is None else AGGREGATES[name](as_double(col(value_column), field(stream, value_column).dataType))
     windows = rows.groupBy(F.window("__t", LENGTHS[unit], startTime=STARTS.get(unit, "0 seconds"))).agg(value.alias("value"))
-    return windows.select(F.col("window.start").cast("timestamp_ntz").alias(time_column), "value")
+    return windows.select(from_micros(F.unix_micros("window.start"), T.TimestampNTZType()).alias(time_column), "value")

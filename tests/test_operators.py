@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from framekit import ConfigurationError, Engine, OperationError
 from framekit.functions import ordered
+from framekit.functions import quantiles as Q
 from framekit.operators import arithmetic as A
 from framekit.operators import cleaning as C
 from framekit.operators import inspection as I
@@ -322,3 +323,41 @@ def test_upload_overrides(engine, tmp_path):
     pq = tmp_path / "d.parquet"
     pd.DataFrame({"a b": [1, 2], "1x": ["p", "q"]}).to_parquet(pq)
     assert engine.upload_parquet(str(pq)).columns() == ["a_b", "_1x"]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 4999, 30_000])
+def test_medians_and_modes_of_groups(spark, n):
+    rng = np.random.default_rng(n)
+    pdf = pd.DataFrame({"g": rng.choice(["a", "b", None], n, p=[0.7, 0.2, 0.1]), "v": np.where(rng.random(n) < 0.4, 1.5, rng.normal(size=n))})
+    df = spark.createDataFrame(list(pdf.itertuples(index=False, name=None)), "g string, v double")
+    found = {r["__g0"]: r["__s"] for r in Q.group_medians(df, [F.col("g")], F.col("v")).collect()}
+    want = {None if not isinstance(g, str) else g: v for g, v in pdf.groupby("g", dropna=False)["v"].median().items()}
+    assert found == pytest.approx(want)
+    modes = {r["__g0"]: r["__s"] for r in Q.group_modes(df, [F.col("g")], F.col("v")).collect()}
+    assert modes == {None if not isinstance(g, str) else g: own["v"].mode().min() for g, own in pdf.groupby("g", dropna=False)}
+    for shares in ([0.0, 0.25, 0.5, 1.0], [0.1234]):
+        assert Q.exact(df, F.col("v"), shares) == pytest.approx(np.quantile(pdf["v"], shares).tolist())
+
+
+def test_numbers_keep_their_digits(engine):
+    big = 2**53 + 1
+    d = engine.upload_df(pd.DataFrame({"a": ["9,989", "$12", None], "b": [str(big), "1", "2"], "c": ["1.5", "2", "x"], "e": ["no", None, ""]}), dtypes={c: "text" for c in "abce"})
+    for column, kind, want in (("a", "int", [9989, 12, None]), ("b", "bigint", [big, 1, 2]), ("c", "double", [1.5, 2.0, None]), ("e", "double", [None, None, None])):
+        assert [r[0] for r in d.to_numeric(column).collect()] == want and d.dtypes()[column] == kind
+    whole = engine.upload_df(pd.DataFrame({"x": [1e10, 2.5e-3]}))
+    assert [r[0] for r in whole.to_numeric("x").collect()] == [1e10, 2.5e-3]
+
+
+def test_all_numeric_columns_are_summed_up(engine):
+    d = engine.upload_df(pd.DataFrame({f"c{i}": [i, i + 1] for i in range(30)}))
+    assert d.comprehensive_numeric_summary(d.columns()).count() == 30 and d.comprehensive_numeric_summary(d.columns(), 5).count() == 5
+    sketch = {r["name"]: r["distinct_count"] for r in d.info(approximate=True).collect()}
+    assert sketch == {r["name"]: r["distinct_count"] for r in d.info().collect()}
+
+
+def test_repeated_labels_and_ties(engine, spark):
+    d = engine.upload_df(pd.DataFrame({"id": [5, 5, 6], "v": ["z", "a", "b"]}))
+    assert d.at(5, "v") == "z"
+    tied = spark.createDataFrame([(i // 10, float(i)) for i in range(200)], "k int, v double").repartition(7)
+    first, again = (ordered.shift(tied, "v", 3, "k", "b").orderBy("v").collect() for _ in (0, 1))
+    assert first == again and [r["b"] for r in first] == [None] * 3 + [float(i) for i in range(197)]
