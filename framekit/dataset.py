@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import asyncio
 import functools
+import json
 from collections import namedtuple
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from typing import TYPE_CHECKING, Any
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame
 
 from .errors import OperationError
 from .functions.expressions import col
+from .lineage import Call, chained, signature, unique
 from .operators import arithmetic as A
 from .operators import cleaning as C
 from .operators import inspection as I
@@ -24,13 +26,17 @@ if TYPE_CHECKING:
 
 #: The hidden column of a row's place.
 POSITION = "__pos"
+#: Steps that a dataset's plan may hold before its rows are written.
+STEPS = 12
 
 
-def recorded(deep: bool | None = None) -> Callable:
+def recorded(deep: bool | None = None, changes: bool = False) -> Callable:
     """Log a call; with ``deep`` store its result and replay it for the same call on the same version.
 
-    A call's own ``deep`` wins over the session's; a session that says False
-    stores nothing.
+    A version is all the calls that made the rows what they are, in whatever
+    session, so a stored result is found again only where they were the same.
+    A call that ``changes`` the rows does so on a replay as well. A call's own
+    ``deep`` wins over the session's; a session that says False stores nothing.
     """
 
     def wrap(method: Callable) -> Callable:
@@ -38,16 +44,25 @@ def recorded(deep: bool | None = None) -> Callable:
         def call(self: Dataset, *args: Any, **kwargs: Any) -> Any:
             session = self.engine.deep_cache
             store = False if session is False else deep if deep is not None else bool(session)
-            lineage, version = self.engine.lineage, self.version
-            if store and (hit := lineage.find(self.data_id, method.__name__, args, kwargs, version)):
-                return self._visible(self.engine.spark.read.parquet(f"{self.engine.warehouse}/{hit.generated_table_name}"))
-            result = method(self, *args, **kwargs)
-            # A call that makes a column is found again on the version that has it.
-            entry = lineage.record(self.data_id, method.__name__, args, kwargs, self.version, None, False)
-            if store and isinstance(result, DataFrame):
-                entry.generated_table_name, entry.is_deep_cache = f"{self.data_id}_{entry.opidx}", True
-                result.write.mode("overwrite").parquet(f"{self.engine.warehouse}/{entry.generated_table_name}")
-                lineage._save()
+            name, lineage, version = method.__name__, self.engine.lineage, self.version
+            hit = lineage.find(self.data_id, name, args, kwargs, version) if store else None
+            if hit is None and changes and store and self._last == (name, signature(args), signature(kwargs)):
+                # The same call again, on the rows that it has changed already.
+                hit = next((c for c in reversed(lineage.of(self.data_id)) if c.is_deep_cache and c.version == self._before and (c.method_name, c.args, c.kwargs) == self._last), None)
+                if hit is not None:
+                    return self._visible(self.engine.stored(hit))
+            result = method(self, *args, **kwargs) if hit is None or changes else None
+            if changes:
+                self._chain(name, args, kwargs)
+            if hit is not None:
+                return self._visible(self.engine.stored(hit))
+
+            def keep(entry: Call) -> str:
+                table = f"{self.data_id}_{entry.opidx}"
+                result.write.mode("overwrite").parquet(f"{self.engine.warehouse}/{table}")
+                return table
+
+            lineage.record(self.data_id, name, args, kwargs, version, keep if store and isinstance(result, DataFrame) else None)
             return self._visible(result) if isinstance(result, DataFrame) else result
 
         return call
@@ -55,6 +70,25 @@ def recorded(deep: bool | None = None) -> Callable:
     return wrap
 
 
+def changing(method: Callable) -> Callable:
+    """A call that isn't logged but changes the rows."""
+
+    @functools.wraps(method)
+    def call(self: Dataset, *args: Any, **kwargs: Any) -> Any:
+        result = method(self, *args, **kwargs)
+        # What another frame holds isn't told by the call.
+        self._chain(method.__name__, args, kwargs, method.__name__ != "update")
+        return result
+
+    return call
+
+
+def _attributes(df: DataFrame) -> dict[str, str]:
+    """What each column is in the plan: another thing wherever it was made anew, also under an old name."""
+    out = df._jdf.queryExecution().analyzed().output()
+    return {out.apply(i).name(): out.apply(i).exprId().toString() for i in range(out.size())}
+
+
 def _one(df: DataFrame) -> Any:
     row = df.first()
     return row[0] if row is not None else None
@@ -69,8 +103,10 @@ class Dataset:
     """
 
     def __init__(self, engine: Engine, data_id: str, df: DataFrame):
-        self.engine, self.data_id, self.df, self.version = engine, data_id, df, 0
+        self.engine, self.data_id, self.df, self.version = engine, data_id, df, ""
         self.index_columns: list[str] = []
+        self._steps: list[list[Any]] = []
+        self._last, self._before = None, ""
 
     # Plumbing
 
@@ -93,13 +129,35 @@ class Dataset:
             raise OperationError("the rows of a table read in place have no order")
         return POSITION
 
-    def _advance(self, df: DataFrame) -> None:
-        self.df, self.version = df, self.version + 1
+    def _chain(self, name: str, args: Any, kwargs: Any, known: bool = True) -> None:
+        """Take a call that changed the rows into their version, and keep it for later sessions.
+
+        Calls that can be repeated are steps; after STEPS of them, or one that
+        can't be (other frames, the present time), the rows are written.
+        """
+        self._last, self._before = (name, signature(args), signature(kwargs)), self.version
+        self.version = chained(self.version, name, args, kwargs) if known else unique()
+        try:
+            step = json.loads(json.dumps([name, list(args), kwargs]))
+            same = known and step == [name, list(args), kwargs] and "now" not in [*map(str, args), *map(str, kwargs.values())]
+        except (TypeError, ValueError):
+            same = False
+        self._steps = [*self._steps, step] if same and len(self._steps) < STEPS - 1 else []
+        self.engine.save(self, self._steps or None)
+
+    def resume(self, steps: Sequence[Sequence[Any]], version: str) -> Dataset:
+        """The rows as an earlier session left them."""
+        for name, args, kwargs in steps:
+            method = getattr(type(self), name)
+            getattr(method, "__wrapped__", method)(self, *args, **kwargs)
+        self._steps, self.version = [list(s) for s in steps], version
+        return self
 
     def _derive(self, df: DataFrame, involved: Sequence[str], target: str | None = None) -> DataFrame:
         """Take over a new column; the result is what it was made from and itself."""
-        new = target or next(c for c in reversed(df.columns) if c not in self.df.columns or c in involved)
-        self._advance(df)
+        before, after = _attributes(self.df), _attributes(df)
+        new = target or next(c for c in reversed(df.columns) if before.get(c) != after[c])
+        self.df = df
         names = dict.fromkeys([c for c in involved if c in df.columns] + [new])
         return df.select(*[col(c) for c in names], *([col(POSITION)] if POSITION in df.columns else []))
 
@@ -176,6 +234,7 @@ class Dataset:
     def astype(self, columns: Any = None, dtypes: Any = None, dtype_map: Mapping[str, str] | None = None) -> DataFrame:
         return I.astype(self.rows, columns, dtypes, dtype_map)
 
+    @changing
     def insert(self, column: str, value: Sequence) -> DataFrame:
         return self._visible(self._derive(I.insert(self.df, column, value, self._order()), [], column))
 
@@ -183,8 +242,9 @@ class Dataset:
     def map(self, func: str, na_action: str | None = None, columns: Sequence[str] | None = None, datetime_action: str = "skip") -> DataFrame:
         return I.map_columns(self.rows, func, na_action, columns, datetime_action)
 
+    @changing
     def rename(self, columns: Mapping[str, str]) -> DataFrame:
-        self._advance(I.rename(self.df, columns))
+        self.df = I.rename(self.df, columns)
         return self.head() if POSITION in self.df.columns else self.frame.limit(10)
 
     def set_index(self, columns: Sequence[str] | str) -> str:
@@ -193,9 +253,13 @@ class Dataset:
         self.index_columns = names
         return "Index set"
 
-    def update(self, on: str, other: Dataset | DataFrame, overwrite: bool = True, errors: str = "ignore") -> DataFrame:
+    @changing
+    def update(self, on: str, other: Dataset | DataFrame | str, overwrite: bool = True, errors: str = "ignore", schema: str | None = None) -> DataFrame:
+        """Take over values of another dataset, of a frame, or of a catalog table by its name (in ``schema``)."""
+        if isinstance(other, str):
+            other = self.engine.spark.table(f"`{schema}`.`{other}`" if schema else other)
         source = other.frame if isinstance(other, Dataset) else other
-        self._advance(I.update(self.df, source, on, overwrite, errors))
+        self.df = I.update(self.df, source, on, overwrite, errors)
         return self.head() if POSITION in self.df.columns else self.frame.limit(10)
 
     @recorded(True)
@@ -276,46 +340,46 @@ class Dataset:
     def _filling(self, method: str) -> str | None:
         return self._order() if method.lower() in ("ffill", "bfill") else None
 
-    @recorded(True)
+    @recorded(True, True)
     def fillna(self, column: str, value: Any = None, method: str = "mean", mapping: Mapping | None = None, dtype: str | None = None) -> DataFrame:
         return self._derive(C.fillna(self.df, column, value, method, mapping, dtype, self._filling(method)), [column])
 
-    @recorded(True)
+    @recorded(True, True)
     def groupby_fillna(self, column: str, group_cols: Sequence[str], value: Any = None, method: str = "mean", dtype: str | None = None) -> DataFrame:
         keys = [group_cols] if isinstance(group_cols, str) else list(group_cols)
         return self._derive(C.groupby_fillna(self.df, column, keys, value, method, dtype, self._filling(method)), [column, *keys])
 
-    @recorded(True)
+    @recorded(True, True)
     def clip(self, column: str, lower: Any = None, upper: Any = None) -> DataFrame:
         return self._derive(C.clip(self.df, column, lower, upper), [column])
 
-    @recorded(True)
+    @recorded(True, True)
     def drop_outliers(self, column: str, z_thresh: float = 3.0) -> DataFrame:
         return self._derive(C.drop_outliers(self.df, column, z_thresh), [column])
 
-    @recorded(True)
+    @recorded(True, True)
     def to_numeric(self, column: str) -> DataFrame:
         """Retype a column in place: whole numbers as integers, others as doubles."""
-        self._advance(C.to_numeric(self.df, column, C.numeric_type(self.df, column)))
+        self.df = C.to_numeric(self.df, column, C.numeric_type(self.df, column))
         return self.df.select(col(column), *([col(POSITION)] if POSITION in self.df.columns else []))
 
-    @recorded(True)
+    @recorded(True, True)
     def map_values(self, column: str, mapping: Mapping) -> DataFrame:
         return self._derive(C.map_values(self.df, column, mapping), [column])
 
-    @recorded(True)
+    @recorded(True, True)
     def filter_valid(self, column: str, valid_values: Sequence) -> DataFrame:
         return self._derive(C.filter_valid(self.df, column, valid_values), [column])
 
-    @recorded(True)
+    @recorded(True, True)
     def compress_rare(self, column: str, min_count: int = 10, other_label: str = "other") -> DataFrame:
         return self._derive(C.compress_rare(self.df, column, min_count, other_label), [column])
 
-    @recorded(True)
+    @recorded(True, True)
     def fix_dates(self, column: str) -> DataFrame:
         return self._derive(C.fix_dates(self.df, column), [column])
 
-    @recorded(True)
+    @recorded(True, True)
     def clip_dates(self, column: str, min_dt: Any = None, max_dt: Any = None) -> DataFrame:
         return self._derive(C.clip_dates(self.df, column, min_dt, max_dt), [column])
 
@@ -389,7 +453,7 @@ class Dataset:
     def crosstab(self, columns: Sequence[str]) -> dict[str, int]:
         return {"|".join(str(v) for v in r[:-1]): r[-1] for r in X.crosstab(self.frame, columns).collect()}
 
-    @recorded(True)
+    @recorded(True, True)
     def datetime_diff(self, column: str, target_col: str | None = None) -> DataFrame:
         tie = [POSITION] if POSITION in self.df.columns else []
         return self._derive(X.datetime_diff(self.df, column, target_col, tie), [column], target_col or f"{column}__diff_seconds")
@@ -411,15 +475,15 @@ class Dataset:
 
     # Arithmetic beyond the tables below
 
-    @recorded(True)
+    @recorded(True, True)
     def weighted_sum(self, col1: Any, col2: Any, weight1: float = 1, weight2: float = 1, target_col: str | None = None) -> DataFrame:
         return self._derive(A.weighted_sum(self.df, col1, col2, weight1, weight2, target_col), [col1, col2], target_col)
 
-    @recorded(True)
+    @recorded(True, True)
     def percentage_change(self, old_col: Any, new_col: Any, target_col: str | None = None) -> DataFrame:
         return self._derive(A.percentage_change(self.df, old_col, new_col, target_col), [old_col, new_col], target_col)
 
-    @recorded(True)
+    @recorded(True, True)
     def normalize_range(self, column: str, target_col: str | None = None) -> DataFrame:
         return self._derive(A.normalize_range(self.df, column, target_col), [column], target_col)
 
@@ -436,7 +500,7 @@ def _binary(op: str) -> Callable:
         return self._derive(A.binary(self.df, op, col1, col2, target_col), [col1, col2], target_col)
 
     method.__name__, method.__doc__ = op, f"A new column: ``{op}`` of two columns, or of a column and a number."
-    return recorded(True)(method)
+    return recorded(True, True)(method)
 
 
 def _unary(op: str) -> Callable:
@@ -450,7 +514,7 @@ def _unary(op: str) -> Callable:
             return self._derive(A.unary(self.df, op, column, target_col), [column], target_col)
 
     method.__name__, method.__doc__ = op, f"A new column: ``{op}`` of a column."
-    return recorded(True)(method)
+    return recorded(True, True)(method)
 
 
 def _statistic(name: str) -> Callable:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .dataset import POSITION, Dataset
 from .errors import ConfigurationError, DataNotFoundError
-from .lineage import Lineage
+from .lineage import Call, Lineage
 from .sources import load_csv, load_frame, load_parquet
 from .sources.names import clean_columns, new_id
 
@@ -33,6 +33,7 @@ class Engine:
         self.active_id: str | None = None
         self.datasets: dict[str, Dataset] = {}
         self.registry: list[dict[str, Any]] = []
+        self._superseded: list[str] = []
         self.lineage, self.planner = Lineage(), None
         self.connect()
 
@@ -41,7 +42,7 @@ class Engine:
     def connect(self) -> Engine:
         """Open the warehouse: registry and lineage of earlier sessions come back."""
         self.registry = self._read_json("registry") or []
-        self.lineage = Lineage(lambda: self._read_json("lineage") or [], lambda rows: self._write_json("lineage", rows))
+        self.lineage = Lineage(self._read_calls, self._write_call, lambda data_id: self._delete(f"lineage/{data_id}"))
         return self
 
     def enable_agent(self, planner: Any) -> None:
@@ -59,6 +60,9 @@ class Engine:
         return Agent(self.dataset(data_id), self.planner).dashboard(prompt)
 
     def close(self) -> None:
+        """End the session; tables that newer ones stand for go now, as frames may have read them until here."""
+        while self._superseded:
+            self._delete(self._superseded.pop())
         self.datasets.clear()
         self.active_id = None
 
@@ -97,6 +101,40 @@ class Engine:
         finally:
             stream.close()
 
+    def _write_call(self, call: dict[str, Any]) -> None:
+        self._write_json(f"lineage/{call['data_id']}/{call['opidx']:06}-{uuid.uuid4().hex[:8]}", call)
+
+    def _read_calls(self) -> list[dict[str, Any]]:
+        where, system = self._path("lineage")
+        if not system.exists(where):
+            return []
+        found, each = [], system.listFiles(where, True)
+        while each.hasNext():
+            at = each.next().getPath()
+            if at.getName().endswith(".json"):
+                found.append(self._read_json(f"lineage/{at.getParent().getName()}/{at.getName().removesuffix('.json')}"))
+        return found
+
+    def stored(self, call: Call) -> DataFrame:
+        """The stored result of a call."""
+        return self.spark.read.parquet(f"{self.warehouse}/{call.generated_table_name}")
+
+    def save(self, dataset: Dataset, steps: list[list[Any]] | None) -> None:
+        """Keep what has become of a dataset: the steps since its table was written, or with None its rows as a new table.
+
+        Rows of tables that are read in place are never written; their steps are
+        kept as long as they can be repeated.
+        """
+        row = next(r for r in self.registry if r["data_id"] == dataset.data_id)
+        if steps is None and not row["is_external"]:
+            table, old = f"{dataset.data_id}_v{uuid.uuid4().hex[:8]}", row["table_name"]
+            dataset.df.write.parquet(f"{self.warehouse}/{table}")
+            dataset.df = self.spark.read.parquet(f"{self.warehouse}/{table}")
+            row["table_name"] = table
+            self._superseded.append(old)
+        row["steps"], row["version"] = steps or [], dataset.version
+        self._write_json("registry", self.registry)
+
     def _delete(self, name: str) -> None:
         where, system = self._path(name)
         system.delete(where, True)
@@ -132,7 +170,7 @@ class Engine:
         return self._enter(data_id, filename, data_id, stored, "upload", False)
 
     def _enter(self, data_id: str, filename: str, table: str, df: DataFrame, schema: str, external: bool) -> Dataset:
-        self.registry.append({"data_id": data_id, "filename": filename, "uploaded_at": datetime.now(UTC).isoformat(), "is_upload_success": True, "table_name": table, "row_count": df.count(), "schema": schema, "is_external": external})
+        self.registry.append({"data_id": data_id, "filename": filename, "uploaded_at": datetime.now(UTC).isoformat(), "is_upload_success": True, "table_name": table, "row_count": df.count(), "schema": schema, "is_external": external, "steps": [], "version": ""})
         self._write_json("registry", self.registry)
         self.datasets[data_id] = Dataset(self, data_id, df)
         return self.datasets[data_id]
@@ -168,7 +206,7 @@ class Engine:
             raise DataNotFoundError(f"no dataset {data_id!r}" if data_id else "no active dataset")
         if data_id not in self.datasets:
             df = self.spark.table(row["table_name"]) if row["is_external"] else self.spark.read.parquet(f"{self.warehouse}/{row['table_name']}")
-            self.datasets[data_id] = Dataset(self, data_id, df)
+            self.datasets[data_id] = Dataset(self, data_id, df).resume(row.get("steps") or [], row.get("version") or "")
         return self.datasets[data_id]
 
     def register_tables(self) -> dict[str, list[dict[str, Any]]]:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import threading
+import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass
 from datetime import UTC, datetime
@@ -26,7 +28,7 @@ class Call:
     kwargs: str
     created_at: str
     is_deep_cache: bool
-    version: int
+    version: str
 
 
 def signature(value: Any) -> str:
@@ -42,23 +44,43 @@ def signature(value: Any) -> str:
     return json.dumps(value, default=simple, sort_keys=True)
 
 
+def chained(version: str, method: str, args: Any, kwargs: Any) -> str:
+    """The version that a call makes of another one: a hash of all calls since the upload."""
+    return hashlib.sha256(json.dumps([version, method, signature(args), signature(kwargs)]).encode()).hexdigest()[:16]
+
+
+def unique() -> str:
+    """A version that nothing else has, for what calls alone don't tell."""
+    return uuid.uuid4().hex[:16]
+
+
 class Lineage:
-    """An append-only log of calls. Numbers of operations grow by one for each dataset, under a lock."""
+    """An append-only log of calls, one record each, so that sessions on one warehouse don't overwrite each other.
 
-    def __init__(self, load: Callable[[], list[dict]] | None = None, store: Callable[[list[dict]], None] | None = None):
+    Numbers of operations grow by one for each dataset, under a lock. ``store``
+    writes one call, ``drop`` deletes a dataset's.
+    """
+
+    def __init__(self, load: Callable[[], list[dict]] | None = None, store: Callable[[dict], None] | None = None, drop: Callable[[str], None] | None = None):
         self._lock = threading.Lock()
-        self.calls = [Call(**x) for x in (load() if load else [])]
-        self._store = store
+        self.calls = sorted((Call(**x) for x in (load() if load else [])), key=lambda c: (c.created_at, c.data_id, c.opidx))
+        self._store, self._drop = store, drop
 
-    def record(self, data_id: str, method: str, args: Any, kwargs: Any, version: int, table: str | None = None, deep: bool = False, kind: str = "method_call") -> Call:
+    def record(self, data_id: str, method: str, args: Any, kwargs: Any, version: str, table: Callable[[Call], str | None] | None = None, kind: str = "method_call") -> Call:
+        """Log a call; ``table`` stores its result under the call's number and gives the result's name."""
         with self._lock:
             last = max((c.opidx for c in self.calls if c.data_id == data_id), default=0)
-            call = Call(data_id, last + 1, table, kind, "Dataset", method, signature(args), signature(kwargs), datetime.now(UTC).isoformat(), deep, version)
+            call = Call(data_id, last + 1, None, kind, "Dataset", method, signature(args), signature(kwargs), datetime.now(UTC).isoformat(), False, version)
             self.calls.append(call)
-            self._save()
+        if table is not None:
+            call.generated_table_name = table(call)
+            call.is_deep_cache = call.generated_table_name is not None
+        with self._lock:
+            if self._store:
+                self._store(asdict(call))
         return call
 
-    def find(self, data_id: str, method: str, args: Any, kwargs: Any, version: int) -> Call | None:
+    def find(self, data_id: str, method: str, args: Any, kwargs: Any, version: str) -> Call | None:
         """The newest stored result of the same call on the same version."""
         key = (data_id, method, signature(args), signature(kwargs), version)
         for c in reversed(self.calls):
@@ -74,9 +96,6 @@ class Lineage:
         with self._lock:
             tables = [c.generated_table_name for c in self.calls if c.data_id == data_id and c.generated_table_name]
             self.calls = [c for c in self.calls if c.data_id != data_id]
-            self._save()
+            if self._drop:
+                self._drop(data_id)
         return tables
-
-    def _save(self) -> None:
-        if self._store:
-            self._store([asdict(c) for c in self.calls])

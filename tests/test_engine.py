@@ -149,3 +149,73 @@ def test_detection(values, kind):
 
 def test_names():
     assert clean_columns(["a b", "", "1x", "a b", '"q"']) == ["a_b", "column_1", "_1x", "a_b_1", "q"]
+
+
+def test_replay_tells_versions_apart_across_sessions(spark, tmp_path):
+    first = Engine(spark, str(tmp_path / "w"), deep_cache=True)
+    d = first.upload_df(pd.DataFrame({"id": [1, 2, 3], "a": [1.0, None, 3.0]}))
+    assert [r[0] for r in d.fillna("a", method="median").select("cleaned_a_median_filled").collect()] == [1.0, 2.0, 3.0]
+    stored = first.list_operations(d.data_id)[0]["table_name"]
+    other = Engine(spark, str(tmp_path / "w"), deep_cache=True)
+    e = other.dataset(d.data_id)
+    assert "cleaned_a_median_filled" in e.columns()
+    e.update("id", spark.createDataFrame([(1, 100.0), (3, 300.0)], "id bigint, a double"))
+    assert [r[0] for r in e.fillna("a", method="median").select("cleaned_a_median_filled").collect()] == [100.0, 200.0, 300.0]
+    assert {c["table_name"] for c in other.list_operations(d.data_id)} > {stored}
+    # On the same rows in a third session the result is found, and the column comes with it.
+    again = Engine(spark, str(tmp_path / "v"), deep_cache=True)
+    f = again.upload_df(pd.DataFrame({"id": [1, 2, 3], "a": [1.0, None, 3.0]}))
+    f.describe()
+    n = len(again.list_operations(f.data_id))
+    third = Engine(spark, str(tmp_path / "v"), deep_cache=True)
+    third.dataset(f.data_id).describe()
+    assert len(third.list_operations(f.data_id)) == n
+
+
+def test_a_hit_brings_its_column(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "w"), deep_cache=True)
+    d = e.upload_df(FRAME)
+    d.fillna("b")
+    row = next(r for r in e.registry if r["data_id"] == d.data_id)
+    row["steps"], row["version"] = [], ""
+    fresh = Dataset(e, d.data_id, spark.read.parquet(f"{e.warehouse}/{row['table_name']}"))
+    calls = len(e.list_operations(d.data_id))
+    assert fresh.fillna("b").count() == 4 and "cleaned_b_mean_filled" in fresh.columns() and len(e.list_operations(d.data_id)) == calls
+
+
+def test_derived_columns_last(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "w"))
+    d = e.upload_df(FRAME)
+    d.mul("a", 2, "twice")
+    d.insert("place", [4, 3, 2, 1])
+    d.rename({"cat": "kind"})
+    for k in range(12):
+        d.add("a", k, f"plus{k}")
+    want = d.to_pandas()
+    row = next(r for r in e.registry if r["data_id"] == d.data_id)
+    assert row["table_name"] != d.data_id and 0 < len(row["steps"]) < 12
+    back = Engine(spark, str(tmp_path / "w")).dataset(d.data_id)
+    pd.testing.assert_frame_equal(back.to_pandas(), want)
+    assert back.version == d.version
+    e.close()
+    pd.testing.assert_frame_equal(Engine(spark, str(tmp_path / "w")).dataset(d.data_id).to_pandas(), want)
+
+
+def test_update_by_table_name(spark, tmp_path):
+    spark.sql("CREATE DATABASE IF NOT EXISTS stock")
+    spark.createDataFrame([(1, 77), (9, 1)], "id bigint, a bigint").write.mode("overwrite").saveAsTable("stock.newer")
+    d = Engine(spark, str(tmp_path / "w")).upload_df(FRAME)
+    d.update("id", "newer", schema="stock")
+    assert d.to_pandas()["a"].tolist() == [77, 20, 30, 40]
+    d.update("id", "stock.newer", overwrite=False)
+    assert d.to_pandas()["a"].tolist() == [77, 20, 30, 40]
+    spark.sql("DROP DATABASE stock CASCADE")
+
+
+def test_sessions_keep_each_others_calls(spark, tmp_path):
+    a = Engine(spark, str(tmp_path / "w"))
+    d = a.upload_df(FRAME)
+    b = Engine(spark, str(tmp_path / "w"))
+    d.describe()
+    b.dataset(d.data_id).info()
+    assert len(Engine(spark, str(tmp_path / "w")).list_operations(d.data_id)) == 2
