@@ -20,6 +20,8 @@ class Widget:
     title: str
     kind: str
     content: Any
+    #: Columns of the row that it takes, of PER_ROW.
+    width: int = 1
 
     def summary(self) -> str:
         if self.kind == "metric":
@@ -36,7 +38,7 @@ class Widget:
             body = frame.to_html(index=False)
         else:
             body = show(self.content)
-        return f"<section><h2>{escape(self.title)}</h2>{body}</section>"
+        return f"<section style='flex:{self.width}'><h2>{escape(self.title)}</h2>{body}</section>"
 
 
 @dataclass
@@ -44,13 +46,15 @@ class Dashboard:
     title: str = "Dashboard"
     widgets: list[Widget] = field(default_factory=list)
 
-    def add(self, title: str, content: Any, kind: str | None = None) -> Dashboard:
-        """Add a widget; its kind is seen from its content."""
+    def add(self, title: str, content: Any, kind: str | None = None, width: int = 1) -> Dashboard:
+        """Add a widget; its kind is seen from its content. ``width`` is how much of a row it takes."""
+        if not 1 <= width <= PER_ROW:
+            raise OperationError(f"a widget is 1 to {PER_ROW} wide")
         if kind is None:
             kind = "table" if hasattr(content, "columns") else "metric" if isinstance(content, (int, float, str)) else "figure"
         if kind not in ("table", "metric", "figure"):
             raise OperationError(f"unknown widget {kind!r}")
-        self.widgets.append(Widget(title, kind, content))
+        self.widgets.append(Widget(title, kind, content, width))
         return self
 
     def collect(self, results: dict[str, Any]) -> Dashboard:
@@ -62,14 +66,25 @@ class Dashboard:
 
     def design(self) -> list[dict[str, Any]]:
         """Where each widget stands: its row, its place in the row and its kind."""
-        return [{"title": w.title, "kind": w.kind, "row": i // PER_ROW, "column": i % PER_ROW} for i, w in enumerate(self.widgets)]
+        out = []
+        for i, row in enumerate(self.rows()):
+            at = 0
+            for w in row:
+                out.append({"title": w.title, "kind": w.kind, "row": i, "column": at} | ({"width": w.width} if w.width > 1 else {}))
+                at += w.width
+        return out
 
     def summarize(self) -> list[str]:
         return [w.summary() for w in self.widgets]
 
     def rows(self) -> list[list[Widget]]:
-        """Widgets as they are laid out."""
-        return [self.widgets[i : i + PER_ROW] for i in range(0, len(self.widgets), PER_ROW)]
+        """Widgets as they are laid out: a row ends where the next widget has no room."""
+        out: list[list[Widget]] = []
+        for w in self.widgets:
+            if not out or sum(x.width for x in out[-1]) + w.width > PER_ROW:
+                out.append([])
+            out[-1].append(w)
+        return out
 
     def render(self) -> str:
         rows = "".join("<div class='row'>" + "".join(w.html() for w in row) + "</div>" for row in self.rows())

@@ -15,6 +15,7 @@ from .dataset import POSITION, Dataset
 from .errors import ConfigurationError, DataNotFoundError
 from .lineage import Call, Lineage
 from .sources import load_csv, load_frame, load_parquet
+from .sources.connect import read_jdbc, write_jdbc
 from .sources.names import clean_columns, new_id
 
 
@@ -190,6 +191,15 @@ class Engine:
             return self._register(df.toDF(*clean_columns(df.columns)), name)
         return self._register(load_frame(self.spark, df, dtypes, POSITION), name)
 
+    def upload_table(self, url: str, table: str, filename: str | None = None, **options: Any) -> Dataset:
+        """A dataset from a table of another database, by JDBC; options are those of ``read_jdbc``."""
+        df = read_jdbc(self.spark, url, table, **options)
+        return self._register(df.toDF(*clean_columns(df.columns)), filename or table)
+
+    def write_table(self, data_id: str | None, url: str, table: str, mode: str = "append", **options: str) -> None:
+        """A dataset's rows into a table of another database."""
+        write_jdbc(self.dataset(data_id).frame, url, table, mode, **options)
+
     def dataset(self, data_id: str | None = None, data: Any = None, columns: list[str] | None = None) -> Dataset:
         """The dataset of an id (the active one by default), or a new one of in-memory data."""
         if data_id is not None and data is not None:

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..dataset import Dataset
 from ..functions.ordered import fill, index, lag
 from ..operators import arithmetic as A
 from ..operators import cleaning as C
@@ -20,6 +21,7 @@ from ..operators import selection as S
 from ..operators import stats as X
 from ..plots import points
 from ..streaming import resample_stream
+from . import sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -124,7 +126,9 @@ _scalar("skew", f"skewness({PRICE})", 6)
 _scalar("kurtosis", f"kurtosis({PRICE})", 6)
 _scalar("entropy", "-sum(p * ln(p))", 8, column="o_orderpriority", frm="(SELECT count(*)::DOUBLE / sum(count(*)) OVER () AS p FROM orders GROUP BY o_orderpriority)")
 _scalar("coefficient_of_variation", f"stddev_pop({PRICE}) / avg({PRICE})", 8)
-_scalar("product", "exp(sum(ln(l_tax)) FILTER (l_tax > 0))", 8, lambda s, d: lineitem(s, d).where("l_orderkey < 40"), "l_tax", frm="lineitem WHERE l_orderkey < 40")
+# The factors are near enough to 1 for the product over the whole table to be a number.
+FACTOR = "1 + (l_tax - 0.04) / 1000"
+_scalar("product", f"exp(sum(ln({FACTOR})))", 6, lambda s, d: lineitem(s, d).select(F.expr(FACTOR).cast("double").alias("f")), "f", frm="lineitem")
 _scalar("dt_mean", "to_timestamp(round(avg(epoch(o_orderdate))))::TIMESTAMP", None, lambda s, d: orders(s, d), "o_orderdate", "mean")
 QUERIES["stat_dt_mean"] = lambda s, d: X.scalar(orders(s, d), "o_orderdate", "mean").select(F.to_timestamp_ntz(F.from_unixtime(F.round(F.unix_micros(F.col("value").cast("timestamp")) / 1e6).cast("bigint"))).alias("value"))
 ORACLE_SQL["stat_dt_mean"] = "SELECT make_timestamp(CAST(round(avg(epoch(o_orderdate))) AS BIGINT) * 1000000) AS value FROM orders"
@@ -255,21 +259,32 @@ _group("text_mode", "s", "mode", None, method="mode")
 _group("dt_min", "t", "min(t)", None, method="min")
 _group("dt_max", "t", "max(t)", None, method="max")
 _group("dt_mode", "t", "mode", None, method="mode")
+for _mode, _sql in (("mean", "avg"), ("median", "median")):
+    # Micro-second averages may round apart: whole seconds are compared.
+    _add(
+        f"clean_group_fillna_dt_{_mode}",
+        lambda s, d, m=_mode: C.groupby_fillna(gappy(s, d), "t", ["l_returnflag"], method=m, target="v").select(*KEYS, F.date_trunc("second", "v").cast("timestamp_ntz").alias("v")),
+        f"WITH {GAPPY}, p AS (SELECT l_returnflag, make_timestamp(CAST(round({_sql}(epoch_us(t))) AS BIGINT)) AS a FROM g GROUP BY 1) SELECT {KEY_SQL}, date_trunc('second', coalesce(t, a)) AS v FROM g JOIN p USING (l_returnflag)",
+    )
 _add("clean_group_fillna_constant", lambda s, d: C.groupby_fillna(gappy(s, d), "s", ["l_returnflag"], value="none", target="v").select(*KEYS, "v"), f"WITH {GAPPY} SELECT {KEY_SQL}, coalesce(s, 'none') AS v FROM g")
 
 HOLES = "CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END"
 
 
 def holes(spark, sf_dir) -> DataFrame:
-    return events(spark, sf_dir).select("event_id", "event_type", "ts", F.expr(HOLES).alias("x"), F.expr("CASE WHEN event_id % 4 = 1 THEN NULL ELSE event_type END").alias("k"))
+    return events(spark, sf_dir).select("event_id", "event_type", "ts", F.expr(HOLES).alias("x"), F.expr("CASE WHEN event_id % 4 = 1 THEN NULL ELSE event_type END").alias("k"), F.expr("CASE WHEN event_id % 4 = 1 THEN NULL ELSE ts END").alias("u"))
 
 
-HOLES_SQL = f"h AS (SELECT event_id, event_type, ts, {HOLES} AS x, CASE WHEN event_id % 4 = 1 THEN NULL ELSE event_type END AS k FROM events)"
+HOLES_SQL = f"h AS (SELECT event_id, event_type, ts, {HOLES} AS x, CASE WHEN event_id % 4 = 1 THEN NULL ELSE event_type END AS k, CASE WHEN event_id % 4 = 1 THEN NULL ELSE ts END AS u FROM events)"
 for _mode, _fn, _frame in (("ffill", "last_value", "UNBOUNDED PRECEDING AND CURRENT ROW"), ("bfill", "first_value", "CURRENT ROW AND UNBOUNDED FOLLOWING")):
     _over = f"ORDER BY event_id ROWS BETWEEN {_frame}"
     _add(f"clean_{_mode}", lambda s, d, m=_mode: C.fillna(holes(s, d), "x", method=m, order_by="event_id", target="v").select("event_id", "v"), f"WITH {HOLES_SQL} SELECT event_id, {_fn}(x IGNORE NULLS) OVER ({_over}) AS v FROM h")
     _add(f"clean_{_mode}_text", lambda s, d, m=_mode: C.fillna(holes(s, d), "k", method=m, order_by="event_id", target="v").select("event_id", "v"), f"WITH {HOLES_SQL} SELECT event_id, {_fn}(k IGNORE NULLS) OVER ({_over}) AS v FROM h")
     _add(f"clean_group_{_mode}", lambda s, d, m=_mode: C.groupby_fillna(holes(s, d), "x", ["event_type"], method=m, order_by="event_id", target="v").select("event_id", "v"), f"WITH {HOLES_SQL} SELECT event_id, {_fn}(x IGNORE NULLS) OVER (PARTITION BY event_type {_over}) AS v FROM h")
+    for _kind, _column in (("text", "k"), ("dt", "u")):
+        _add(f"clean_group_{_mode}_{_kind}", lambda s, d, m=_mode, c=_column: C.groupby_fillna(holes(s, d), c, ["event_type"], method=m, order_by="event_id", target="v").select("event_id", "v"), f"WITH {HOLES_SQL} SELECT event_id, {_fn}({_column} IGNORE NULLS) OVER (PARTITION BY event_type {_over}) AS v FROM h")
+    _add(f"clean_{_mode}_dt", lambda s, d, m=_mode: C.fillna(holes(s, d), "u", method=m, order_by="event_id", target="v").select("event_id", "v"), f"WITH {HOLES_SQL} SELECT event_id, {_fn}(u IGNORE NULLS) OVER ({_over}) AS v FROM h")
+_add("clean_fillna_dt_now", lambda s, d: C.fillna(gappy(s, d), "t", method="now", target="v").select(*KEYS, F.when(F.col("t").isNotNull(), F.col("v")).alias("v"), (F.abs(F.unix_timestamp("v") - F.unix_timestamp(F.current_timestamp())) < 3600).alias("is_now")).select(*KEYS, "v", F.expr("v IS NULL AND is_now").alias("filled")), f"WITH {GAPPY} SELECT {KEY_SQL}, t AS v, t IS NULL AS filled FROM g")
 
 
 def _lines(name: str, of: Callable[[DataFrame], DataFrame], sql: str) -> None:
@@ -358,7 +373,7 @@ _add(
     lambda s, d: I.update(orders(s, d), _updates(s, d), "o_orderkey"),
     f"SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 2 <> 0 THEN {PRICE} + 1 ELSE {PRICE} END AS {PRICE}, o_orderdate, o_orderpriority FROM orders",
 )
-_add("ins_shape", lambda s, d: orders(s, d).agg(F.count(F.lit(1)).alias("rows")).select("rows", F.lit(6).cast("bigint").alias("columns")), "SELECT count(*) AS rows, 6::BIGINT AS columns FROM orders")
+_add("ins_shape", lambda s, d: s.createDataFrame([Dataset(None, "", orders(s, d)).shape()["shape"]], "rows bigint, columns bigint"), "SELECT count(*) AS rows, 6::BIGINT AS columns FROM orders")
 _add("win_lag", lambda s, d: lag(events(s, d).select("event_id", "value"), "value", "event_id", "before"), "SELECT event_id, value, lag(value) OVER (ORDER BY event_id) AS before FROM events")
 _add("win_index", lambda s, d: index(events(s, d).select("event_id", "ts"), "ts", "place"), "SELECT event_id, ts, row_number() OVER (ORDER BY ts) - 1 AS place FROM events")
 _add("win_fill_two_keys", lambda s, d: fill(lineitem(s, d).select(*KEYS, F.expr(NULLED).alias("q")), "q", KEYS, "v").select(*KEYS, "v"), f"SELECT {KEY_SQL}, last_value({NULLED} IGNORE NULLS) OVER (ORDER BY {KEY_SQL} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v FROM lineitem")
@@ -369,6 +384,9 @@ _add("plot_scatter_points", lambda s, d: points(customer(s, d), "scatter", x="c_
 for _rule, _unit in (("h", "hour"), ("d", "day"), ("w", "week")):
     _add(f"stream_resample_{_unit}", lambda s, d, r=_rule: _rounded(resample_stream(events(s, d), "ts", r, "SUM", "value"), "value"), f"SELECT date_trunc('{_unit}', ts)::TIMESTAMP AS ts, round(sum(value), 4) AS value FROM events GROUP BY 1")
 
+_add("ins_resample_median", lambda s, d: _rounded(I.resample(events(s, d), "ts", "day", "MEDIAN", "value"), "value"), "SELECT date_trunc('day', ts)::TIMESTAMP AS ts, round(median(value), 4) AS value FROM events GROUP BY 1")
+sessions.register(_add, _table)
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Describe lineitem's measures."""

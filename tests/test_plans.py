@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from framekit.operators import cleaning as C
 from framekit.operators import inspection as I
@@ -48,3 +49,38 @@ def test_group_statistics_are_added_up_before_the_shuffle(spark):
 
 def test_matrices_are_one_pass(spark):
     assert plan(X.corr(Q.lineitem(spark, SMALL), Q.MEASURES)).count("Scan parquet") + plan(X.corr(Q.lineitem(spark, SMALL), Q.MEASURES)).count("FileScan parquet") <= 2
+
+
+def test_info_expands_nothing(spark):
+    text = plan(I.info(Q.customer(spark, SMALL)))
+    assert "Expand" not in text and "Union" in text
+
+
+def test_modes_and_medians_of_groups_are_counted_first(spark):
+    for method in ("mode", "median"):
+        text = plan(C.groupby_fillna(Q.gappy(spark, SMALL), "q", ["l_returnflag"], method=method, target="v"))
+        assert "partial_count" in text and "mode(" not in text and " median(" not in text and "Window" not in text
+
+
+def test_quantiles_are_taken_of_few_rows(spark):
+    from framekit.functions import quantiles as K
+
+    df = spark.range(200_000).selectExpr("cast((id * 7919) % 200000 as double) v")
+    found = df.agg(K.quantiles(df, [F.col("v")], [0.5])[0].alias("q"))
+    assert "CASE WHEN" in plan(found) and found.first()["q"] == [99_999.5]
+    low, high = map(float, re.search(r">= ([\d.]+)\) AND .*?<= ([\d.]+)\)", plan(found)).groups())
+    assert 0 < high - low < 1000
+
+
+def test_files_without_line_ends_in_fields_are_split(spark, tmp_path):
+    from framekit.sources.csv import survey
+
+    one, two = tmp_path / "a.csv", tmp_path / "b.csv"
+    one.write_text('a,b\n1,"x ""y"""\n')
+    two.write_text('a,b\n1,"x\ny"\n')
+    assert survey(spark, str(one)) == ("utf-8", False) and survey(spark, str(two)) == ("utf-8", True)
+    late = tmp_path / "c.csv"
+    late.write_bytes(b"a,b\n" + b"1,plain\n" * 40_000 + b"2,caf\xe9\n")
+    assert survey(spark, str(late)) == ("iso-8859-1", False)
+    late.write_bytes(b"a,b\n" + b"1,plain\n" * 40_000 + b"2,5 \x80\n")
+    assert survey(spark, str(late)) == ("windows-1252", False)
