@@ -4,7 +4,19 @@ Two bigram models, of a target set and of the whole corpus, share one
 vocabulary, one order and one smoothing, and the corpus's counts are scaled to
 the target's size, so that their losses can be compared token by token. A
 document's score is the mean loss under the background model less the mean loss
-under the target model: the higher, the more it is like the target.
+under the target model: the higher, the more it is like the target. The
+background holds the target and each scored document of the corpus as well.
+
+The vocabulary is open: every word counts as itself, by a hash. Counts live in a
+table that is dealt out by word, so both models grow with the corpus and no
+process holds more than a part. Texts stay where they are: blocks of documents
+send each part the bigrams that end in its words, as sorted arrays, and get sums
+back. A word's part knows all that its tokens need, since
+
+    -log p(w | a) = -log(c(a, w) + S p(w)) + log(c(a) + S)
+
+splits into one term for the bigram, held where w is, and one for a's turn as a
+context, held where a is.
 """
 
 from __future__ import annotations
@@ -18,18 +30,27 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import annotate, held_out, kept, ship, slices
+from .common import held_out, kept, materialize, ship, slices
 
-#: Words of the vocabulary (the corpus's commonest), and classes of other words by their ends.
-VOCABULARY, CLASSES = 1500, 256
+#: Words that count as themselves (None: all; else the corpus's commonest so many), and classes of the other words by their ends.
+VOCABULARY: int | None = None
+CLASSES = 256
 #: Pseudo-counts of the lower order at each order.
 SMOOTHING = 16.0
 #: Words counted before a task's counts leave it.
 FLUSH = 100_000
+#: Characters of text for each part of the table, blocks that meet in one task at most, and bigrams of a part that do.
+PART_CHARS, FAN_IN, PART_TOKENS = 32_000_000, 512, 32_000_000
+#: Target ids that are broadcast at most (8 bytes each); beyond, texts and ids meet in a merge.
+BROADCAST_IDS = 1_000_000
+#: What stands for a text's start and end among the contexts of a word.
+START, END = 0, 0xFFFFFFFF
 
 WORD = re.compile(r"\w+")
 
@@ -38,43 +59,206 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
-class Ids(dict):
-    """Ids of words: 0 starts a text, 1.. are the vocabulary, then the classes of other words."""
+class Keys:
+    """64-bit keys of words: a hash, or with a vocabulary its numbers from 1 on and then those of the classes."""
 
-    def __init__(self, vocabulary: Sequence[str]):
-        super().__init__()
-        self.known = {w: i for i, w in enumerate(vocabulary, 1)}
-        self.size = 1 + len(vocabulary) + CLASSES
+    def __init__(self, vocabulary: Sequence[str] | None = None):
+        self.known = None if vocabulary is None else {w: i for i, w in enumerate(vocabulary, 1)}
 
-    def __missing__(self, word: str) -> int:
-        got = self.known.get(word)
-        if got is None:
-            got = len(self.known) + 1 + zlib.crc32(word[-3:].encode("utf-8", "surrogatepass")) % CLASSES
-        if len(self) > FLUSH:
-            self.clear()
-        self[word] = got
-        return got
+    def __call__(self, words: Iterable[str]) -> np.ndarray:
+        if self.known is None:
+            return np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64)
+        other = len(self.known) + 1
+        return np.fromiter((self.known.get(w) or other + zlib.crc32(w[-3:].encode("utf-8", "surrogatepass")) % CLASSES for w in words), np.uint64)
 
-    def bigrams(self, words: list[str]) -> np.ndarray:
-        """Each word's number below the one before it, as one number."""
-        ids = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        return np.concatenate(([0], ids[:-1])) * self.size + ids
+    def contexts(self, keys: np.ndarray) -> np.ndarray:
+        """32 bits by which the contexts of one word are told apart."""
+        low = keys if self.known is not None else keys >> np.uint64(32)
+        return np.clip(low, 1, END - 1).astype(np.uint32)
 
 
 @dataclass
-class Models:
-    """The shared vocabulary, and log p of every bigram in the target and the background."""
+class Block:
+    """The bigrams of some documents, by part, word and context.
 
-    vocabulary: list[str]
-    target: np.ndarray
-    background: np.ndarray
+    words, and how many bigrams end in each; each bigram's context, and how many
+    documents have it; those documents' places in the block, and how often each has it.
+    """
+
+    words: np.ndarray
+    per_word: np.ndarray
+    context: np.ndarray
+    per_bigram: np.ndarray
+    doc: np.ndarray
+    times: np.ndarray
+
+
+def _cuts(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values start."""
+    return np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.zeros(0, np.int64)
+
+
+def _lengths(starts: np.ndarray, total: int) -> np.ndarray:
+    return np.diff(np.append(starts, total))
+
+
+def blocks(texts: Sequence[str | None], keys: Keys, parts: int) -> tuple[np.ndarray, dict[int, Block]]:
+    """(tokens of each text, block of each part) of some texts; a text's end is a bigram of its last word."""
+    number: dict[str, int] = {}
+    rows, sizes = [], np.zeros(len(texts), np.int64)
+    for i, t in enumerate(texts):
+        found = words_of(t)
+        sizes[i] = len(found)
+        rows.append(np.fromiter((number.setdefault(w, len(number)) for w in found), np.int64, len(found)))
+    if not number:
+        return sizes, {}
+    keyed = keys(number)
+    # Words of one key (classes) are one word; ranks go by part and key.
+    distinct, same = np.unique(keyed, return_inverse=True)
+    part = (distinct % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    distinct, part = distinct[order], part[order]
+    tokens = rank[same[np.concatenate(rows)]]
+    doc = np.repeat(np.arange(len(texts)), sizes)
+    n = len(distinct)
+    ends = np.cumsum(sizes)[sizes > 0] - 1
+    before = np.concatenate(([n], tokens[:-1]))
+    before[np.concatenate(([0], ends[:-1] + 1))] = n
+    # One number for word, context (n: start, n + 1: end) and document sorts them all.
+    wide, many = n + 2, max(1, len(texts))
+    code = np.concatenate(((tokens * wide + before) * many + doc, (tokens[ends] * wide + n + 1) * many + doc[ends]))
+    code.sort()
+    at = _cuts(code)
+    times, code = _lengths(at, len(code)), code[at]
+    bigram, place = code // many, code % many
+    at = _cuts(bigram)
+    per_bigram, bigram = _lengths(at, len(bigram)), bigram[at]
+    context = np.concatenate((keys.contexts(distinct), np.array([START, END], np.uint32)))[bigram % wide]
+    word = bigram // wide
+    first = _cuts(word)
+    per_word, word = _lengths(first, len(word)), word[first]
+    entries = np.concatenate(([0], np.cumsum(per_bigram)))
+    bigrams = np.concatenate(([0], np.cumsum(per_word)))
+    out = {}
+    starts = _cuts(part[word])
+    for a, b in zip(starts, np.append(starts[1:], len(word))):
+        c, d = bigrams[a], bigrams[b]
+        out[int(part[word[a]])] = Block(distinct[word[a:b]], per_word[a:b], context[c:d], per_bigram[c:d], place[entries[c] : entries[d]], times[entries[c] : entries[d]])
+    return sizes, out
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of whole numbers or floats as bytes, whole numbers in as few as hold them."""
+    out = []
+    for x in arrays:
+        if x.dtype.kind in "iu":
+            x = x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
+        out.append(np.array([ord(x.dtype.char), len(x)], np.int64).tobytes() + x.tobytes())
+    return b"".join(out)
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(data):
+        kind, n = np.frombuffer(data, np.int64, 2, at)
+        out.append(np.frombuffer(data, np.dtype(chr(kind)), n, at + 16))
+        at += 16 + out[-1].nbytes
+    return out
+
+
+def _bigram_keys(words: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """One hash of a word's key and a context."""
+    x = words ^ (context.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def smoothed(counts: np.ndarray, smoothing: float = SMOOTHING) -> np.ndarray:
-    """Log p of each bigram from a square table of counts; lower orders fill in."""
-    one = counts.sum(axis=0)
-    p1 = (one + smoothing / len(one)) / (one.sum() + smoothing)
-    return np.log((counts + smoothing * p1) / (counts.sum(axis=1, keepdims=True) + smoothing)).astype(np.float32)
+@dataclass
+class Counts:
+    """Counts of a part in the background and the target: of bigrams by key, of words by key, and of words that end texts."""
+
+    bigrams: np.ndarray
+    bigram_counts: np.ndarray
+    words: np.ndarray
+    word_counts: np.ndarray
+    end_counts: np.ndarray
+
+    def pack(self) -> bytes:
+        return pack(self.bigrams, *self.bigram_counts, self.words, *self.word_counts, *self.end_counts)
+
+    @classmethod
+    def unpack(cls, data: bytes) -> Counts:
+        x = unpack(data)
+        wide = lambda a, b: np.stack((a, b)).astype(np.int64)
+        return cls(x[0].astype(np.uint64), wide(*x[1:3]), x[3].astype(np.uint64), wide(*x[4:6]), wide(*x[6:8]))
+
+    @classmethod
+    def merged(cls, parts: Sequence[Counts]) -> Counts:
+        def add(keys: list[np.ndarray], *counts: list[np.ndarray]) -> list[np.ndarray]:
+            every = np.concatenate([*keys, np.zeros(0, np.uint64)])
+            order = np.argsort(every, kind="stable")
+            every = every[order]
+            at = _cuts(every)
+            return [every[at]] + [np.add.reduceat(np.concatenate(c, axis=1)[:, order], at, axis=1) if len(at) else np.zeros((2, 0), np.int64) for c in counts]
+
+        bigrams, bigram_counts = add([p.bigrams for p in parts], [p.bigram_counts for p in parts])
+        words, word_counts, end_counts = add([p.words for p in parts], [p.word_counts for p in parts], [p.end_counts for p in parts])
+        return cls(bigrams, bigram_counts, words, word_counts, end_counts)
+
+    @classmethod
+    def of(cls, block: Block, wanted: np.ndarray) -> Counts:
+        """Counts of a block, its target documents being ``wanted``."""
+        each = np.stack((block.times, block.times * wanted[block.doc]))
+        at = np.cumsum(block.per_bigram) - block.per_bigram
+        n = np.add.reduceat(each, at, axis=1)
+        first = np.cumsum(block.per_word) - block.per_word
+        ends = block.context == END
+        return cls(_bigram_keys(np.repeat(block.words, block.per_word), block.context), n, block.words, np.add.reduceat(np.where(ends, 0, n), first, axis=1), np.add.reduceat(np.where(ends, n, 0), first, axis=1)).sorted()
+
+    def sorted(self) -> Counts:
+        a, b = np.argsort(self.bigrams, kind="stable"), np.argsort(self.words, kind="stable")
+        return Counts(self.bigrams[a], self.bigram_counts[:, a], self.words[b], self.word_counts[:, b], self.end_counts[:, b])
+
+
+def _found(table: np.ndarray, counts: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Counts of keys in a sorted table, 0 for those that it doesn't have."""
+    if not len(table):
+        return np.zeros((2, len(keys)), np.int64)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return np.where(table[at] == keys, counts[:, at], 0)
+
+
+@dataclass
+class Models:
+    """The table of counts (part, counts) and what all parts share; background first, target second."""
+
+    vocabulary: list[str] | None
+    parts: int
+    spread: list[int]
+    counts: DataFrame
+    size: int
+    scale: np.ndarray
+    totals: np.ndarray
+    starts: np.ndarray
+
+    def shared(self) -> tuple:
+        return self.size, self.scale, self.totals * self.scale, self.starts * self.scale
+
+
+def losses(block: Block, counts: Counts, shared: tuple, smoothing: float = SMOOTHING) -> tuple[np.ndarray, np.ndarray]:
+    """(documents, their losses under both models): what a part adds to the documents of a block."""
+    size, scale, totals, _ = shared
+    words = np.repeat(block.words, block.per_word)
+    one = _found(counts.words, counts.word_counts, block.words) * scale[:, None]
+    ending = _found(counts.words, counts.end_counts, block.words) * scale[:, None]
+    turn = np.repeat(np.log(one - ending + smoothing), block.per_word, axis=1)
+    p1 = np.repeat((one + smoothing / size) / (totals[:, None] + smoothing), block.per_word, axis=1)
+    pair = _found(counts.bigrams, counts.bigram_counts, _bigram_keys(words, block.context)) * scale[:, None]
+    value = np.where(block.context == END, -turn, turn - np.log(pair + smoothing * p1))
+    each = np.repeat(value, block.per_bigram, axis=1) * block.times
+    docs = np.unique(block.doc)
+    return docs, np.stack([np.bincount(block.doc, x, block.doc.max() + 1)[docs] for x in each])
 
 
 def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -104,49 +288,71 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(F.col(f"`{text_col}`")).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def count_bigrams(docs: DataFrame, vocabulary: Sequence[str], text_col: str = "text", flag_col: str = "is_target") -> DataFrame:
-    """(bigram, background, target): counts over all whole texts and over the flagged ones."""
+def _merging(counted: DataFrame, blocks_total: int) -> DataFrame:
+    """(part, counts) from (part, salt, counts): merged in rounds, so that no task takes more than FAN_IN tables of a part at once."""
+
+    def merge(table: pa.Table) -> pa.Table:
+        whole = Counts.merged([Counts.unpack(x) for x in table["counts"].to_pylist()])
+        return pa.table({"part": table["part"].slice(0, 1), "salt": table["salt"].slice(0, 1), "counts": pa.array([whole.pack()], pa.binary())})
+
+    n = max(1, blocks_total)
+    while True:
+        n = -(-n // FAN_IN)
+        counted = counted.withColumn("salt", F.pmod("salt", F.lit(n))).groupBy("part", "salt").applyInArrow(merge, "part int, salt bigint, counts binary")
+        if n == 1:
+            return counted
+
+
+def count_bigrams(docs: DataFrame, vocabulary: Sequence[str] | None, parts: int, chars: int, text_col: str = "text", flag_col: str = "is_target") -> DataFrame:
+    """The written table (part, counts, words, b, t, start_b, start_t): counts over all whole texts and over the flagged ones."""
     ship(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(list(vocabulary))
-    token = uuid.uuid4().hex
+    shared, token = docs.sparkSession.sparkContext.broadcast(vocabulary), uuid.uuid4().hex
 
     def run(batches: Iterable[pa.RecordBatch]):
-        ids = kept(token, lambda: Ids(shared.value))
-        n = np.zeros((2, ids.size * ids.size), np.int32)
+        from pyspark import TaskContext
+
+        keys = kept(token, lambda: Keys(shared.value))
+        # The same in every attempt of a task.
+        salt = TaskContext.get().partitionId() << 20
         for batch in batches:
             texts, flags = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in slices(texts):
-                for flag in (0, 1):
-                    words = [ids.bigrams(words_of(t)) for t, f in zip(texts[a:b], flags[a:b]) if bool(f) == bool(flag) and t]
-                    if words:
-                        keys, counts = np.unique(np.concatenate(words), return_counts=True)
-                        n[0, keys] += counts
-                        n[1, keys] += flag * counts
-        found = np.flatnonzero(n[0])
-        for a in range(0, len(found), 1 << 16):
-            part = found[a : a + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (part, n[0, part], n[1, part])], names=["bigram", "background", "target"])
-
-    counted = docs.select(F.col(f"`{text_col}`"), F.col(f"`{flag_col}`")).mapInArrow(run, "bigram bigint, background bigint, target bigint")
-    return counted.groupBy("bigram").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
-
-
-def fit(docs: DataFrame, text_col: str = "text", flag_col: str = "is_target") -> Models:
+                wanted = np.array([bool(f) for f in flags[a:b]], np.int64)
+                found = blocks(texts[a:b], keys, parts)[1]
+                salt += 1
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([salt] * len(found), pa.int64()), pa.array([Counts.of(x, wanted).pack() for x in found.values()], pa.binary())], names=["part", "salt", "counts"])
+
+    def total(table: pa.Table) -> pa.Table:
+        c = [Counts.unpack(x) for x in table["counts"].to_pylist()]
+        sums = [[int(x.word_counts[k].sum()) for x in c] for k in (0, 1)] + [[int(x.end_counts[k].sum()) for x in c] for k in (0, 1)]
+        return pa.RecordBatch.from_arrays([table["part"], table["counts"], pa.array([len(x.words) for x in c], pa.int64()), *[pa.array(x, pa.int64()) for x in sums]], names=["part", "counts", "words", "b", "t", "start_b", "start_t"])
+
+    counted = docs.select(F.col(f"`{text_col}`"), F.col(f"`{flag_col}`")).mapInArrow(run, "part int, salt bigint, counts binary")
+    merged = _merging(counted, -(-chars // (1 << 22))).select("part", "counts")
+    return materialize(merged.mapInArrow(lambda batches: map(total, batches), "part int, counts binary, words bigint, b bigint, t bigint, start_b bigint, start_t bigint"), "counts")
+
+
+def fit(docs: DataFrame, text_col: str = "text", flag_col: str = "is_target", vocabulary: int | None = None) -> Models:
     """Both models from all texts, the target's from those that ``flag_col`` marks.
 
-    The vocabulary is the corpus's commonest words (ties by code point); the
-    tables that reach the driver are bounded by its square, whatever the corpus.
+    Every word counts as itself unless ``vocabulary`` names a number: then the
+    corpus's commonest so many words do (ties by code point). The driver holds
+    sums of parts only; NULL texts are empty, repeated rows count each, texts of
+    any length count whole.
     """
-    vocabulary = [r[0] for r in count_words(docs, text_col).orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()]
-    size = 1 + len(vocabulary) + CLASSES
-    counts = np.zeros((2, size * size))
-    table = count_bigrams(docs, vocabulary, text_col, flag_col).toArrow()
-    keys = table["bigram"].to_numpy()
-    counts[0, keys], counts[1, keys] = table["background"].to_numpy(), table["target"].to_numpy()
-    background, target = counts.reshape(2, size, size)
-    if target.sum() > 0:
-        background = background * (target.sum() / background.sum())
-    return Models(vocabulary, smoothed(target), smoothed(background))
+    top = VOCABULARY if vocabulary is None else vocabulary
+    names = None if top is None else [r[0] for r in count_words(docs, text_col).orderBy(F.desc("n"), "word").limit(top).collect()]
+    chars = docs.agg(F.sum(F.length(F.col(f"`{text_col}`")))).first()[0] or 0
+    parts = max(1, -(-chars // PART_CHARS))
+    counts = count_bigrams(docs, names, parts, chars, text_col, flag_col)
+    sums = counts.select("part", "words", "b", "t", "start_b", "start_t").collect()
+    b, t, start_b, start_t = (sum(r[k] for r in sums) for k in ("b", "t", "start_b", "start_t"))
+    size = 1 + (sum(r["words"] for r in sums) if names is None else len(names) + CLASSES)
+    spread = [1] * parts
+    for r in sums:
+        spread[r["part"]] = max(1, -(-r["b"] // PART_TOKENS))
+    return Models(names, parts, spread, counts.select("part", "counts"), size, np.array([t / b if t else 1.0, 1.0]), np.array([b, t], float), np.array([start_b, start_t], float))
 
 
 FIELDS = [T.StructField(n, t) for n, t in (("n_tokens", T.LongType()), ("target_loss", T.DoubleType()), ("background_loss", T.DoubleType()), ("lm_score", T.DoubleType()))]
@@ -155,38 +361,95 @@ FIELDS = [T.StructField(n, t) for n, t in (("n_tokens", T.LongType()), ("target_
 def score(df: DataFrame, models: Models, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Append ``n_tokens``, mean losses under both models in nats, and their difference ``lm_score``.
 
-    NULL texts and texts without words have 0 tokens, losses and score 0. No
-    shuffle; repeated rows each get their result; an empty table gives an empty
-    one; input columns named like an output give way to it.
+    NULL texts and texts without words have 0 tokens, losses and score 0. Texts
+    aren't shuffled: blocks of rows send their bigrams, the other columns and
+    their sums meet again by block. Repeated rows each get their result; an
+    empty table gives an empty one; input columns named like an output give way
+    to it. A part that holds a hot word is several tasks, each with the counts.
     """
-    shared = df.sparkSession.sparkContext.broadcast(models)
-
-    def make():
-        own = shared.value
-        ids, target, background = Ids(own.vocabulary), own.target.reshape(-1), own.background.reshape(-1)
-
-        def apply(texts):
-            out = np.zeros((3, len(texts)))
-            for i, t in enumerate(texts):
-                if words := words_of(t):
-                    keys = ids.bigrams(words)
-                    out[:, i] = len(keys), -target[keys].mean(dtype=np.float64), -background[keys].mean(dtype=np.float64)
-            return {"n_tokens": out[0].astype(np.int64), "target_loss": out[1], "background_loss": out[2], "lm_score": out[2] - out[1]}
-
-        return apply
-
-    return annotate(df, make, FIELDS, text_col, keep)
+    ship(df.sparkSession)
+    taken = {f.name.lower() for f in FIELDS}
+    names = [c for c in (df.columns if keep is None else keep) if c.lower() not in taken]
+    rows = df.select(F.col(f"`{text_col}`").alias("text"), F.struct(F.lit(0).alias("k"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]).alias("row"))
+    context = df.sparkSession.sparkContext
+    shared, token, every = context.broadcast((models.vocabulary, models.parts, models.spread, models.shared())), uuid.uuid4().hex, ["part", "salt", "block", "sums", "place", "n", "row"]
+    schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("salt", T.IntegerType()), T.StructField("block", T.LongType()), T.StructField("sums", T.BinaryType()), T.StructField("place", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("row", rows.schema["row"].dataType)])
+
+    def send(batches: Iterable[pa.RecordBatch]):
+        """One row for each part's bigrams in a block, and one, of part -1, for each document."""
+        from pyspark import TaskContext
+
+        vocabulary, parts, spread, _ = shared.value
+        keys = kept(token, lambda: Keys(vocabulary))
+        block = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for a, b in slices(texts):
+                sizes, found = blocks(texts[a:b], keys, parts)
+                block += 1
+                n, m = b - a, len(found)
+                out = [
+                    pa.array([-1] * n + list(found), pa.int32()),
+                    pa.array([block % 64] * n + [block % spread[p] for p in found], pa.int32()),
+                    pa.array([block] * (n + m), pa.int64()),
+                    pa.array([None] * n + [pack(x.words, x.per_word, x.context, x.per_bigram, x.doc, x.times) for x in found.values()], pa.binary()),
+                    pa.array([*range(n), *[None] * m], pa.int32()),
+                    pa.array([*sizes.tolist(), *[None] * m], pa.int64()),
+                    pa.concat_arrays([batch.column(1).slice(a, n), pa.nulls(m, batch.column(1).type)]),
+                ]
+                yield pa.RecordBatch.from_arrays(out, names=every)
+
+    def meet(held: pa.Table, asking: pa.Table) -> pa.Table:
+        """What a part adds to each block's documents; documents pass through."""
+        if not asking.num_rows or asking["part"][0].as_py() < 0:
+            return asking.select(every)
+        counts = Counts.unpack(held["counts"][0].as_py()) if held.num_rows else Counts.merged([])
+        sums = []
+        for data in asking["sums"]:
+            x = unpack(data.as_py())
+            block = Block(x[0].astype(np.uint64), x[1].astype(np.int64), x[2].astype(np.uint32), x[3].astype(np.int64), x[4].astype(np.int64), x[5].astype(np.int64))
+            docs, (b, t) = losses(block, counts, shared.value[3])
+            sums.append(pack(docs, b.astype(np.float32), t.astype(np.float32)))
+        return asking.select(every).set_column(3, "sums", pa.array(sums, pa.binary()))
+
+    def finish(table: pa.Table) -> pa.Table:
+        """A block's documents with the sums that all parts added."""
+        own = table.filter(pa.compute.is_valid(table["place"])).combine_chunks()
+        place, n = own["place"].to_numpy(), own["n"].to_numpy().astype(float)
+        loss = np.zeros((2, int(place.max(initial=-1)) + 1))
+        for data in table["sums"]:
+            if data.is_valid:
+                docs, b, t = unpack(data.as_py())
+                loss[0, docs] += b
+                loss[1, docs] += t
+        start = np.log(shared.value[3][3] + SMOOTHING)
+        b, t = (np.where(n > 0, (x[place] + s) / np.maximum(n, 1), 0.0) for x, s in zip(loss, start))
+        return pa.table([own["row"], own["n"], pa.array(t), pa.array(b), pa.array(b - t)], names=["row", *[f.name for f in FIELDS]])
+
+    sent = rows.mapInArrow(send, schema)
+    # Few parts, each with its counts as one row; hot ones once for each of their tasks.
+    spread = F.array(*[F.lit(x) for x in models.spread]) if len(set(models.spread)) > 1 else None
+    salts = F.lit(1) if spread is None else F.get(spread, F.col("part"))
+    held = models.counts.select("part", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), "counts")
+    met = held.groupBy("part", "salt").cogroup(sent.groupBy("part", "salt")).applyInArrow(meet, schema)
+    done = met.groupBy("block").applyInArrow(finish, T.StructType([T.StructField("row", rows.schema["row"].dataType), *FIELDS]))
+    return done.select(*[F.col("row")[f"c{i}"].alias(c) for i, c in enumerate(names)], *[f.name for f in FIELDS])
 
 
 def flag_targets(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(text, is_target): whether the document's id is in ``ids`` (one column, ``id``); NULL ids never are."""
-    # The ids grow with the corpus: merging keeps one plan at every size.
-    wanted = ids.select(F.col("id").alias("__wanted")).where("__wanted is not null").distinct().hint("merge")
+    """(text, is_target): whether the document's id is in ``ids`` (one column, ``id``); NULL ids never are.
+
+    Up to BROADCAST_IDS ids, counted first, go to where the texts are; more are
+    merged with the texts, rows without an id being spread by their text.
+    """
+    wanted = ids.select(F.col("id").alias("__wanted")).where("__wanted is not null").distinct()
     own = F.col(f"`{id_col}`")
     rows = docs.select(own.alias("__id"), F.col(f"`{text_col}`").alias("text"))
-    # Rows without an id are spread by their text: they must not meet in one task.
-    rows = rows.withColumn("__key", F.coalesce(F.col("__id"), F.xxhash64("text")))
-    joined = rows.join(wanted, (F.col("__key") == F.col("__wanted")) & F.col("__id").isNotNull(), "left")
+    if wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        joined = rows.join(F.broadcast(wanted), F.col("__id") == F.col("__wanted"), "left")
+    else:
+        rows = rows.withColumn("__key", F.coalesce(F.col("__id"), F.xxhash64("text")))
+        joined = rows.join(wanted.hint("merge"), (F.col("__key") == F.col("__wanted")) & F.col("__id").isNotNull(), "left")
     return joined.select("text", F.col("__wanted").isNotNull().alias("is_target"))
 
 
