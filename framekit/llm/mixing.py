@@ -24,6 +24,8 @@ SEED = 8
 KEY_BITS = 60
 #: Most ranges of keys in a source.
 MAX_RANGES = 1 << 20
+#: What stands after all sizes of rows without an id.
+NO_TIE = 1 << 62
 
 
 def word_count(text: Column) -> Column:
@@ -84,7 +86,8 @@ def mix(
     Rows of NULL source are a source of their own; NULL and empty texts have size
     0 and are never taken; repeated rows count each. An empty table gives an
     empty one. Keys depend on id and seed only, so reruns agree; rows that tie on
-    key and size are interchangeable. ``keep`` names input columns to carry
+    key and size are interchangeable. Texts of any length count whole. Rows without
+    an id are dealt out by size, as they share a key. ``keep`` names input columns to carry
     along in one struct, ``row``, whatever their names.
     """
     rows = df.select(
@@ -103,17 +106,19 @@ def mix(
     largest = totals.agg(F.max("n")).first()[0] or 0
     bits = max(0, min(MAX_RANGES, -(-largest // RANGE_ROWS)) - 1).bit_length()
     range_of = F.shiftright(F.col("key"), KEY_BITS - bits) if bits else F.lit(0).cast("bigint")
-    ranged = rows.withColumn("range", range_of)
+    # Rows without an id share one key, the least: their sizes, which come next in order, deal them out.
+    tie_of = F.when(F.col("id").isNull(), F.col("size")).otherwise(F.lit(NO_TIE))
+    ranged = rows.withColumn("range", range_of).withColumn("tie", tie_of)
     # Carried columns come from the input again rather than through another table.
-    moved = whole_rows.withColumn("range", range_of) if keep else ranged
-    sums = ranged.groupBy("part", "range").agg(F.sum("size").alias("words"))
-    ahead = Window.partitionBy("part").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("part", "range", F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("offset"))
+    moved = whole_rows.withColumn("range", range_of).withColumn("tie", tie_of) if keep else ranged
+    sums = ranged.groupBy("part", "range", "tie").agg(F.sum("size").alias("words"))
+    ahead = Window.partitionBy("part").orderBy("range", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("part", "range", "tie", F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("offset"))
     plan = plan.select(F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("p"), "source_size", "target")
-    offsets = sums.join(plan, F.col("part") == F.col("p")).select("p", F.col("range").alias("r"), "offset", "source_size", "target")
+    offsets = sums.join(plan, F.col("part") == F.col("p")).select("p", F.col("range").alias("r"), F.col("tie").alias("t"), "offset", "source_size", "target")
     # Ranges grow with the corpus: merging keeps one plan at every size, and its shuffle serves the window.
-    joined = moved.join(offsets.hint("merge"), (F.col("part") == F.col("p")) & (F.col("range") == F.col("r")))
-    inside = Window.partitionBy("part", "range").orderBy("key", "size", F.col("id").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    joined = moved.join(offsets.hint("merge"), (F.col("part") == F.col("p")) & (F.col("range") == F.col("r")) & (F.col("tie") == F.col("t")))
+    inside = Window.partitionBy("part", "range", "tie").orderBy("key", "size", F.col("id").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     joined = joined.withColumn("start", F.col("offset") + F.sum("size").over(inside) - F.col("size"))
     budget = F.round("target").cast("bigint")
     whole = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("bigint")

@@ -81,3 +81,21 @@ def test_sql(spark):
 
     sf = "/root/testdata/sf0.001"
     assert differ(mixing.op8_mixing(spark, sf), connect(sf), ORACLE_SQL["op8_mixing"]) == ""
+
+
+def test_rows_without_ids_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 50)
+    rows = [(None, "w " * (i % 91), "en", "hot", 0) for i in range(900)] + [(i, "w " * (i % 7), "en", "hot", 0) for i in range(300)] + [(i, "w", "en", "z", 0) for i in range(500, 800)]
+    docs = documents(spark, rows)
+    out = mixing.mix(docs)
+    text = out._jdf.queryExecution().executedPlan().toString()
+    assert "tie#" in next(line for line in text.splitlines() if "Window" in line and "part#" in line and "range#" in line)
+    got = out.collect()
+    assert len(got) == len(rows) and sum(r["size"] for r in got) == sum(len(words(r[1])) for r in rows)
+    for total in {r["source_size"] for r in got}:
+        own = [r for r in got if r["source_size"] == total]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 0.5
+    # By size, the first rows in order: what is taken in part is taken from the smaller ones.
+    nameless = sorted((r["size"], r["taken"]) for r in got if r["doc_id"] is None)
+    times = [t / s for s, t in nameless if s]
+    assert times == sorted(times, reverse=True)
