@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import gc
@@ -87,11 +88,22 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     back = spark.read.schema(df.schema).parquet(path)
     back._framekit_path = path
     _written.append(path)
+    if spark not in _sessions:
+        _sessions.append(spark)
     return back
 
 
-#: Tables that this session's operators wrote and haven't deleted.
+#: Tables that this session's operators wrote and haven't deleted, and the sessions that did.
 _written: list[str] = []
+_sessions: list[SparkSession] = []
+
+
+@atexit.register
+def _at_the_end() -> None:
+    """No frame of this process reads its tables any more once it ends."""
+    for spark in _sessions:
+        with contextlib.suppress(Exception):  # a session that has stopped took its gateway along
+            sweep(spark)
 
 
 def sweep(spark: SparkSession) -> int:

@@ -8,6 +8,8 @@ rejects a URL, and so do several distinct soft ones.
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import cache
+from pathlib import Path
 
 import ahocorasick
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,22 +18,36 @@ from pyspark.sql import types as T
 
 from .common import annotate
 
-STRICT = ("porn", "porno", "xxx", "hentai", "nsfw", "escort", "escorts", "viagra", "cialis", "casino", "casinos", "camgirl", "camgirls", "warez", "keygen", "malware", "phishing")
-SOFT = ("adult", "sex", "sexy", "nude", "nudes", "erotic", "bet", "bets", "betting", "gambling", "poker", "slots", "jackpot", "roulette", "win", "bonus", "loan", "loans", "payday", "pills", "pharmacy", "cheap", "free", "torrent", "crack", "cracked", "serial", "hack", "spam", "dating", "singles", "hookup")
+#: The vocabulary: a term, its weight (strict or soft) and its topic in each line.
+TERMS = Path(__file__).with_name("url_terms.tsv")
 #: Distinct soft terms that reject a URL.
 SOFT_HITS = 2
 #: (rule, verdict); a rule is a host and the start of a path.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
 
+@cache
+def terms(weight: str, path: Path = TERMS) -> tuple[str, ...]:
+    """The vocabulary's terms of one weight; read on the driver, executors get them with the function."""
+    rows = (line.split("\t") for line in path.read_text(encoding="utf-8").splitlines() if line and not line.startswith("#"))
+    return tuple(term for term, own, _ in rows if own == weight)
+
+
+def __getattr__(name: str) -> tuple[str, ...]:
+    if name in ("STRICT", "SOFT"):
+        return terms(name.lower())
+    raise AttributeError(name)
+
+
 class Vocabulary:
     """Counts distinct strict and soft terms in a text."""
 
-    def __init__(self, strict: Iterable[str] = STRICT, soft: Iterable[str] = SOFT, soft_hits: int = SOFT_HITS):
+    def __init__(self, strict: Iterable[str] | None = None, soft: Iterable[str] | None = None, soft_hits: int = SOFT_HITS):
         self.soft_hits = soft_hits
+        strict, soft = terms("strict") if strict is None else strict, terms("soft") if soft is None else soft
         self.machine = ahocorasick.Automaton()
-        for weight, terms in ((False, soft), (True, strict)):
-            for term in terms:
+        for weight, own in ((False, soft), (True, strict)):
+            for term in own:
                 if term:
                     self.machine.add_word(term.lower(), (term.lower(), weight))
         self.empty = not len(self.machine)
@@ -81,8 +97,8 @@ def judge_urls(
     url_col: str = "url",
     keep: list[str] | None = None,
     rules: Sequence[tuple[str, str]] = RULES,
-    strict: Sequence[str] = STRICT,
-    soft: Sequence[str] = SOFT,
+    strict: Sequence[str] | None = None,
+    soft: Sequence[str] | None = None,
     soft_hits: int = SOFT_HITS,
 ) -> DataFrame:
     """Append ``host``, ``path``, ``rule``, ``strict_terms``, ``soft_terms`` and ``verdict``.
@@ -90,8 +106,11 @@ def judge_urls(
     A rule that fits decides; otherwise the vocabulary does, over the whole URL.
     NULL, empty and scheme-less URLs have an empty host and path; their text is
     judged by its terms all the same (NULL: allow). Rows stay as they are, also
-    repeated ones; input columns named like an output give way to it. No shuffle.
+    repeated ones; input columns named like an output give way to it. No shuffle;
+    URLs of any length are read whole. ``strict`` and ``soft`` are the
+    vocabulary's by default.
     """
+    strict, soft = terms("strict") if strict is None else strict, terms("soft") if soft is None else soft
     strings = T.ArrayType(T.StringType())
     fields = [T.StructField("strict_terms", strings), T.StructField("soft_terms", strings)]
 
@@ -118,8 +137,9 @@ def judge_urls(
     return marked.select(*[f"`{c}`" for c in names], "host", "path", "rule", "strict_terms", "soft_terms", ruled.alias("verdict"))
 
 
-def oracle(rules: Sequence[tuple[str, str]] = RULES, strict: Sequence[str] = STRICT, soft: Sequence[str] = SOFT, soft_hits: int = SOFT_HITS) -> str:
+def oracle(rules: Sequence[tuple[str, str]] = RULES, strict: Sequence[str] | None = None, soft: Sequence[str] | None = None, soft_hits: int = SOFT_HITS) -> str:
     """The query's rows in SQL: one pattern a term instead of the automaton."""
+    strict, soft = terms("strict") if strict is None else strict, terms("soft") if soft is None else soft
     found = lambda terms: " + ".join(f"CAST(regexp_matches(lower(coalesce(url, '')), '(^|[^\\pL\\pN]){t}([^\\pL\\pN]|$)') AS INT)" for t in terms)
     cases = ""
     for rule, _ in sorted(rules, key=lambda r: (-len(r[0]), r[0])):

@@ -61,3 +61,11 @@ def test_query_and_sql(spark):
     assert differ(df, connect(sf), ORACLE_SQL["op9_urls"]) == ""
     urls = {r["page_id"]: r["url"] for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url").collect()}
     assert {r["page_id"]: tuple(r)[1:] for r in df.select("page_id", "host", "path", "rule", "verdict").collect()} == {i: plain(u) for i, u in urls.items()}
+
+
+def test_vocabulary_file():
+    rows = [line.split("\t") for line in U.TERMS.read_text().splitlines()[1:]]
+    assert len({r[0] for r in rows}) == len(rows) > 100 and {r[1] for r in rows} == {"strict", "soft"}
+    assert all(t == t.lower() and t.isalnum() for t, _, _ in rows)
+    assert set(U.STRICT) | set(U.SOFT) == {r[0] for r in rows} and not set(U.STRICT) & set(U.SOFT)
+    assert not U.Vocabulary(U.STRICT, U.SOFT).rejects("https://www.example.org/en/free/software.html")
