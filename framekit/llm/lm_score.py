@@ -24,9 +24,10 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +47,7 @@ SMOOTHING = 16.0
 #: Words counted before a task's counts leave it.
 FLUSH = 100_000
 #: Characters of text for each part of the table, blocks that meet in one task at most, and bigrams of a part that do.
-PART_CHARS, FAN_IN, PART_TOKENS = 32_000_000, 512, 32_000_000
+PART_CHARS, FAN_IN, PART_TOKENS = 16_000_000, 512, 2_000_000
 #: Target ids that are broadcast at most (8 bytes each); beyond, texts and ids meet in a merge.
 BROADCAST_IDS = 1_000_000
 #: What stands for a text's start and end among the contexts of a word.
@@ -104,12 +105,13 @@ def _lengths(starts: np.ndarray, total: int) -> np.ndarray:
 
 def blocks(texts: Sequence[str | None], keys: Keys, parts: int) -> tuple[np.ndarray, dict[int, Block]]:
     """(tokens of each text, block of each part) of some texts; a text's end is a bigram of its last word."""
-    number: dict[str, int] = {}
+    number: dict[str, int] = defaultdict(count().__next__)
+    look = number.__getitem__
     rows, sizes = [], np.zeros(len(texts), np.int64)
     for i, t in enumerate(texts):
         found = words_of(t)
         sizes[i] = len(found)
-        rows.append(np.fromiter((number.setdefault(w, len(number)) for w in found), np.int64, len(found)))
+        rows.append(np.fromiter(map(look, found), np.int64, len(found)))
     if not number:
         return sizes, {}
     keyed = keys(number)
@@ -176,49 +178,54 @@ def _bigram_keys(words: np.ndarray, context: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Counts:
-    """Counts of a part in the background and the target: of bigrams by key, of words by key, and of words that end texts."""
+    """Counts of a part: its words in order, how many contexts each has, those in order, and their counts in the background and the target."""
 
-    bigrams: np.ndarray
-    bigram_counts: np.ndarray
     words: np.ndarray
-    word_counts: np.ndarray
-    end_counts: np.ndarray
+    per_word: np.ndarray
+    context: np.ndarray
+    counts: np.ndarray
 
     def pack(self) -> bytes:
-        return pack(self.bigrams, *self.bigram_counts, self.words, *self.word_counts, *self.end_counts)
+        return pack(self.words, self.per_word, self.context, *self.counts)
 
     @classmethod
     def unpack(cls, data: bytes) -> Counts:
-        x = unpack(data)
-        wide = lambda a, b: np.stack((a, b)).astype(np.int64)
-        return cls(x[0].astype(np.uint64), wide(*x[1:3]), x[3].astype(np.uint64), wide(*x[4:6]), wide(*x[6:8]))
+        words, per_word, context, b, t = unpack(data)
+        return cls(words.astype(np.uint64), per_word.astype(np.int64), context.astype(np.uint32), np.stack((b, t)).astype(np.int64))
 
     @classmethod
     def merged(cls, parts: Sequence[Counts]) -> Counts:
-        def add(keys: list[np.ndarray], *counts: list[np.ndarray]) -> list[np.ndarray]:
-            every = np.concatenate([*keys, np.zeros(0, np.uint64)])
-            order = np.argsort(every, kind="stable")
-            every = every[order]
-            at = _cuts(every)
-            return [every[at]] + [np.add.reduceat(np.concatenate(c, axis=1)[:, order], at, axis=1) if len(at) else np.zeros((2, 0), np.int64) for c in counts]
-
-        bigrams, bigram_counts = add([p.bigrams for p in parts], [p.bigram_counts for p in parts])
-        words, word_counts, end_counts = add([p.words for p in parts], [p.word_counts for p in parts], [p.end_counts for p in parts])
-        return cls(bigrams, bigram_counts, words, word_counts, end_counts)
+        words = np.concatenate([np.zeros(0, np.uint64), *[np.repeat(p.words, p.per_word) for p in parts]])
+        context = np.concatenate([np.zeros(0, np.uint32), *[p.context for p in parts]])
+        order = np.lexsort((context, words))
+        words, context = words[order], context[order]
+        if not len(order):
+            return cls(words, np.zeros(0, np.int64), context, np.zeros((2, 0), np.int64))
+        at = np.flatnonzero(np.concatenate(([True], (words[1:] != words[:-1]) | (context[1:] != context[:-1]))))
+        counts = np.add.reduceat(np.concatenate([p.counts for p in parts], axis=1)[:, order], at, axis=1)
+        words, context = words[at], context[at]
+        first = _cuts(words)
+        return cls(words[first], _lengths(first, len(words)), context, counts)
 
     @classmethod
     def of(cls, block: Block, wanted: np.ndarray) -> Counts:
         """Counts of a block, its target documents being ``wanted``."""
         each = np.stack((block.times, block.times * wanted[block.doc]))
-        at = np.cumsum(block.per_bigram) - block.per_bigram
-        n = np.add.reduceat(each, at, axis=1)
-        first = np.cumsum(block.per_word) - block.per_word
-        ends = block.context == END
-        return cls(_bigram_keys(np.repeat(block.words, block.per_word), block.context), n, block.words, np.add.reduceat(np.where(ends, 0, n), first, axis=1), np.add.reduceat(np.where(ends, n, 0), first, axis=1)).sorted()
+        return cls(block.words, block.per_word, block.context, np.add.reduceat(each, np.cumsum(block.per_bigram) - block.per_bigram, axis=1))
+
+    def by_word(self) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of each word, and of its turns as a text's last one."""
+        if not len(self.words):
+            return np.zeros((2, 0), np.int64), np.zeros((2, 0), np.int64)
+        first, ends = np.cumsum(self.per_word) - self.per_word, self.context == END
+        return tuple(np.add.reduceat(np.where(own, self.counts, 0), first, axis=1) for own in (~ends, ends))
 
-    def sorted(self) -> Counts:
-        a, b = np.argsort(self.bigrams, kind="stable"), np.argsort(self.words, kind="stable")
-        return Counts(self.bigrams[a], self.bigram_counts[:, a], self.words[b], self.word_counts[:, b], self.end_counts[:, b])
+    def index(self) -> tuple[tuple, tuple, tuple]:
+        """Sorted keys with their counts: bigrams, words, words that end texts."""
+        keys = _bigram_keys(np.repeat(self.words, self.per_word), self.context)
+        order, by_word = np.argsort(keys), np.argsort(self.words)
+        one, ends = self.by_word()
+        return (keys[order], self.counts[:, order]), (self.words[by_word], one[:, by_word]), (self.words[by_word], ends[:, by_word])
 
 
 def _found(table: np.ndarray, counts: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -246,15 +253,14 @@ class Models:
         return self.size, self.scale, self.totals * self.scale, self.starts * self.scale
 
 
-def losses(block: Block, counts: Counts, shared: tuple, smoothing: float = SMOOTHING) -> tuple[np.ndarray, np.ndarray]:
+def losses(block: Block, index: tuple[tuple, tuple, tuple], shared: tuple, smoothing: float = SMOOTHING) -> tuple[np.ndarray, np.ndarray]:
     """(documents, their losses under both models): what a part adds to the documents of a block."""
     size, scale, totals, _ = shared
     words = np.repeat(block.words, block.per_word)
-    one = _found(counts.words, counts.word_counts, block.words) * scale[:, None]
-    ending = _found(counts.words, counts.end_counts, block.words) * scale[:, None]
+    one, ending = (_found(*table, block.words) * scale[:, None] for table in index[1:])
     turn = np.repeat(np.log(one - ending + smoothing), block.per_word, axis=1)
     p1 = np.repeat((one + smoothing / size) / (totals[:, None] + smoothing), block.per_word, axis=1)
-    pair = _found(counts.bigrams, counts.bigram_counts, _bigram_keys(words, block.context)) * scale[:, None]
+    pair = _found(*index[0], _bigram_keys(words, block.context)) * scale[:, None]
     value = np.where(block.context == END, -turn, turn - np.log(pair + smoothing * p1))
     each = np.repeat(value, block.per_bigram, axis=1) * block.times
     docs = np.unique(block.doc)
@@ -325,7 +331,8 @@ def count_bigrams(docs: DataFrame, vocabulary: Sequence[str] | None, parts: int,
 
     def total(table: pa.Table) -> pa.Table:
         c = [Counts.unpack(x) for x in table["counts"].to_pylist()]
-        sums = [[int(x.word_counts[k].sum()) for x in c] for k in (0, 1)] + [[int(x.end_counts[k].sum()) for x in c] for k in (0, 1)]
+        by_word = [x.by_word() for x in c]
+        sums = [[int(x[which][k].sum()) for x in by_word] for which in (0, 1) for k in (0, 1)]
         return pa.RecordBatch.from_arrays([table["part"], table["counts"], pa.array([len(x.words) for x in c], pa.int64()), *[pa.array(x, pa.int64()) for x in sums]], names=["part", "counts", "words", "b", "t", "start_b", "start_t"])
 
     counted = docs.select(F.col(f"`{text_col}`"), F.col(f"`{flag_col}`")).mapInArrow(run, "part int, salt bigint, counts binary")
@@ -403,12 +410,12 @@ def score(df: DataFrame, models: Models, text_col: str = "text", keep: list[str]
         """What a part adds to each block's documents; documents pass through."""
         if not asking.num_rows or asking["part"][0].as_py() < 0:
             return asking.select(every)
-        counts = Counts.unpack(held["counts"][0].as_py()) if held.num_rows else Counts.merged([])
+        index = (Counts.unpack(held["counts"][0].as_py()) if held.num_rows else Counts.merged([])).index()
         sums = []
         for data in asking["sums"]:
             x = unpack(data.as_py())
             block = Block(x[0].astype(np.uint64), x[1].astype(np.int64), x[2].astype(np.uint32), x[3].astype(np.int64), x[4].astype(np.int64), x[5].astype(np.int64))
-            docs, (b, t) = losses(block, counts, shared.value[3])
+            docs, (b, t) = losses(block, index, shared.value[3])
             sums.append(pack(docs, b.astype(np.float32), t.astype(np.float32)))
         return asking.select(every).set_column(3, "sums", pa.array(sums, pa.binary()))
 
