@@ -130,11 +130,20 @@ class Index:
     sample: np.ndarray
 
 
+def _tour(centres: np.ndarray) -> list[int]:
+    """All files, each followed by the nearest one that is left, so that neighbours share shards."""
+    left, out = list(range(1, len(centres))), [0] if len(centres) else []
+    while left:
+        k = int(np.argmin(np.bitwise_count(centres[left] ^ centres[out[-1]]).sum(axis=1)))
+        out.append(left.pop(k))
+    return out
+
+
 def _packed(sizes: dict[int, int], most: int) -> list[list[int]]:
-    """Shards of each file: files side by side up to ``most`` rows, larger ones in parts of their own."""
+    """Shards of each file: files in the order given side by side up to ``most`` rows, larger ones in parts of their own."""
     out: list[list[int]] = [[] for _ in range(max(sizes, default=-1) + 1)]
     shard, room = -1, 0
-    for f in sorted(sizes):
+    for f in sizes:
         parts = -(-sizes[f] // most)
         if parts > 1:
             out[f] = list(range(shard + 1, shard + 1 + parts))
@@ -184,7 +193,7 @@ def build_index(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     written = materialize(rows.mapInArrow(represent, schema), "index")
     files = {r["file"]: (r["n"], r["far"]) for r in written.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("far")).collect()}
     most = min(SHARD_MOST, max(SHARD_LEAST, n // SHARDS_LEAST))
-    shards = _packed({f: x[0] for f, x in files.items()}, most)
+    shards = _packed({f: files[f][0] for f in _tour(centres) if f in files}, most)
     shards += [[] for _ in range(count - len(shards))]
     radius = np.array([files.get(f, (0, -1))[1] for f in range(count)], np.int64)
     pooled = coded(orders(pool, points, longest), count, STEPS) if count else np.zeros((0, 1), np.uint64)

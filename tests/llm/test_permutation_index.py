@@ -94,3 +94,44 @@ def test_recall_of_the_production_setting(spark):
         hits.append(len({i for i, _ in got[q]} & set(np.argsort(-near)[:20].tolist())) / 20)
     assert len(got) == 100 and np.mean(hits) >= 0.97, np.mean(hits)
     print(f"recall {np.mean(hits):.4f}")
+
+
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.1"])
+def test_recall_of_the_query(spark, scale):
+    sf = f"/root/testdata/{scale}"
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], float)
+    assert I.reranked(len(rows)) < 0.4 * len(rows)
+    got, hits = found(I.op10_ann(spark, sf)), []
+    for q in got:
+        near = x @ x[ids == q][0]
+        near[ids == q] = -np.inf
+        hits.append(len({i for i, _ in got[q]} & set(ids[np.lexsort((ids, -near))[:20]].tolist())) / 20)
+    assert len(got) == sum(ids % 20 == 0) and np.mean(hits) >= 0.97, np.mean(hits)
+
+
+def test_clustered_vectors_visit_few_shards(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(40, 16))
+    x = (centres[rng.integers(0, 40, 6000)] + 0.02 * rng.normal(size=(6000, 16))).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    index = I.build_index(frame(spark, rows))
+    shards = {s for own in index.shards for s in own}
+    asked = index.rows.where("id % 300 = 0").select("id", "vector")
+    plan = I.search(index, asked)
+    got, want = found(plan), plain(rows, 300, 20)
+    assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.9
+    codes = I.coded(I.orders(x[::300].astype(float), index.points, index.longest, query=True), len(index.points), I.STEPS)
+    sampled = I.InvertedFiles(None, len(index.points), I.STEPS, index.sample)
+    share = I.reranked(len(x)) / len(x)
+    visits = []
+    for c in codes:
+        limit = np.sort(sampled.differing(c))[int(np.ceil(share * len(index.sample))) - 1]
+        near = np.flatnonzero((index.radius >= 0) & (np.bitwise_count(index.centres ^ c).sum(axis=1) - index.radius <= limit))
+        visits.append(len({s for f in near for s in index.shards[f]}))
+    assert len(shards) >= 12 and np.mean(visits) < 0.6 * len(shards), (np.mean(visits), len(shards))
+
+
+def test_large_files_are_several_parts():
+    shards = I._packed({0: 5, 1: 30, 3: 4, 4: 4}, 10)
+    assert shards == [[0], [1, 2, 3], [], [4], [4]]
