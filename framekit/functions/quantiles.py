@@ -16,12 +16,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Rows that are few enough for an exact percentile as they are, the same within a bracket, and one over the approximation's error.
-SMALL_ROWS, FEW_ROWS, RANGES = 10_000, 10_000, 10_000
+SMALL_ROWS, FEW_ROWS, RANGES = 10_000, 10_000, 1000
+#: The same for medians of groups, whose brackets are not cut again.
+GROUP_RANGES = 10_000
 
 
-def _ends(share: float) -> list[float]:
+def _ends(share: float, ranges: int | None = None) -> list[float]:
     """Shares on either side of one, further off than the approximation can err."""
-    return [max(0.0, share - 3 / RANGES), min(1.0, share + 3 / RANGES)]
+    off = 3 / (ranges or RANGES)
+    return [max(0.0, share - off), min(1.0, share + off)]
 
 
 def _inside(c: Column, low: object, high: object) -> Column:
@@ -101,7 +104,7 @@ def group_medians(df: DataFrame, keys: Sequence[Column], value: Column) -> DataF
     """
     names = [f"__g{i}" for i in range(len(keys))]
     counted = df.select(*[k.alias(n) for k, n in zip(keys, names)], value.cast("double").alias("__v")).where("__v is not null")
-    near = counted.groupBy(*names).agg(F.count(F.lit(1)).alias("__n"), F.percentile_approx("__v", _ends(0.5), RANGES).alias("__ends"))
+    near = counted.groupBy(*names).agg(F.count(F.lit(1)).alias("__n"), F.percentile_approx("__v", _ends(0.5, GROUP_RANGES), GROUP_RANGES).alias("__ends"))
     near = near.select(*[F.col(n).alias(f"{n}_") for n in names], "__n", F.get("__ends", F.lit(0)).alias("__low"), F.get("__ends", F.lit(1)).alias("__high"))
     counted = counted.groupBy(*names, "__v").agg(F.count(F.lit(1)).alias("__k"))
     same = F.lit(True)

@@ -188,12 +188,20 @@ def datetime_diff(df: DataFrame, column: str, target: str | None = None, tiebrea
 
 
 def time_delta_stats(df: DataFrame, column: str) -> DataFrame:
-    """Count, least, greatest, mean, median and population deviation of the gaps between values in order, in seconds."""
+    """Count, least, greatest, mean, median and population deviation of the gaps between values in order, in seconds.
+
+    The gaps are worked out once and kept while their one row is made.
+    """
     rows = df.select(_temporal(df, column).alias("t")).where("t is not null")
     kind = field(rows, "t").dataType
     gap = shift(rows, "t", 1, "t", "before").select((epoch(F.col("t"), kind) - epoch(F.col("before"), kind)).alias("d"))
-    median = F.get(quantiles(gap, [F.col("d")], [0.5])[0], F.lit(0))
-    return gap.agg(F.count("d").alias("cnt"), F.min("d").alias("min_d"), F.max("d").alias("max_d"), F.avg("d").alias("avg_d"), median.alias("median_d"), F.stddev_pop("d").alias("std_d"))
+    gap.persist()
+    try:
+        median = F.get(quantiles(gap, [F.col("d")], [0.5])[0], F.lit(0))
+        out = gap.agg(F.count("d").alias("cnt"), F.min("d").alias("min_d"), F.max("d").alias("max_d"), F.avg("d").alias("avg_d"), median.alias("median_d"), F.stddev_pop("d").alias("std_d"))
+        return df.sparkSession.createDataFrame([tuple(out.first())], out.schema)
+    finally:
+        gap.unpersist()
 
 
 def event_rate(df: DataFrame, column: str, unit: str = "day") -> DataFrame:

@@ -20,7 +20,7 @@ FORMS = (
     "%Y-%m-%d %H:%M:%S", "%Y-%m-%d %H:%M:%S.%f", "%Y/%m/%d %H:%M:%S", "%d/%m/%Y %H:%M:%S", "%m/%d/%Y %H:%M:%S", "%Y%m%d",
 )
 INTEGER, DECIMAL = re.compile(r"^[+-]?\d+$"), re.compile(r"^[+-]?(\d+\.\d*|\.\d+|\d+)$")
-#: Spark type of each spelling that an override may use.
+# The Spark type of each spelling that an override may use.
 OVERRIDES = {
     "int8": "smallint", "int16": "smallint", "uint8": "smallint", "smallint": "smallint", "int32": "int", "uint16": "int", "int": "int", "integer": "int",
     "int64": "bigint", "uint32": "bigint", "uint64": "decimal(20,0)", "bigint": "bigint", "float32": "float", "float": "float", "real": "float", "float4": "float",
