@@ -139,7 +139,9 @@ def fingerprint_with_edits(df: DataFrame, id_col: str = "doc_id", text_col: str
     NULL texts are empty ones. Rows that repeat an id follow each other by a hash
     of their text, and equal rows are one document whose result each of them
     gets. NULL ids come last. Texts without words have an empty signature, like
-    each other and unlike all else. An empty table gives an empty one.
+    each other and unlike all else. An empty table gives an empty one. Texts of
+    any length count whole; only the two columns named are read, so others may
+    have any name.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     base = df.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))

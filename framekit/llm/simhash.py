@@ -107,7 +107,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     variants, so copies cost no links. Rows with NULL ids take part and get
     their class's least id (NULL if it has none). Empty and NULL texts share
     fingerprint 0. Repeated rows each come back; empty tables give empty tables.
-    Only the two columns named are read, so others may have any name.
+    Only the two columns named are read, so others may have any name; texts of
+    any length count whole.
     """
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     rows = materialize(with_fingerprints(rows, "text", ["id"], words), "fingerprints")
