@@ -70,13 +70,18 @@ def kept(key: object, make: Callable[[], object]) -> object:
     if key not in _kept:
         _kept.clear()
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        release()
         _kept[key] = make()
     return _kept[key]
 
 
+def release() -> None:
+    """Give memory that this process has freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, kept, materialize, ship, slices
+from .common import held_out, kept, materialize, release, ship, slices
 
 #: Words that count as themselves (None: all; else the corpus's commonest so many), and classes of the other words by their ends.
 VOCABULARY: int | None = None
@@ -191,7 +191,7 @@ class Counts:
     @classmethod
     def unpack(cls, data: bytes) -> Counts:
         words, per_word, context, b, t = unpack(data)
-        return cls(words.astype(np.uint64), per_word.astype(np.int64), context.astype(np.uint32), np.stack((b, t)).astype(np.int64))
+        return cls(words.astype(np.uint64), per_word.astype(np.int64), context.astype(np.uint32), np.stack((b, t)).astype(np.uint64 if max(b.itemsize, t.itemsize) > 4 else np.uint32))
 
     @classmethod
     def merged(cls, parts: Sequence[Counts]) -> Counts:
@@ -202,7 +202,7 @@ class Counts:
         if not len(order):
             return cls(words, np.zeros(0, np.int64), context, np.zeros((2, 0), np.int64))
         at = np.flatnonzero(np.concatenate(([True], (words[1:] != words[:-1]) | (context[1:] != context[:-1]))))
-        counts = np.add.reduceat(np.concatenate([p.counts for p in parts], axis=1)[:, order], at, axis=1)
+        counts = np.add.reduceat(np.concatenate([p.counts for p in parts], axis=1)[:, order], at, axis=1, dtype=np.uint64)
         words, context = words[at], context[at]
         first = _cuts(words)
         return cls(words[first], _lengths(first, len(words)), context, counts)
@@ -218,7 +218,7 @@ class Counts:
         if not len(self.words):
             return np.zeros((2, 0), np.int64), np.zeros((2, 0), np.int64)
         first, ends = np.cumsum(self.per_word) - self.per_word, self.context == END
-        return tuple(np.add.reduceat(np.where(own, self.counts, 0), first, axis=1) for own in (~ends, ends))
+        return tuple(np.add.reduceat(np.where(own, self.counts, 0), first, axis=1, dtype=np.int64) for own in (~ends, ends))
 
     def index(self) -> tuple[tuple, tuple, tuple]:
         """Sorted keys with their counts: bigrams, words, words that end texts."""
@@ -294,17 +294,25 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(F.col(f"`{text_col}`")).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+#: Sums of a part: its words, their tokens in the background and in the target, texts that they end.
+SUMS = ("words", "b", "t", "start_b", "start_t")
+
+
 def _merging(counted: DataFrame, blocks_total: int) -> DataFrame:
-    """(part, counts) from (part, salt, counts): merged in rounds, so that no task takes more than FAN_IN tables of a part at once."""
+    """(part, salt, counts, SUMS) from (part, salt, counts): merged in rounds, so that no task takes more than FAN_IN tables of a part at once."""
 
     def merge(table: pa.Table) -> pa.Table:
-        whole = Counts.merged([Counts.unpack(x) for x in table["counts"].to_pylist()])
-        return pa.table({"part": table["part"].slice(0, 1), "salt": table["salt"].slice(0, 1), "counts": pa.array([whole.pack()], pa.binary())})
+        whole = Counts.merged([Counts.unpack(x.as_py()) for x in table["counts"]])
+        sums = [len(whole.words), *[int(n) for which in whole.by_word() for n in which.sum(axis=1)]]
+        out = [table["part"].slice(0, 1), table["salt"].slice(0, 1), pa.array([whole.pack()], pa.binary()), *[pa.array([n], pa.int64()) for n in sums]]
+        del whole
+        release()
+        return pa.table(out, names=["part", "salt", "counts", *SUMS])
 
     n = max(1, blocks_total)
     while True:
         n = -(-n // FAN_IN)
-        counted = counted.withColumn("salt", F.pmod("salt", F.lit(n))).groupBy("part", "salt").applyInArrow(merge, "part int, salt bigint, counts binary")
+        counted = counted.select("part", F.pmod("salt", F.lit(n)).alias("salt"), "counts").groupBy("part", "salt").applyInArrow(merge, "part int, salt bigint, counts binary, " + ", ".join(f"{c} bigint" for c in SUMS))
         if n == 1:
             return counted
 
@@ -329,15 +337,8 @@ def count_bigrams(docs: DataFrame, vocabulary: Sequence[str] | None, parts: int,
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([salt] * len(found), pa.int64()), pa.array([Counts.of(x, wanted).pack() for x in found.values()], pa.binary())], names=["part", "salt", "counts"])
 
-    def total(table: pa.Table) -> pa.Table:
-        c = [Counts.unpack(x) for x in table["counts"].to_pylist()]
-        by_word = [x.by_word() for x in c]
-        sums = [[int(x[which][k].sum()) for x in by_word] for which in (0, 1) for k in (0, 1)]
-        return pa.RecordBatch.from_arrays([table["part"], table["counts"], pa.array([len(x.words) for x in c], pa.int64()), *[pa.array(x, pa.int64()) for x in sums]], names=["part", "counts", "words", "b", "t", "start_b", "start_t"])
-
     counted = docs.select(F.col(f"`{text_col}`"), F.col(f"`{flag_col}`")).mapInArrow(run, "part int, salt bigint, counts binary")
-    merged = _merging(counted, -(-chars // (1 << 22))).select("part", "counts")
-    return materialize(merged.mapInArrow(lambda batches: map(total, batches), "part int, counts binary, words bigint, b bigint, t bigint, start_b bigint, start_t bigint"), "counts")
+    return materialize(_merging(counted, -(-chars // (1 << 22))).drop("salt"), "counts")
 
 
 def fit(docs: DataFrame, text_col: str = "text", flag_col: str = "is_target", vocabulary: int | None = None) -> Models:
@@ -353,9 +354,9 @@ def fit(docs: DataFrame, text_col: str = "text", flag_col: str = "is_target", vo
     chars = docs.agg(F.sum(F.length(F.col(f"`{text_col}`")))).first()[0] or 0
     parts = max(1, -(-chars // PART_CHARS))
     counts = count_bigrams(docs, names, parts, chars, text_col, flag_col)
-    sums = counts.select("part", "words", "b", "t", "start_b", "start_t").collect()
-    b, t, start_b, start_t = (sum(r[k] for r in sums) for k in ("b", "t", "start_b", "start_t"))
-    size = 1 + (sum(r["words"] for r in sums) if names is None else len(names) + CLASSES)
+    sums = counts.select("part", *SUMS).collect()
+    words, b, t, start_b, start_t = (sum(r[k] for r in sums) for k in SUMS)
+    size = 1 + (words if names is None else len(names) + CLASSES)
     spread = [1] * parts
     for r in sums:
         spread[r["part"]] = max(1, -(-r["b"] // PART_TOKENS))
@@ -417,6 +418,8 @@ def score(df: DataFrame, models: Models, text_col: str = "text", keep: list[str]
             block = Block(x[0].astype(np.uint64), x[1].astype(np.int64), x[2].astype(np.uint32), x[3].astype(np.int64), x[4].astype(np.int64), x[5].astype(np.int64))
             docs, (b, t) = losses(block, index, shared.value[3])
             sums.append(pack(docs, b.astype(np.float32), t.astype(np.float32)))
+        del index
+        release()
         return asking.select(every).set_column(3, "sums", pa.array(sums, pa.binary()))
 
     def finish(table: pa.Table) -> pa.Table:
