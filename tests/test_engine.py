@@ -219,3 +219,21 @@ def test_sessions_keep_each_others_calls(spark, tmp_path):
     d.describe()
     b.dataset(d.data_id).info()
     assert len(Engine(spark, str(tmp_path / "w")).list_operations(d.data_id)) == 2
+
+
+def test_tables_of_other_databases(spark, tmp_path):
+    url, driver = "jdbc:derby:memory:framekit;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    e = Engine(spark, str(tmp_path / "w"))
+    d = e.upload_df(FRAME.drop(columns="b"))
+    e.write_table(d.data_id, url, "ITEMS", "overwrite", **driver)
+    back = e.upload_table(url, "ITEMS", partition_column="id", lower=1, upper=5, partitions=2, **driver)
+    assert sorted(map(tuple, back.frame.collect())) == sorted(map(tuple, d.frame.collect()))
+    assert e.list_tables()[0]["filename"] == "ITEMS"
+
+
+def test_wide_widgets():
+    page = Dashboard("T").add("a", 1).add("b", 2, width=2).add("c", 3).add("d", 4)
+    assert [[w.title for w in r] for r in page.rows()] == [["a"], ["b"], ["c", "d"]]
+    assert [(x["row"], x["column"]) for x in page.design()] == [(0, 0), (1, 0), (2, 0), (2, 1)]
+    with pytest.raises(OperationError):
+        page.add("e", 5, width=3)
