@@ -381,7 +381,7 @@ def score(df: DataFrame, models: Models, text_col: str = "text", keep: list[str]
     rows = df.select(F.col(f"`{text_col}`").alias("text"), F.struct(F.lit(0).alias("k"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]).alias("row"))
     context = df.sparkSession.sparkContext
     shared, token, every = context.broadcast((models.vocabulary, models.parts, models.spread, models.shared())), uuid.uuid4().hex, ["part", "salt", "block", "sums", "place", "n", "row"]
-    schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("salt", T.IntegerType()), T.StructField("block", T.LongType()), T.StructField("sums", T.BinaryType()), T.StructField("place", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("row", rows.schema["row"].dataType)])
+    schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("salt", T.LongType()), T.StructField("block", T.LongType()), T.StructField("sums", T.BinaryType()), T.StructField("place", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("row", rows.schema["row"].dataType)])
 
     def send(batches: Iterable[pa.RecordBatch]):
         """One row for each part's bigrams in a block, and one, of part -1, for each document."""
@@ -389,16 +389,18 @@ def score(df: DataFrame, models: Models, text_col: str = "text", keep: list[str]
 
         vocabulary, parts, spread, _ = shared.value
         keys = kept(token, lambda: Keys(vocabulary))
-        block = TaskContext.get().partitionId() << 32
+        task, seq = TaskContext.get().partitionId(), 0
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for a, b in slices(texts):
                 sizes, found = blocks(texts[a:b], keys, parts)
-                block += 1
+                seq += 1
+                block = task << 32 | seq
                 n, m = b - a, len(found)
                 out = [
                     pa.array([-1] * n + list(found), pa.int32()),
-                    pa.array([block % 64] * n + [block % spread[p] for p in found], pa.int32()),
+                    # Documents go block by block, a part's blocks to its tasks in turn.
+                    pa.array([block] * n + [(task + seq) % spread[p] for p in found], pa.int64()),
                     pa.array([block] * (n + m), pa.int64()),
                     pa.array([None] * n + [pack(x.words, x.per_word, x.context, x.per_bigram, x.doc, x.times) for x in found.values()], pa.binary()),
                     pa.array([*range(n), *[None] * m], pa.int32()),
@@ -440,7 +442,7 @@ def score(df: DataFrame, models: Models, text_col: str = "text", keep: list[str]
     # Few parts, each with its counts as one row; hot ones once for each of their tasks.
     spread = F.array(*[F.lit(x) for x in models.spread]) if len(set(models.spread)) > 1 else None
     salts = F.lit(1) if spread is None else F.get(spread, F.col("part"))
-    held = models.counts.select("part", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), "counts")
+    held = models.counts.select("part", F.explode(F.sequence(F.lit(0).cast("bigint"), (salts - 1).cast("bigint"))).alias("salt"), "counts")
     met = held.groupBy("part", "salt").cogroup(sent.groupBy("part", "salt")).applyInArrow(meet, schema)
     done = met.groupBy("block").applyInArrow(finish, T.StructType([T.StructField("row", rows.schema["row"].dataType), *FIELDS]))
     return done.select(*[F.col("row")[f"c{i}"].alias(c) for i, c in enumerate(names)], *[f.name for f in FIELDS])
