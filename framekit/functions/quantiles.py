@@ -23,7 +23,7 @@ GROUP_RANGES = 10_000
 
 def _ends(share: float, ranges: int | None = None) -> list[float]:
     """Shares on either side of one, further off than the approximation can err."""
-    off = 3 / (ranges or RANGES)
+    off = 2 / (ranges or RANGES)
     return [max(0.0, share - off), min(1.0, share + off)]
 
 
