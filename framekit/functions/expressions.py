@@ -94,6 +94,11 @@ def epoch(c: Column, kind: T.DataType | None = None) -> Column:
     return micros(c, kind or T.TimestampNTZType()).cast("double") / 1e6
 
 
+def nearest(c: Column) -> Column:
+    """A double as a whole number; halves go away from zero, as SQL's ``round`` has it (``rint`` takes them to the even number)."""
+    return F.round(c.cast("double"))
+
+
 def from_micros(micros: Column, kind: T.DataType) -> Column:
     """A temporal value of ``kind`` from whole microseconds."""
     if isinstance(kind, T.TimestampType):

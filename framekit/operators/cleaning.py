@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import OperationError
-from ..functions.expressions import NUMBER, as_double, col, field, from_micros, is_integer, is_numeric, is_temporal, micros
+from ..functions.expressions import NUMBER, as_double, col, field, from_micros, is_integer, is_numeric, is_temporal, micros, nearest
 from ..functions.ordered import fill, index
 from ..functions.quantiles import group_medians, group_modes, quantiles
 
@@ -42,7 +42,7 @@ def _number(c: Column, kind: T.DataType, what: str) -> Column:
 
 
 def _value(number: Column, what: str) -> Column:
-    return number if what == "numeric" else from_micros(F.rint(number), T.TimestampNTZType())
+    return number if what == "numeric" else from_micros(nearest(number), T.TimestampNTZType())
 
 
 def _statistic(c: Column, kind: T.DataType, mode: str, what: str) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import OperationError
-from ..functions.expressions import SECONDS, as_double, col, epoch, field, from_micros, is_numeric, is_temporal, kurtosis, micros, pair_mask, safe_corr, skewness, unpivot
+from ..functions.expressions import SECONDS, as_double, col, epoch, field, from_micros, is_numeric, is_temporal, kurtosis, micros, nearest, pair_mask, safe_corr, skewness, unpivot
 from ..functions.ordered import shift
 from ..functions.quantiles import quantiles
 
@@ -55,7 +55,7 @@ def scalar(df: DataFrame, column: str, name: str) -> DataFrame:
         if is_temporal(f.dataType):
             m = micros(col(column), f.dataType)
             value = F.avg(m) if name == "mean" else F.get(quantiles(df, [m], [0.5])[0], F.lit(0))
-            return df.agg(from_micros(F.rint(value), f.dataType).alias("value"))
+            return df.agg(from_micros(nearest(value), f.dataType).alias("value"))
         c = numeric(df, column).cast("double")
         return df.agg((F.avg(c) if name == "mean" else F.get(quantiles(df, [c], [0.5])[0], F.lit(0))).alias("value"))
     if name == "iqr":

@@ -63,3 +63,16 @@ def test_order_gaps_and_averages(zoned):
     for method, want in (("min", by_time[0]), ("max", by_time[-1]), ("median", middle), ("mean", by_time[0] + sum((t - by_time[0] for t in TIMES), dt.timedelta()) / len(TIMES))):
         got = C.fillna(holed, "t", method=method, target="f").where("i = 99").first()["f"]
         assert abs((got - want).total_seconds()) < 1e-5, method
+
+
+def test_half_microseconds_round_as_in_sql(spark):
+    # Between 4 and 5 microseconds lies 4.5: the even number is 4, SQL's round gives 5 (and -5 before 1970).
+    for first, want in ((4, 5), (-5, -5)):
+        rows = spark.createDataFrame([(first,), (first + 1,)], "u bigint").selectExpr("timestamp_micros(u) t", "cast(timestamp_micros(u) as timestamp_ntz) n", "1 g")
+        for column in ("t", "n"):
+            for name in ("median", "mean"):
+                assert X.scalar(rows, column, name).selectExpr("unix_micros(cast(value as timestamp))").first()[0] == want
+        gappy = rows.select("g", "n").unionByName(spark.sql("select 1 g, cast(null as timestamp_ntz) n"))
+        for name in ("median", "mean"):
+            for filled in (C.fillna(gappy, "n", method=name, target="v"), C.groupby_fillna(gappy, "n", ["g"], method=name, target="v")):
+                assert filled.where("n is null").selectExpr("unix_micros(cast(v as timestamp))").first()[0] == want
