@@ -89,11 +89,10 @@ def fill(df: DataFrame, column: str, order_by: str | Sequence[str], target: str,
     known = F.when(col(column).isNotNull(), at)
     edge = F.max_by(col(column), known) if forward else F.min_by(col(column), known)
     carry = _carry(rows, groups, edge, forward)
-    w = Window.partitionBy(*[col(g) for g in groups], BUCKET).orderBy(*[col(k).asc() for k in keys])
-    if forward:
-        near = F.last(col(column), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    else:
-        near = F.first(col(column), ignorenulls=True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    # Backward is forward in the opposite order: Spark works a frame that begins at the
+    # current row out anew for each row, which takes the square of a range's rows.
+    w = Window.partitionBy(*[col(g) for g in groups], BUCKET).orderBy(*[col(k).asc() if forward else col(k).desc() for k in keys])
+    near = F.last(col(column), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return _joined(rows, carry, groups).withColumn("__near", near).withColumn(target, F.coalesce("__near", "__carry")).drop("__near", "__carry", BUCKET)
 
 

@@ -281,6 +281,25 @@ def test_order_across_ranges(spark):
     assert ordered.index(text, "k", "at").where("at <> i").count() == 0
 
 
+def test_fills_by_two_keys_and_without_keys(spark):
+    rng = np.random.default_rng(5)
+    keys = [(None if i < 40 else int(i // 7), int(i % 7) if i % 11 else None) for i in range(400)]
+    rows = [(i, a, b, str(rng.choice(["x", "y"])), None if rng.random() < 0.7 else f"v{i}") for i, (a, b) in enumerate(keys)]
+    # Rows without their first key come first, so do those without their second one.
+    rows = [(*r[:1], r[1], i if r[1] is None else r[2], *r[3:]) for i, r in enumerate(rows)]
+    df = spark.createDataFrame(rows, "id int, a int, b int, g string, v string")
+    place = lambda r: ((r[1] is not None, r[1] or 0), (r[2] is not None, r[2] or 0))
+    for groups in ([], ["g"]):
+        for forward in (True, False):
+            want, last = {}, {}
+            for r in sorted(rows, key=place, reverse=not forward):
+                key = r[3] if groups else None
+                last[key] = r[4] if r[4] is not None else last.get(key)
+                want[r[0]] = last[key]
+            got = {r["id"]: r["f"] for r in ordered.fill(df, "v", ["a", "b"], "f", forward, groups).collect()}
+            assert got == want
+
+
 def test_quantiles_by_narrowing(spark, monkeypatch):
     from framekit.functions import quantiles as Q
 

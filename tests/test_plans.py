@@ -37,6 +37,13 @@ def test_fills_are_windowed_by_range(spark, method):
     assert windows and all("__bucket" in w for w in windows)
 
 
+@pytest.mark.parametrize("name", ["clean_bfill", "clean_bfill_text", "clean_bfill_dt", "clean_group_bfill", "clean_group_bfill_text", "clean_group_bfill_dt", "clean_ffill"])
+def test_fills_take_one_look_at_a_row(spark, name):
+    # A frame from the current row on is worked out anew for each row: the square of a range's rows.
+    text = plan(Q.QUERIES[name](spark, SMALL)).lower()
+    assert "specifiedwindowframe(rowframe, unboundedpreceding$(), currentrow$())" in text and "unboundedfollowing" not in text
+
+
 def test_first_rows_are_limited_before_the_shuffle(spark):
     text = plan(C.drop_duplicates(Q.orders(spark, SMALL), ["o_custkey"], "first", "o_orderkey"))
     assert "WindowGroupLimit" in text and "Partial" in text
