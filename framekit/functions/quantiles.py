@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .groups import meet
+
 #: Rows that are few enough for an exact percentile as they are, the same within a bracket, and one over the approximation's error.
 SMALL_ROWS, FEW_ROWS, RANGES = 10_000, 10_000, 1000
 #: The same for medians of groups, whose brackets are not cut again.
@@ -105,13 +107,10 @@ def group_medians(df: DataFrame, keys: Sequence[Column], value: Column) -> DataF
     names = [f"__g{i}" for i in range(len(keys))]
     counted = df.select(*[k.alias(n) for k, n in zip(keys, names)], value.cast("double").alias("__v")).where("__v is not null")
     near = counted.groupBy(*names).agg(F.count(F.lit(1)).alias("__n"), F.percentile_approx("__v", _ends(0.5, GROUP_RANGES), GROUP_RANGES).alias("__ends"))
-    near = near.select(*[F.col(n).alias(f"{n}_") for n in names], "__n", F.get("__ends", F.lit(0)).alias("__low"), F.get("__ends", F.lit(1)).alias("__high"))
+    near = near.select(*names, "__n", F.get("__ends", F.lit(0)).alias("__low"), F.get("__ends", F.lit(1)).alias("__high"))
     counted = counted.groupBy(*names, "__v").agg(F.count(F.lit(1)).alias("__k"))
-    same = F.lit(True)
-    for n in names:
-        same = same & F.col(n).eqNullSafe(F.col(f"{n}_"))
     inside = (F.col("__v") >= F.col("__low")) & (F.col("__v") <= F.col("__high"))
-    joined = counted.join(near, same).groupBy(*names).agg(
+    joined = meet(counted, [F.col(n) for n in names], near, near).groupBy(*names).agg(
         F.first("__n").alias("__n"),
         F.coalesce(F.sum(F.when(F.col("__v") < F.col("__low"), F.col("__k"))), F.lit(0)).alias("__below"),
         F.sort_array(F.collect_list(F.when(inside, F.struct("__v", "__k")))).alias("__few"),

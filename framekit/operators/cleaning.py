@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..errors import OperationError
 from ..functions.expressions import NUMBER, as_double, col, field, from_micros, is_integer, is_numeric, is_temporal, micros, nearest
+from ..functions.groups import meet
 from ..functions.ordered import fill, index
 from ..functions.quantiles import group_medians, group_modes, quantiles
 
@@ -149,15 +149,15 @@ def fillna(df: DataFrame, column: str, value: object = None, method: str = "mean
 
 
 def _meet(df: DataFrame, per: DataFrame, keys: Sequence[str]) -> DataFrame:
-    on = reduce(lambda a, b: a & b, [col(k).eqNullSafe(F.col(f"__g{i}")) for i, k in enumerate(keys)])
-    return df.join(per, on, "left").drop(*[f"__g{i}" for i in range(len(keys))])
+    return meet(df, [col(k) for k in keys], per)
 
 
 def groupby_fillna(df: DataFrame, column: str, group_cols: Sequence[str], value: object = None, method: str = "mean", dtype: str | None = None, order_by: str | Sequence[str] | None = None, target: str | None = None) -> DataFrame:
     """As ``fillna`` with each group's own statistic, then the whole column's, for what is left.
 
     NULL keys are a group. Group statistics are added up before the shuffle and
-    joined back, so a group of a third of all rows isn't one task's work.
+    joined back without dealing rows by group, so a group of a third of all rows
+    isn't one task's work.
     """
     keys = [group_cols] if isinstance(group_cols, str) else list(group_cols)
     if not keys:

@@ -358,6 +358,43 @@ def test_medians_and_modes_of_groups(spark, n):
         assert Q.exact(df, F.col("v"), shares) == pytest.approx(np.quantile(pdf["v"], shares).tolist())
 
 
+@pytest.mark.parametrize("method", ["mean", "median", "mode"])
+def test_large_groups_among_many(spark, monkeypatch, method):
+    from framekit.functions import groups
+
+    monkeypatch.setattr(groups, "FEW", 5)
+    rng = np.random.default_rng(8)
+    names = [*["big"] * 1500, *[None] * 900, *["void"] * 800, *[f"k{i % 200}" for i in range(1200)]]
+    rows = [(i, g, None if g == "void" or rng.random() < 0.3 else float(rng.integers(0, 9))) for i, g in enumerate(names)]
+    df = spark.createDataFrame(rows, "`a.id` int, g string, v double").repartition(6)
+    pdf = pd.DataFrame(rows, columns=["id", "g", "v"]).assign(g=lambda d: d.g.fillna("-"))
+    take = {"mean": "mean", "median": "median", "mode": lambda x: x.mode().min() if x.notna().any() else np.nan}[method]
+    whole = pdf.v.mode().min() if method == "mode" else pdf.v.agg(method)
+    want = pdf.v.fillna(pdf.groupby("g").v.transform(take)).fillna(whole)
+    met = C.groupby_fillna(df, "v", ["g"], method=method, target="f")
+    assert met.columns == ["a.id", "g", "v", "f"]
+    assert [r["f"] for r in met.orderBy("`a.id`").collect()] == pytest.approx(want.tolist())
+
+
+def test_rows_of_large_groups_stay_apart(spark, monkeypatch):
+    from framekit.functions import groups
+
+    monkeypatch.setattr(groups, "FEW", 5)
+    df = spark.range(0, 4000, 1, 8).selectExpr("id", "case when id % 4 < 3 then 'big' else 'k' || id % 100 end g")
+    per = df.groupBy(F.col("g").alias("__g0")).agg(F.max("id").alias("__s"))
+    old = {k: spark.conf.get(k, None) for k in ("spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    for k, v in zip(old, ("16", "-1", "false")):
+        spark.conf.set(k, v)
+    try:
+        met = groups.meet(df, [F.col("g")], per)
+        assert met.count() == 4000 and met.where("g = 'big' and __s <> 3998 or g <> 'big' and __s is null").count() == 0
+        sizes = [r["count"] for r in met.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert max(sizes) < 1500
+
+
 def test_numbers_keep_their_digits(engine):
     big = 2**53 + 1
     d = engine.upload_df(pd.DataFrame({"a": ["9,989", "$12", None], "b": [str(big), "1", "2"], "c": ["1.5", "2", "x"], "e": ["no", None, ""]}), dtypes={c: "text" for c in "abce"})

@@ -69,6 +69,17 @@ def test_modes_and_medians_of_groups_are_counted_first(spark):
         assert "partial_count" in text and "mode(" not in text and " median(" not in text and "Window" not in text
 
 
+@pytest.mark.parametrize("name", [n for n in Q.QUERIES if re.match("clean_group_fillna_(?!constant)|clean_compress_rare", n)])
+def test_rows_of_few_groups_are_not_dealt_by_group(spark, name):
+    # Tables that are large are never broadcast by their size.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(Q.QUERIES[name](spark, SMALL))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text and "ShuffledHashJoin" not in text
+
+
 def test_quantiles_are_taken_of_few_rows(spark):
     from framekit.functions import quantiles as K
 
